@@ -20,10 +20,9 @@ from canvass.operators.inference import chi2_flags, mean_interval
 from canvass.operators.probit import (
     ProbitBatch, Term, factor_terms, fit_probits, numeric_term, report_table, sign_table)
 from canvass.operators.profile import (
-    Cut, Measure, conditional_count, global_summary, in_order, joint_groups_bounded, means, profile,
-    roll_up, set_id, sums, tagged)
+    Cut, Measure, in_order, joint_groups_bounded, profile, roll_up, set_id, sums, tagged)
 from canvass.operators.relate import complete_cases, lookup, natural_left_join, region_frequency
-from canvass.operators.reshape import MISSING, gather, select_first, spread, spread_pairs, stack_by_name
+from canvass.operators.reshape import MISSING, gather, spread_pairs, stack_by_name
 
 # ---------------------------------------------------------------------------
 # Category domains, bin edges, and which answer feeds which flag.
@@ -449,9 +448,10 @@ def probit_rows(derived: DataFrame) -> DataFrame:
                           "region_epa", "sale_directcons")
 
 
-def probit_models(derived: DataFrame) -> ProbitBatch:
-    """The 35 models of the five families."""
-    return fit_probits(probit_rows(derived), probit_terms(), PROBIT_FAMILIES)
+def probit_models(derived: DataFrame, families: Sequence[str] = tuple(PROBIT_FAMILIES)) -> ProbitBatch:
+    """The 35 models of the five families, or those of some."""
+    return fit_probits(
+        probit_rows(derived), probit_terms(), {f: PROBIT_FAMILIES[f] for f in families})
 
 
 def probit_signs(batch: ProbitBatch) -> DataFrame:
