@@ -442,9 +442,9 @@ DERIVED_COLUMNS = (
 
 
 def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every derived column of every respondent."""
+    """Every derived column of every respondent, to the last bit."""
     wide = survey.collapse_inputs(_derived(spark, sf_dir))
-    return rounded(wide.select("c_custkey", "region_epa", "rev_est", "exp_est", *DERIVED_COLUMNS))
+    return wide.select("c_custkey", "region_epa", "rev_est", "exp_est", *DERIVED_COLUMNS)
 
 
 def survey_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from canvass.plans import survey
 
-R6 = "round({0}, 6) + 0.0"
-
 
 def r(expression: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0"
@@ -82,13 +80,11 @@ PROFILE_SEGMENTS = profile(
 # --- special functions -----------------------------------------------------
 
 
-def normal_cdf(x: str, terms: int = 90) -> str:
-    """Power series 1/2 + pdf(x) * (x + x^3/3 + x^5/15 + ...) in nested form."""
-    nested = "1.0::double"
-    for k in range(2 * terms + 1, 1, -2):
-        nested = f"(1.0 + sq / {k}.0 * {nested})"
-    series = nested.replace("sq", f"({x})*({x})")
-    return f"(0.5 + exp(-0.5*({x})*({x})) / sqrt(2*pi()) * ({x}) * {series})"
+def normal_cdf(x: str, terms: int = 60) -> str:
+    """Power series 1/2 + pdf(x) * (x + x^3/3 + x^5/15 + ...), summed from the far end."""
+    nested = (f"list_reduce(range({2 * terms + 1}, 1, -2)::double[], "
+              f"lambda acc, k: 1 + ({x}) * ({x}) / k * acc, 1.0::double)")
+    return f"(0.5 + exp(-0.5*({x})*({x})) / sqrt(2*pi()) * ({x}) * {nested})"
 
 
 def chi2_tail(x: str, df: str) -> str:
@@ -118,6 +114,29 @@ def interval(source: str, c: str, digits: int) -> str:
     return "select n, " + ", ".join(f"{r(e, digits)} as {n}" for n, e in shown.items()) + f" from ({parts})"
 
 
+def interval_by(source: str, c: str, by: str, p: float, digits: int) -> str:
+    """Per group, with the t quantile found by bisecting the finite trigonometric series."""
+    angle, cosine = "atan(mid / sqrt(nu))", "sqrt(nu / (nu + mid * mid))"
+    even = (f"sin({angle}) * list_sum(list_transform(range(0, nu // 2), "
+            f"lambda k: gamma(k + 0.5) / gamma(k + 1) / sqrt(pi()) * pow({cosine}, 2 * k)))")
+    odd = (f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), "
+           f"lambda k: sqrt(pi()) / 2 * gamma(k + 1) / gamma(k + 1.5) * pow({cosine}, 2 * k + 1))), 0))")
+    area = f"0.5 + 0.5 * (case when nu % 2 = 0 then {even} else {odd} end)"
+    shown = {"mu": "mu", "sigma": "sigma", "se": "se", '"ciMult"': "m", "ci": "se * m",
+             "upper": "mu + se * m", "lower": "mu - se * m"}
+    return f"""
+recursive_seed as (select {by}, count(*) as n, avg({c}) as mu, stddev_samp({c}) as sigma
+                   from {source} where {c} is not null group by {by}),
+search as (
+  select distinct n - 1 as nu, 0.0::double as lo, 1000.0::double as hi, 0 as step from recursive_seed where n > 1
+  union all
+  select nu, case when area < {p} then mid else lo end, case when area < {p} then hi else mid end, step + 1
+  from (select *, {area} as area from (select *, (lo + hi) / 2 as mid from search where step < 70)))
+select {by}, n, {", ".join(f"{r(e, digits)} as {k}" for k, e in shown.items())}
+from (select q.*, sigma / sqrt(n) as se, lo as m from recursive_seed q
+      left join (select * from search where step = 70) on nu = n - 1)"""
+
+
 # --- chi-squared -----------------------------------------------------------
 
 
@@ -154,6 +173,151 @@ def all_pairs(rel: str, cuts: Sequence[str], responses: Sequence[str]) -> list[t
 
 CHI2_DOCUMENTS = chi2(all_pairs("doc", ["lang", "length", "label", "source"], ["quality", "toxic", "english"]))
 
+# --- regressions -----------------------------------------------------------
+
+SCORING_STEPS = 11
+
+
+def probit(rel: str, terms: Sequence[tuple[str, str, bool]], families: Mapping[str, Sequence[str]]) -> str:
+    """CTEs ``coefs``, ``effects`` and ``fits``: unrolled Fisher scoring for all models at once.
+
+    Linear systems are solved by sweeping the packed normal equations; the
+    sandwich and the delta method are plain matrix products over long tables.
+    """
+    p = len(terms) + 1
+    span = range(p)
+    names = ["(Intercept)", *[t[0] for t in terms]]
+    discrete = [i for i, t in enumerate(terms, 1) if t[2]]
+    owners = [(f, d) for f, deps in families.items() for d in deps]
+    pack = [(i, j) for i in span for j in range(i, p)]
+    a = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    out = []
+
+    def cte(name: str, sql: str) -> None:
+        out.append(f"{name} as materialized ({sql})")
+
+    xs = ", ".join(f"({e})::double as x{i}" for i, (_, e, _) in enumerate(terms, 1))
+    cte("m", "\nunion all ".join(
+        f"select {k} as model, 1.0::double as x0, {xs}, {d}::double as y from {rel} where {d} is not null"
+        for k, (_, d) in enumerate(owners)))
+    cte("beta0", f"select distinct model, {', '.join(f'0.0::double as b{i}' for i in span)} from m")
+    eta = " + ".join(f"b{i} * x{i}" for i in span)
+
+    def rows(step: int) -> str:
+        pdf = "exp(-0.5 * eta * eta) / sqrt(2 * pi())"
+        return (f"select *, pdf * pdf / (cdf * (1 - cdf)) as w, pdf * (y - cdf) / (cdf * (1 - cdf)) as u from "
+                f"(select *, {pdf} as pdf, {normal_cdf('eta')} as cdf from "
+                f"(select m.*, {', '.join(f'b{i}' for i in span)}, {eta} as eta from m join beta{step} using (model)))")
+
+    def normal_equations(step: int) -> str:
+        sums = [f"sum(w * x{i} * x{j}) as {a(i, j)}" for i, j in pack]
+        sums += [f"sum(u * x{i}) as {a(i, p)}" for i in span]
+        cte(f"n{step}", f"select model, {', '.join(sums)} from ({rows(step)}) group by model")
+        last = f"n{step}"
+        cells = [*pack, *[(i, p) for i in span]]
+        for k in span:
+            new = []
+            for i, j in cells:
+                if (i, j) == (k, k):
+                    e = f"-1.0 / {a(k, k)}"
+                elif k in (i, j):
+                    e = f"{a(i, j)} / {a(k, k)}"
+                else:
+                    e = f"{a(i, j)} - {a(i, k)} * {a(k, j)} / {a(k, k)}"
+                new.append(f"{e} as {a(i, j)}")
+            cte(f"n{step}_{k}", f"select model, {', '.join(new)} from {last}")
+            last = f"n{step}_{k}"
+        return last
+
+    for step in range(SCORING_STEPS):
+        solved = normal_equations(step)
+        cte(f"beta{step + 1}", f"select model, {', '.join(f'b{i} + {a(i, p)} as b{i}' for i in span)} "
+                               f"from beta{step} join {solved} using (model)")
+    inverse = normal_equations(SCORING_STEPS)
+
+    def long(name: str, source: str, cells: Mapping[tuple[int, int], str]) -> None:
+        items = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': ({e})::double}}" for (i, j), e in cells.items())
+        cte(name, f"select model, c.i as i, c.j as j, c.v as v from (select model, unnest([{items}]) as c from {source})")
+
+    sums = {f"s{i}_{j}": f"sum(u * u * x{i} * x{j})" for i, j in pack}
+    sums |= {"n": "count(*)", "ones": "sum(y)", "pdf": "sum(pdf)",
+             "ll": "sum(case when y = 1 then ln(cdf) else ln(1 - cdf) end)"}
+    sums |= {f"q{j}": f"sum(pdf * eta * x{j})" for j in span}
+    for d in discrete:
+        on, off = f"(eta + (1 - x{d}) * b{d})", f"(eta - x{d} * b{d})"
+        sums[f"c{d}"] = f"sum({normal_cdf(on)} - {normal_cdf(off)})"
+        density = lambda e: f"exp(-0.5 * {e} * {e}) / sqrt(2 * pi())"
+        for j in span:
+            x1, x0 = ("1", "0") if j == d else (f"x{j}", f"x{j}")
+            sums[f"g{d}_{j}"] = f"sum({density(on)} * {x1} - {density(off)} * {x0})"
+    cte("final", f"select model, {', '.join(f'{e} as {n}' for n, e in sums.items())} "
+                 f"from ({rows(SCORING_STEPS)}) group by model")
+    both = f"final join beta{SCORING_STEPS} using (model)"
+    long("bread", inverse, {(i, j): f"-{a(i, j)}" for i in span for j in span})
+    long("meat", "final", {(i, j): f"s{min(i, j)}_{max(i, j)}" for i in span for j in span})
+    cte("robust", "select l.model, l.i, r.j, sum(l.v * k.v * r.v) as v from bread l join meat k on k.model = l.model "
+                  "and k.i = l.j join bread r on r.model = l.model and r.i = k.j group by l.model, l.i, r.j")
+    long("estimates", both, {(i, 0): f"b{i}" for i in span})
+    long("gradient", both, {
+        (i, j): f"g{i}_{j} / n" if i in discrete else f"{'pdf / n' if i == j else '0'} - b{i} * q{j} / n"
+        for i in range(1, p) for j in span})
+    long("change", both, {(i, 0): f"c{i} / n" if i in discrete else f"b{i} * pdf / n" for i in range(1, p)})
+    cte("delta", "select l.model, l.i, sqrt(sum(l.v * k.v * r.v)) as se from gradient l join robust k "
+                 "on k.model = l.model and k.i = l.j join gradient r on r.model = l.model and r.i = l.i and r.j = k.j "
+                 "group by l.model, l.i")
+    owner_rows = ", ".join(f"({k}, '{f}', '{d}')" for k, (f, d) in enumerate(owners))
+    out.append(f"owners(model, family, dep) as (values {owner_rows})")
+    term_rows = ", ".join(f"({i}, '{n}', '{'discrete' if i in discrete else 'continuous'}')" for i, n in enumerate(names))
+    out.append(f"term_names(i, term, kind) as (values {term_rows})")
+    two_sided = f"2 * (1 - {normal_cdf('least(abs(z), 8)', 160)})"
+    out.append(f"""coefs as (select *, {two_sided} as p_value from (
+      select family, dep, model as dep_ord, term, e.i as term_ord, e.v as estimate, sqrt(b.v) as std_error,
+             sqrt(v.v) as std_error_robust, e.v / sqrt(b.v) as z
+      from estimates e join owners using (model) join term_names using (i)
+      join bread b on b.model = e.model and b.i = e.i and b.j = e.i
+      join robust v on v.model = e.model and v.i = e.i and v.j = e.i))""")
+    out.append(f"""effects as (select *, {two_sided} as p_value from (
+      select family, dep, model as dep_ord, term, c.i as term_ord, kind, c.v as dydx, se, c.v / se as z
+      from change c join owners using (model) join term_names using (i) join delta using (model, i)))""")
+    out.append(f"""fits as (
+      select family, dep, model as dep_ord, n, ones, ll, -2 * ll as deviance,
+             -2 * (ones * ln(ones / n) + (n - ones) * ln(1 - ones / n)) as null_deviance,
+             -2 * ll + 2 * {p} as aic, -2 * ll + {p} * ln(n) as bic
+      from final join owners using (model))""")
+    return ",\n".join(out)
+
+
+COEFFICIENTS = f"""select family, dep, dep_ord, term, term_ord, {r('estimate')} as estimate, {r('std_error')} as std_error,
+  {r('std_error_robust')} as std_error_robust, {r('z')} as z, {r('p_value')} as p_value, 'ok' as status from coefs"""
+EFFECTS = f"""select family, dep, dep_ord, term, term_ord, kind, {r('dydx')} as dydx, {r('se')} as std_error_robust,
+  {r('z')} as z, {r('p_value')} as p_value, 'ok' as status from effects"""
+FITS = f"""select family, dep, dep_ord, n, ones::bigint as ones, {r('ll')} as loglik, {r('deviance')} as deviance,
+  {r('null_deviance')} as null_deviance, {r('aic')} as aic, {r('bic')} as bic, 'ok' as status from fits"""
+SIGNS = "select dep as depvar, dep_ord, " + ", ".join(
+    f"max(case when p_value <= 0.05 then case when estimate > 0 then '(+)' else '(-)' end else ' ' end) "
+    f"filter (term = '{t}') as \"{t}\"" for t in list(survey.COEFFICIENT_LABELS)[1:]) + " from coefs group by dep, dep_ord"
+
+
+def report(family: str) -> str:
+    deps = survey.PROBIT_FAMILIES[family]
+    star = ("case when p_value < 0.01 then '***' when p_value < 0.05 then '**' when p_value < 0.1 then '*' else '' end")
+    cell = f"printf('%.4f', estimate) || {star} || ' (' || printf('%.4f', std_error) || ')'"
+    label = "case term " + " ".join(f"when '{t}' then '{l}'" for t, l in survey.COEFFICIENT_LABELS.items()) + " end"
+    lines = [f"select {label} as term, term_ord as row_ord, dep, {cell} as cell from coefs"]
+    for i, (name, c) in enumerate((("AIC", "aic"), ("BIC", "bic"), ("Log Likelihood", "ll"), ("Deviance", "deviance"))):
+        lines.append(f"select '{name}', {100 + i}, dep, printf('%.4f', {c}) from fits")
+    lines.append("select 'Num. obs.', 104, dep, cast(n as varchar) from fits")
+    columns = ", ".join(f"max(cell) filter (dep = '{d}') as {d}" for d in deps)
+    return f"select term, row_ord, {columns} from ({' union all '.join(lines)}) group by term, row_ord"
+
+
+DOCUMENT_MODELS = probit(
+    "doc", [("langde", "lang = 'de'", True), ("langes", "lang = 'es'", True), ("langfr", "lang = 'fr'", True),
+            ("kchars", "n_chars / 1000.0::double", False)], {"labels": ["quality", "toxic"]})
+LINE_MODELS = probit(
+    "li", [("l_quantity", "l_quantity", False), ("l_discount", "l_discount", False),
+           ("l_linestatusO", "l_linestatus = 'O'", True)], {"lines": ["returned", "untaxed"]})
+
 # --- the survey ------------------------------------------------------------
 
 _YES = list(survey.YES_FLAGS)
@@ -189,7 +353,9 @@ def _panel() -> str:
         "cast(arg_max(year(o_orderdate), o_orderkey) as varchar) as last_year",
         "arg_max(o_orderstatus, o_orderkey) || arg_min(o_orderstatus, o_orderkey) as statuses",
     ]
-    weight = "pow(greatest(c_acctbal, 0) / 10000.0::double, 2)"
+    held = "(greatest(c_acctbal, 0) / 10000.0::double)"
+    square = lambda e: f"({e}) * ({e})"
+    weight = f"({square(held)})"
     boxes = {c: i % 50 + 1 for i, c in enumerate(schema.CHECK_ALL)}
     slots = {c: i for i, c in enumerate((*schema.YES_NO, *schema.RISK))}
     answered = lambda c: bit("ticked", boxes[c])
@@ -220,7 +386,7 @@ def _panel() -> str:
         "fvacreage_pct": share("use0 + use1"),
         **{name: share(use_of[c]) for name, c in survey.SHARES.items()},
         "sale_directcons": channels[0],
-        "dist_hhi": " + ".join(f"pow({c}, 2)" for c in channels),
+        "dist_hhi": " + ".join(square(c) for c in channels),
         **{name: yes_flag(slots[c]) for name, c in {**survey.YES_FLAGS, **survey.RISK_FLAGS}.items()},
         **{name: f"cast({answered(c)} as int)" for name, c in survey.ANSWERED_FLAGS.items()},
         **{name: f"cast({answered(a)} or {answered(b)} as int)" for name, (a, b) in survey.ANY_ANSWERED_FLAGS.items()},
@@ -238,7 +404,7 @@ def _panel() -> str:
         "org_abbr": "case when org in ('Both', 'Organic') then 'Some' when org = 'Conventional' then 'None' end",
         "fvacreage_quartile": bins("fvacreage_pct", (0.25, 0.5, 0.75), survey.QUARTILE.levels),
         "directsales_quartile": bins("sale_directcons", (25, 50, 75), survey.QUARTILE.levels),
-        "acre_hhi": " + ".join(f"pow(100 * {n}, 2)" for n in survey.SHARES),
+        "acre_hhi": " + ".join(square(f"{n} * 100") for n in survey.SHARES),
         "surface": "greatest(water_touch_stand, water_touch_flow)",
         **{n: f"greatest({', '.join(cs)})" for n, cs in survey.ROW_MAX_FLAGS.items()},
         **{n: f"least({', '.join(cs)})" for n, cs in survey.ROW_MIN_FLAGS.items()},
@@ -268,6 +434,23 @@ PANEL = _panel()
 CUT_LABELS = survey.CUT_LABELS
 
 
+def survey_models(*families: str) -> str:
+    """The panel's complete rows and the models of the families."""
+    terms = [
+        ("org_abbrSome", "org_abbr = 'Some'", True),
+        ("rev_cat_abbr25-500K", "rev_cat_abbr = '25-500K'", True),
+        ("rev_cat_abbr>500K", "rev_cat_abbr = '>500K'", True),
+        ("fvacreage_pct", "fvacreage_pct * 100", False),
+        ("sale_directcons", "sale_directcons", False),
+        ("lscape_wildMost", "lscape_wild = 'Most'", True),
+        ("lscape_wildSome", "lscape_wild = 'Some'", True),
+    ]
+    keep = " and ".join(f"{c} is not null" for c in (
+        "org_abbr", "rev_cat_abbr", "fvacreage_pct", "lscape_wild", "region_epa", "sale_directcons"))
+    return (f"with {PANEL},\ncomplete as materialized (select * from d where {keep}),\n"
+            + probit("complete", terms, {f: survey.PROBIT_FAMILIES[f] for f in families or survey.PROBIT_FAMILIES}))
+
+
 def profile_table(name: str) -> str:
     cuts, columns = survey.PROFILE_TABLES[name]
     return profile("d", [(c, CUT_LABELS[c]) for c in cuts],
@@ -315,15 +498,13 @@ def water_management() -> str:
 
 
 def derived_columns() -> str:
-    doubles = {"rev_est", "exp_est", "fvacreage_pct", "acre_hhi", "dist_hhi", *survey.SHARES}
     names = [
         "rev_est", "exp_est", "rev_cat", "rev_cat_abbr", "org", "org_abbr", "fvacreage_pct", *survey.SHARES,
         "fvacreage_quartile", "acre_hhi", "dist_hhi", "directsales_quartile", "lscape_wild", "lscape_graze",
         *survey.YES_FLAGS, *survey.RISK_FLAGS, *survey.ANSWERED_FLAGS, *survey.ANY_ANSWERED_FLAGS,
         "acre_rej", "fs_ins_payout", "fs_oth_comp", "test_freq", "treat_freq",
         *survey.ROW_MAX_FLAGS, *survey.ROW_MIN_FLAGS]
-    shown = ", ".join(f"{r(n)} as {n}" if n in doubles else n for n in names)
-    return f"select c_custkey, region_epa, {shown} from d"
+    return f"select c_custkey, region_epa, {', '.join(names)} from d"
 
 
 def survey_scan() -> str:
@@ -482,4 +663,19 @@ ORACLE: dict[str, str] = {
         f as (select region_epa, count(*) as freq from d where region_epa is not null group by region_epa)
         select coalesce(r_name, region_epa) as name, 'POINT(' || r_regionkey || ' 0)' as geometry_wkt, freq,
           {r('sqrt(freq)')} as sqrt_freq from region full join f on region_epa = r_name""",
+    "mean_interval_by": f"with recursive {DOCUMENTS}, {interval_by('doc', 'quality', 'source', 0.95, 6)}",
+    "probit_documents": f"with {DOCUMENTS},\n{DOCUMENT_MODELS}\n{COEFFICIENTS}",
+    "probit_lines": f"with {LINES},\n{LINE_MODELS}\n{EFFECTS}",
+    "probit_coefficients": f"{survey_models()}\n{COEFFICIENTS}",
+    "probit_effects": f"{survey_models()}\n{EFFECTS}",
+    "probit_fits": f"{survey_models()}\n{FITS}",
+    "probit_signs": f"{survey_models()}\n{SIGNS}",
+    "tblA3": f"{survey_models('fs')}\n{report('fs')}",
+    "tblA4": f"{survey_models('buf')}\n{report('buf')}",
+    "tblA5": f"{survey_models('hab')}\n{report('hab')}",
+    "tblA6": f"{survey_models('det')}\n{report('det')}",
+    "tblA7": f"{survey_models('con')}\n{report('con')}",
+    "model_bundle": " union all ".join(
+        f"select '{f}' as family, {len(deps) * rows} as n, '{kind}' as kind"
+        for f, deps in survey.PROBIT_FAMILIES.items() for kind, rows in (("coefficients", 8), ("effects", 7), ("fits", 1))),
 }

@@ -61,7 +61,8 @@ def _sum_if(when: Column, value: Column) -> Column:
 
 
 # Revenue is spending weighted by the squared share of the account balance, nothing when in debt.
-_WEIGHT = "power(greatest(c_acctbal, 0.0D) / 10000.0D, 2)"
+_HELD = "(greatest(c_acctbal, 0.0D) / 10000.0D)"
+_WEIGHT = f"({_HELD} * {_HELD})"
 
 
 def _unless_owing(text: str) -> str:
