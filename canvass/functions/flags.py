@@ -1,82 +1,89 @@
-"""Row-level derivations: three-valued flags, answered flags, shares, indices, row extremes."""
+"""Row-level derivations: three-valued flags, answered flags, shares, indices, row extremes.
 
-from __future__ import annotations
+Inputs are SQL expressions, mostly plain column names, so that a hundred flags
+cost a hundred short texts to parse rather than thousands of calls into the JVM.
+"""
 
-from functools import reduce
-from operator import add, or_
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def zero_to_null(c: Column) -> Column:
+def quoted(value: str) -> str:
+    """A SQL text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def zero_to_null(e: str) -> Column:
     """A zero that stands for "not reported"."""
-    return F.nullif(c, F.lit(0))
+    return F.expr(f"nullif({e}, 0)")
 
 
-def equals(c: Column, value: str) -> Column:
+def equals(e: str, value: str) -> Column:
     """True / false / NULL; a blank cell is false, a missing cell is NULL."""
-    return c == F.lit(value)
+    return F.expr(f"{e} = {quoted(value)}")
 
 
-def answered(c: Column) -> Column:
+def _answered(e: str) -> str:
+    return f"coalesce({e}, '') <> ''"
+
+
+def answered(e: str) -> Column:
     """Neither missing nor blank. Never NULL."""
-    return F.coalesce(c, F.lit("")) != F.lit("")
+    return F.expr(_answered(e))
 
 
-def any_answered(*cols: Column) -> Column:
-    return reduce(or_, [answered(c) for c in cols])
+def any_answered(*es: str) -> Column:
+    return F.expr(" or ".join(map(_answered, es)))
 
 
-def any_positive(*cols: Column) -> Column:
+def any_positive(*es: str) -> Column:
     """Some amount above zero. Never NULL."""
-    return reduce(or_, [F.coalesce(c > 0, F.lit(False)) for c in cols])
+    return F.expr(" or ".join(f"coalesce(({e}) > 0, false)" for e in es))
 
 
-def text_positive(c: Column) -> Column:
+def text_positive(e: str) -> Column:
     """Amount kept as text: not a number counts as no amount. Never NULL."""
-    return any_positive(c.try_cast("double"))
+    return any_positive(f"try_cast({e} as double)")
 
 
-def share(part: Column, total: Column) -> Column:
-    return F.try_divide(part, total)
+def share(part: str, total: str) -> Column:
+    """Part of a total; NULL when the total is zero."""
+    return F.expr(f"try_divide({part}, {total})")
 
 
-def concentration(*percents: Column) -> Column:
-    """Sum of squared percentages; NULL when any term is."""
-    return reduce(add, [p * p for p in percents])
+def concentration(*percents: str) -> Column:
+    """Sum of squared percentages; NULL when any is missing."""
+    return F.expr(" + ".join(f"({e}) * ({e})" for e in percents))
 
 
-def row_sum(*cols: Column) -> Column:
-    """Sum across columns; NULL when any is."""
-    return reduce(add, cols)
+def row_sum(*es: str) -> Column:
+    """Sum across columns; NULL when any is missing."""
+    return F.expr(" + ".join(es))
 
 
-def _none_missing(value: Column, cols: tuple[Column, ...]) -> Column:
-    return F.when(reduce(or_, [c.isNull() for c in cols]), F.lit(None)).otherwise(value)
+def _complete(es: tuple[str, ...], value: str) -> Column:
+    known = " and ".join(f"({e}) is not null" for e in es)
+    return F.expr(f"case when {known} then {value} end")
 
 
-def row_max(*cols: Column) -> Column:
-    """Largest of the columns; NULL when any is (``greatest`` alone would skip NULLs)."""
-    return _none_missing(F.greatest(*cols), cols)
+def row_max(*es: str) -> Column:
+    """Largest of the columns; NULL when any is missing (``greatest`` alone would skip NULLs)."""
+    return _complete(es, f"greatest({', '.join(es)})")
 
 
-def row_min(*cols: Column) -> Column:
-    """Smallest of the columns; NULL when any is."""
-    return _none_missing(F.least(*cols), cols)
+def row_min(*es: str) -> Column:
+    """Smallest of the columns; NULL when any is missing."""
+    return _complete(es, f"least({', '.join(es)})")
 
 
 def booleans_to_int(df: DataFrame) -> DataFrame:
     """Turn every boolean column, found by type, into 0/1 with NULL kept."""
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast("int").alias(f.name)
-            if isinstance(f.dataType, T.BooleanType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    return df.selectExpr(*[
+        f"cast(`{f.name}` as int) as `{f.name}`" if isinstance(f.dataType, T.BooleanType) else f"`{f.name}`"
+        for f in df.schema.fields])
 
 
 def significance_mark(p: Column, level: float = 0.05) -> Column:

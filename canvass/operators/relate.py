@@ -1,8 +1,7 @@
 """Joins against lookup maps, frequencies and the region dataset.
 
-No join here carries a broadcast hint. Lookup sides are small in practice, so
-Spark picks a broadcast from their measured size (``autoBroadcastJoinThreshold``)
-and falls back to a sort-merge join with adaptive skew handling when one is not.
+A lookup map is broadcast only after counting that it is small; a larger one is
+left to Spark's own choice, a sort-merge join with adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 10_000
+
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on every column name the two sides share."""
@@ -19,13 +20,22 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, on=shared, how="left")
 
 
-def lookup(fact: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
+def small_enough(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``limit`` rows; stops reading once it has more."""
+    return len(table.select(F.lit(1)).take(limit + 1)) <= limit
+
+
+def lookup(
+    fact: DataFrame, key: str, table: DataFrame, table_key: str, match_missing: bool = False
+) -> DataFrame:
     """Left join on differently named keys; rows without a match stay with NULLs.
 
-    Missing matches missing, as the lookup convention of the analysis has it.
-    The table's key column is dropped.
+    ``match_missing`` lets a missing key find a missing key, for maps that hold
+    one. The table's key column is dropped.
     """
-    return fact.join(table, fact[key].eqNullSafe(table[table_key]), "left").drop(table[table_key])
+    side = F.broadcast(table) if small_enough(table) else table
+    on = fact[key].eqNullSafe(side[table_key]) if match_missing else fact[key] == side[table_key]
+    return fact.join(side, on, "left").drop(side[table_key])
 
 
 def outer_merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

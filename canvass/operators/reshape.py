@@ -61,7 +61,7 @@ def transpose(df: DataFrame, measures: Sequence[str], names: Sequence[str]) -> D
 
 
 def with_row_total(df: DataFrame, columns: Sequence[str], name: str = "all") -> DataFrame:
-    return df.withColumn(name, row_sum(*[F.col(f"`{c}`") for c in columns]))
+    return df.withColumn(name, row_sum(*[f"`{c}`" for c in columns]))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], label: str) -> DataFrame:

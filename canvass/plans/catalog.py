@@ -15,6 +15,7 @@ from canvass.plans import panel, survey
 from canvass.session import scratch_path
 from canvass.sources import maps, sinks
 from canvass.sources.conform import read_region_attributes, read_survey, text_cell
+from canvass.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +27,6 @@ PRIORITIES = Domain(panel.PRIORITIES)
 LABELLED = Domain(("low", "high"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of digits, so that summing order does not show."""
     return df.select(*[
@@ -67,7 +64,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumns({
         "length": bin_by(F.col("n_chars"), (500, 2000, 8000), LENGTHS.levels),
         "label": recode(F.col("quality").cast("string"), {"0": "low", "1": "high"}),
-        "english": flags.equals(F.col("lang"), "en").cast("int"),
+        "english": flags.equals("lang", "en").cast("int"),
     })
 
 
@@ -187,7 +184,7 @@ def union_by_name_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bin_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts with zero as "not reported", binned, with the bin's position."""
-    amount = flags.zero_to_null(F.greatest(F.col("c_acctbal"), F.lit(0.0)))
+    amount = flags.zero_to_null("greatest(c_acctbal, 0.0D)")
     domain = Domain(("<1K", "1-4K", "4-8K", "8K+"))
     return (
         table(spark, sf_dir, "customer")
@@ -222,9 +219,9 @@ def share_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
           for i, p in enumerate(PRIORITIES.levels)])
     joined = relate.lookup(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", spend, "o_custkey")
     shares = joined.withColumns({
-        f"share{i}": flags.share(F.col(f"part{i}"), F.col("total")) for i in range(len(PRIORITIES.levels))})
+        f"share{i}": flags.share(f"part{i}", "total") for i in range(len(PRIORITIES.levels))})
     return rounded(shares.select("c_custkey", "share0", flags.concentration(
-        *[F.col(f"share{i}") * 100 for i in range(len(PRIORITIES.levels))]).alias("hhi")), 4)
+        *[f"share{i} * 100" for i in range(len(PRIORITIES.levels))]).alias("hhi")), 4)
 
 
 def _event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,10 +238,10 @@ def answered_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _event_cells(spark, sf_dir)
     marked = flags.booleans_to_int(cells.select(
         "event_type",
-        flags.answered(F.col("props")).alias("answered"),
-        flags.any_answered(F.col("props"), F.col("note")).alias("any_answered"),
-        flags.equals(F.col("note"), "yes").alias("yes"),
-        flags.any_positive(F.col("value") - 50, F.when(F.col("note") == "yes", F.col("value"))).alias("positive"),
+        flags.answered("props").alias("answered"),
+        flags.any_answered("props", "note").alias("any_answered"),
+        flags.equals("note", "yes").alias("yes"),
+        flags.any_positive("value - 50", "case when note = 'yes' then value end").alias("positive"),
     ))
     return rounded(marked.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("answered").alias("answered"),
@@ -254,9 +251,8 @@ def answered_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coerce_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts kept as text, some of it no number."""
-    text = F.when(F.col("c_mktsegment") == "MACHINERY", F.col("c_name")).when(
-        F.col("c_mktsegment") == "FURNITURE", F.lit(None)).otherwise(
-        F.floor("c_acctbal").cast("string"))
+    text = ("case c_mktsegment when 'MACHINERY' then c_name when 'FURNITURE' then null "
+            "else cast(floor(c_acctbal) as string) end")
     return table(spark, sf_dir, "customer").select(
         "c_mktsegment", flags.text_positive(text).cast("int").alias("paid")
     ).groupBy("c_mktsegment").agg(F.sum("paid").alias("paid"), F.count("paid").alias("n"))
@@ -264,7 +260,7 @@ def coerce_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row maximum and minimum where a missing value stays missing."""
-    cols = [F.col(c) for c in ("quality", "toxic", "english")]
+    cols = ("quality", "toxic", "english")
     return labelled_documents(spark, sf_dir).select(
         "doc_id", flags.row_max(*cols).alias("most"), flags.row_min(*cols).alias("least"),
         flags.row_sum(*cols).alias("total"))

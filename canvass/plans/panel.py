@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.domain import Domain
+from canvass.operators.relate import lookup
 from canvass.plans.survey import Dictionary, attach_region, derive
 from canvass.sources import schema
 from canvass.sources.conform import conform
+from canvass.sources.tables import table
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -47,10 +49,6 @@ CHANNELS = (
 CHANNEL_FROM_DAY = (1, 13, 17, 20, 23, 26, 29)  # first ship day of month of each channel
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _bits(position: Column, when: Column | None = None) -> Column:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), position)
     return F.bit_or(bit if when is None else F.when(when, bit).otherwise(F.lit(0).cast("long")))
@@ -125,35 +123,45 @@ def customer_answers(orders: DataFrame, per_order: DataFrame) -> DataFrame:
     joined = orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
     masks = ("asked", "yes", "no", "seen", "ticked")
     totals = [c for c in per_order.columns if c not in masks and c != "l_orderkey"]
-    last, first = F.max_by, F.min_by
+    key = F.col("o_orderkey")
+    # Categories as numbers: the aggregation buffers stay fixed-width, which keeps it a hash aggregation.
+    priority, status = _code("o_orderpriority", PRIORITIES), _code("o_orderstatus", STATUSES)
     return joined.groupBy("o_custkey").agg(
         *[F.bit_or(m).alias(m) for m in masks],
         *[F.sum(c).alias(c) for c in totals],
-        last("o_orderpriority", "o_orderkey").alias("last_priority"),
-        first("o_orderpriority", "o_orderkey").alias("first_priority"),
-        last(F.year("o_orderdate").cast("string"), F.col("o_orderkey")).alias("last_year"),
-        last("o_orderstatus", "o_orderkey").alias("last_status"),
-        first("o_orderstatus", "o_orderkey").alias("first_status"),
+        F.max_by(priority, key).alias("last_priority"),
+        F.min_by(priority, key).alias("first_priority"),
+        F.max_by(F.year("o_orderdate"), key).alias("last_year"),
+        F.max_by(status, key).alias("last_status"),
+        F.min_by(status, key).alias("first_status"),
     )
 
 
+def _code(column: str, levels: tuple[str, ...]) -> Column:
+    return Domain(levels).ordinal(F.col(column))
+
+
+def _level(code: str, levels: tuple[str, ...]) -> str:
+    return f"get(array({', '.join(repr(v) for v in levels)}), {code} - 1)"
+
+
 def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw response table, missing as the text ``NA`` and blanks as empty cells."""
     answers = customer_answers(
-        _table(spark, sf_dir, "orders"), order_answers(_table(spark, sf_dir, "lineitem")))
-    customer = _table(spark, sf_dir, "customer")
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    base = customer.join(answers, customer.c_custkey == answers.o_custkey, "left").join(
-        nation, customer.c_nationkey == nation.n_nationkey, "left")
+        table(spark, sf_dir, "orders"), order_answers(table(spark, sf_dir, "lineitem")))
+    customer = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    answered = customer.join(answers, customer.c_custkey == answers.o_custkey, "left")
+    base = lookup(answered, "c_nationkey", nation, "n_nationkey")
     cells = {
         "state": _unless_owing("n_name"),
-        "rev_est": f"cents / 100.0 * {_WEIGHT}",
-        "exp_est": f"channel0 / 100.0 * {_WEIGHT}",
+        "rev_est": f"cents / 100.0D * {_WEIGHT}",
+        "exp_est": f"channel0 / 100.0D * {_WEIGHT}",
         "org_v_conv": _unless_owing("c_mktsegment"),
-        "border_noncrop": _unless_owing("last_priority"),
-        "border_livestock": _unless_owing("first_priority"),
-        "water_freq_test": _unless_owing("last_year"),
-        "water_treat": _unless_owing("last_status || first_status"),
+        "border_noncrop": _unless_owing(_level("last_priority", PRIORITIES)),
+        "border_livestock": _unless_owing(_level("first_priority", PRIORITIES)),
+        "water_freq_test": _unless_owing("cast(last_year as string)"),
+        "water_treat": _unless_owing(f"{_level('last_status', STATUSES)} || {_level('first_status', STATUSES)}"),
         "acre_sum": "cast(acres as double)",
         **{c: f"cast(use{i} as double)" for i, c in enumerate(LAND_USES)},
         "acre_other": f"case when c_acctbal >= 0 then cast(use{len(LAND_USES) - 1} as double) end",
@@ -175,13 +183,13 @@ def raw_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``region_epa, state_abb`` from the nation and region tables."""
-    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("r_name").alias("region_epa"), F.col("n_nationkey").cast("string").alias("state_abb"))
 
 
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").select(
+    return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("string").alias("state_abb"), F.col("n_name").alias("state_name"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from canvass.domain import Domain, bin_by, pick, recode, sorted_levels
 from canvass.functions import flags
-from canvass.operators.inference import chi2_flags, mean_interval
+from canvass.operators.inference import chi2_from_counts, flag_counts, mean_interval
 from canvass.operators.probit import (
     ProbitBatch, Term, factor_terms, fit_probits, numeric_term, report_table, sign_table)
 from canvass.operators.profile import (
@@ -221,32 +221,30 @@ def attach_region(survey: DataFrame, regions: DataFrame, names: DataFrame) -> Da
 
 def derive(survey: DataFrame, dictionary: Dictionary) -> DataFrame:
     """All derived columns, flags as 0/1 with NULL kept."""
-    col = F.col
-    cleaned = survey.withColumns({c: flags.zero_to_null(col(c)) for c in ("rev_est", "exp_est")})
-    acres = col("acre_sum")
+    cleaned = survey.withColumns({c: flags.zero_to_null(c) for c in ("rev_est", "exp_est")})
+    recoded = {
+        "org": "org_v_conv", "lscape_wild": "border_noncrop", "lscape_graze": "border_livestock",
+        "test_freq": "water_freq_test", "treat_freq": "water_treat",
+    }
     first = {
-        "rev_cat": bin_by(col("rev_est"), REVENUE_EDGES, REVENUE.levels),
-        "org": recode(col("org_v_conv"), dictionary.recodes["org_v_conv"]),
-        "lscape_wild": recode(col("border_noncrop"), dictionary.recodes["border_noncrop"]),
-        "lscape_graze": recode(col("border_livestock"), dictionary.recodes["border_livestock"]),
-        "test_freq": recode(col("water_freq_test"), dictionary.recodes["water_freq_test"]),
-        "treat_freq": recode(col("water_treat"), dictionary.recodes["water_treat"]),
-        "fvacreage_pct": flags.share(col("acre_infield_veg_herb") + col("acre_infield_fruit"), acres),
-        **{name: flags.share(col(part), acres) for name, part in SHARES.items()},
-        "dist_hhi": flags.concentration(*[col(c) for c in CHANNELS]),
-        "directsales_quartile": bin_by(col("sale_directcons"), (25, 50, 75), QUARTILE.levels),
-        **{name: flags.equals(col(c), "Yes") for name, c in YES_FLAGS.items()},
-        **{name: flags.equals(col(c), "High Risk") for name, c in RISK_FLAGS.items()},
-        **{name: flags.answered(col(c)) for name, c in ANSWERED_FLAGS.items()},
-        **{name: flags.any_answered(*map(col, cs)) for name, cs in ANY_ANSWERED_FLAGS.items()},
-        **{name: flags.any_positive(*map(col, cs)) for name, cs in ANY_POSITIVE_FLAGS.items()},
-        **{name: flags.text_positive(col(c)) for name, c in AMOUNT_FLAGS.items()},
+        "rev_cat": bin_by(F.col("rev_est"), REVENUE_EDGES, REVENUE.levels),
+        **{name: recode(F.col(c), dictionary.recodes[c]) for name, c in recoded.items()},
+        "fvacreage_pct": flags.share("acre_infield_veg_herb + acre_infield_fruit", "acre_sum"),
+        **{name: flags.share(part, "acre_sum") for name, part in SHARES.items()},
+        "dist_hhi": flags.concentration(*CHANNELS),
+        "directsales_quartile": bin_by(F.col("sale_directcons"), (25, 50, 75), QUARTILE.levels),
+        **{name: flags.equals(c, "Yes") for name, c in YES_FLAGS.items()},
+        **{name: flags.equals(c, "High Risk") for name, c in RISK_FLAGS.items()},
+        **{name: flags.answered(c) for name, c in ANSWERED_FLAGS.items()},
+        **{name: flags.any_answered(*cs) for name, cs in ANY_ANSWERED_FLAGS.items()},
+        **{name: flags.any_positive(*cs) for name, cs in ANY_POSITIVE_FLAGS.items()},
+        **{name: flags.text_positive(c) for name, c in AMOUNT_FLAGS.items()},
     }
     second = {
-        "rev_cat_abbr": recode(col("rev_cat"), REVENUE_GROUPS),
-        "org_abbr": recode(col("org"), ORGANIC_GROUPS),
-        "fvacreage_quartile": bin_by(col("fvacreage_pct"), (0.25, 0.5, 0.75), QUARTILE.levels),
-        "acre_hhi": flags.concentration(*[col(c) * 100 for c in SHARES]),
+        "rev_cat_abbr": recode(F.col("rev_cat"), REVENUE_GROUPS),
+        "org_abbr": recode(F.col("org"), ORGANIC_GROUPS),
+        "fvacreage_quartile": bin_by(F.col("fvacreage_pct"), (0.25, 0.5, 0.75), QUARTILE.levels),
+        "acre_hhi": flags.concentration(*[f"{c} * 100" for c in SHARES]),
     }
     return flags.booleans_to_int(cleaned.withColumns(first).withColumns(second))
 
@@ -254,8 +252,8 @@ def derive(survey: DataFrame, dictionary: Dictionary) -> DataFrame:
 def collapse_inputs(derived: DataFrame) -> DataFrame:
     """Combined wildlife / noncrop concern flags by source of advice."""
     return derived.withColumns(
-        {name: flags.row_max(*map(F.col, cs)) for name, cs in ROW_MAX_FLAGS.items()}
-        | {name: flags.row_min(*map(F.col, cs)) for name, cs in ROW_MIN_FLAGS.items()}
+        {name: flags.row_max(*cs) for name, cs in ROW_MAX_FLAGS.items()}
+        | {name: flags.row_min(*cs) for name, cs in ROW_MIN_FLAGS.items()}
     )
 
 
@@ -265,18 +263,15 @@ def water_classes(derived: DataFrame) -> DataFrame:
     ``nosurface_any`` only asks that no surface water touches produce;
     ``nosurface`` also asks that none is used elsewhere.
     """
-    col = F.col
-    other = col("other_pna").isNotNull()
-    return (
-        derived.withColumn("surface", flags.row_max(col("water_touch_stand"), col("water_touch_flow")))
-        .withColumns({
-            "surface_nt": ((col("surface") == 0) & (
-                flags.row_max(col("water_any_stand"), col("water_any_flow")) == 1)).cast("int"),
-            "nosurface_any": ((col("surface") == 0) & other).cast("int"),
-        })
-        .withColumn("nosurface", (
-            (col("surface") == 0) & (col("surface_nt") == 0) & other).cast("int"))
-    )
+    touching = derived.withColumns({
+        "surface": flags.row_max("water_touch_stand", "water_touch_flow"),
+        "surface_anywhere": flags.row_max("water_any_stand", "water_any_flow"),
+    })
+    apart = touching.withColumn("surface_nt", F.expr("cast(surface = 0 and surface_anywhere = 1 as int)"))
+    return apart.withColumns({
+        "nosurface_any": F.expr("cast(surface = 0 and other_pna is not null as int)"),
+        "nosurface": F.expr("cast(surface = 0 and surface_nt = 0 and other_pna is not null as int)"),
+    })
 
 
 # ---------------------------------------------------------------------------
@@ -356,7 +351,7 @@ def farm_characteristics(derived: DataFrame, dictionary: Dictionary, with_order:
     wide = long.groupBy("type", "level", "level_ord").pivot("key", [*names, "all"]).agg(F.first("resp"))
     filled = {n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names}
     out = wide.select("type", "level", "level_ord", *[c.alias(n) for n, c in filled.items()], "all")
-    out = out.withColumn("row_sum", flags.row_sum(*[F.col(f"`{n}`") for n in names]))
+    out = out.withColumn("row_sum", flags.row_sum(*[f"`{n}`" for n in names]))
     blocks = ["All Farms", "Organic Status", "Region", *averaged.values(), "Landscape Wildlife Habitat",
               "Landscape Grazing Land", *summed.values()]
     if with_order:
@@ -413,8 +408,9 @@ def independence_tests(derived: DataFrame, dictionary: Dictionary) -> DataFrame:
     grouped: dict[tuple[str, ...], list[str]] = {}
     for cuts, responses in CHI2_FAMILIES:
         grouped.setdefault(cuts, []).extend(responses)
-    return stack_by_name(*[
-        chi2_flags(collapsed, _cuts(dictionary, cuts), responses) for cuts, responses in grouped.items()])
+    counts = stack_by_name(*[
+        flag_counts(collapsed, _cuts(dictionary, cuts), responses) for cuts, responses in grouped.items()])
+    return chi2_from_counts(counts, ["cut", "resp"])
 
 
 def acreage_interval(derived: DataFrame) -> DataFrame:

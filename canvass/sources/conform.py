@@ -36,14 +36,19 @@ def conform(raw: DataFrame, numeric: Sequence[str] = schema.NUMERIC) -> DataFram
     return raw.selectExpr(*out)
 
 
-def read_survey(spark: SparkSession, path: str, columns: Sequence[str] = schema.COLUMNS) -> DataFrame:
-    """A survey CSV with a header, under a declared all-text schema, conformed.
-
-    ``columns`` lists the file's header in file order; dots and underscores are
-    both fine.
+def read_survey(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A survey CSV with a header, every cell read as text, conformed.
+
+    ``columns`` declares the header in file order (dots or underscores); without
+    it only the header line is looked at. ``multi_line`` allows line breaks
+    inside quoted cells, at the price of one task per file.
     """
-    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return conform(spark.read.schema(text).csv(path, header=True))
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    if columns is not None:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    return conform(reader.csv(path))
 
 
 def read_region_map(spark: SparkSession, path: str) -> DataFrame:

@@ -13,18 +13,18 @@ from canvass.operators.reshape import stack_by_name
 
 def write_table(df: DataFrame, path: str) -> None:
     """CSV with a header, missing as ``NA``, quotes only where needed."""
-    df.write.option("header", True).option("nullValue", "NA").csv(path)
+    df.write.options(header=True, nullValue="NA", escape='"').csv(path)
 
 
 def write_quoted_table(df: DataFrame, path: str) -> None:
     """CSV with a header, missing as ``NA``, every cell quoted; no row names."""
-    df.write.option("header", True).option("nullValue", "NA").option("quoteAll", True).csv(path)
+    df.write.options(header=True, nullValue="NA", escape='"', quoteAll=True).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Read back a table written by either CSV sink, under the schema it had."""
     return spark.read.schema(like.schema).csv(
-        path, header=True, nullValue="NA", emptyValue="", enforceSchema=True)
+        path, header=True, nullValue="NA", emptyValue="", escape='"')
 
 
 def write_bundle(tables: Mapping[str, DataFrame], path: str) -> None:
