@@ -18,22 +18,23 @@ def chi2_from_counts(counts: DataFrame, tests: Sequence[str]) -> DataFrame:
     Cells nobody falls into may be absent. Levels without observations do not
     count. Two-by-two tables take the Yates correction. Fewer than two levels on
     a side give NULLs. The windows run over table cells, whose number depends on
-    the levels of the categories and not on the rows behind them.
+    the levels of the categories and not on the rows behind them; partitioning by
+    test comes first, so that the finer windows need no further shuffle.
     """
     by_row = Window.partitionBy(*tests, "row")
     by_col = Window.partitionBy(*tests, "col")
     whole = Window.partitionBy(*tests)
     cells = (
-        counts.withColumn("r", F.sum("o").over(by_row).cast("double"))
-        .withColumn("c", F.sum("o").over(by_col).cast("double"))
-        .where((F.col("r") > 0) & (F.col("c") > 0))
+        counts.where(F.col("o") > 0)
         .withColumn("total", F.sum("o").over(whole).cast("double"))
+        .withColumns({"r": F.sum("o").over(by_row).cast("double"), "in_row": F.count("o").over(by_row)})
+        .withColumns({"c": F.sum("o").over(by_col).cast("double"), "in_col": F.count("o").over(by_col)})
         .withColumn("e", F.col("r") * F.col("c") / F.col("total"))
         .withColumn("dev", F.abs(F.col("o") - F.col("e")))
     )
     tables = cells.groupBy(*tests).agg(
-        F.count_distinct("row").alias("nr"),
-        F.count_distinct("col").alias("nc"),
+        F.round(F.sum(1.0 / F.col("in_row"))).cast("long").alias("nr"),
+        F.round(F.sum(1.0 / F.col("in_col"))).cast("long").alias("nc"),
         F.first("total").alias("total"),
         F.sum(F.col("dev") * F.col("dev") / F.col("e")).alias("seen"),
         # An absent cell has o = 0 and adds its whole expectation.
@@ -66,22 +67,14 @@ def flag_counts(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str]) ->
     ids = {set_id(keys, [k]): k for k in keys}
     cut = tagged(F.col("gid"), ids).alias("cut")
     row = tagged(F.col("gid"), {i: F.col(k).cast("string") for i, k in ids.items()}).alias("row")
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(r).alias("resp"), F.lit(v).alias("col"), n.cast("long").alias("o"))
-                for r in responses
-                for v, n in (
-                    ("0", F.col(f"cnt__{r}") - F.coalesce(F.col(f"sum__{r}"), F.lit(0))),
-                    ("1", F.coalesce(F.col(f"sum__{r}"), F.lit(0))),
-                )
-            ]
-        )
-    ).alias("cell")
+    ones = {r: f"coalesce(`sum__{r}`, 0)" for r in responses}
+    cells = ", ".join(
+        f"struct('{r}' as resp, '0' as col, cast(`cnt__{r}` - {n} as bigint) as o), "
+        f"struct('{r}' as resp, '1' as col, cast({n} as bigint) as o)" for r, n in ones.items())
     return (
-        rolled.select(cut, row, cells)
-        .where(F.col("row").isNotNull())
-        .select("cut", "row", "cell.resp", "cell.col", "cell.o")
+        rolled.select(cut, row, F.expr(f"inline(array({cells}))"))
+        .where("row is not null")
+        .select("cut", "row", "resp", "col", "o")
     )
 
 

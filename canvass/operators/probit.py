@@ -24,7 +24,7 @@ from canvass.domain import Domain
 from canvass.functions.flags import sign_mark, stars
 from canvass.functions.special import normal_cdf_array, normal_pdf_array
 from canvass.operators.reshape import spread
-from canvass.session import materialized
+from canvass.session import local_table, materialized
 
 INTERCEPT = "(Intercept)"
 _EPS = np.finfo(float).eps
@@ -324,9 +324,9 @@ def _tables(spark: SparkSession, models, terms, families) -> ProbitBatch:
     fit = ("n long, ones long, loglik double, deviance double, null_deviance double, "
            "aic double, bic double, iterations int, status string")
     return ProbitBatch(
-        spark.createDataFrame(coefficients, head + "term string, term_ord int, " + number),
-        spark.createDataFrame(effects, head + "term string, term_ord int, " + effect),
-        spark.createDataFrame(fits, head + fit),
+        local_table(spark, coefficients, head + "term string, term_ord int, " + number),
+        local_table(spark, effects, head + "term string, term_ord int, " + effect),
+        local_table(spark, fits, head + fit),
     )
 
 

@@ -64,9 +64,9 @@ def partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
     without going back to the rows.
     """
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.sum(c).alias(f"sum__{c}") for c in columns],
-        *[F.count(c).alias(f"cnt__{c}") for c in columns],
+        F.expr("count(1) as rows"),
+        *[F.expr(f"sum(`{c}`) as `sum__{c}`") for c in columns],
+        *[F.expr(f"count(`{c}`) as `cnt__{c}`") for c in columns],
     )
 
 
@@ -83,19 +83,15 @@ def roll_up(
     """
     if pre_aggregate:
         source = partials(df, keys, columns)
-        rows = F.sum("rows")
-        total = {c: F.sum(f"sum__{c}") for c in columns}
-        count = {c: F.sum(f"cnt__{c}") for c in columns}
+        rows, total, count = "sum(rows)", "sum(`sum__{0}`)", "sum(`cnt__{0}`)"
     else:
         source = df.select(*keys, *columns)
-        rows = F.count(F.lit(1))
-        total = {c: F.sum(c) for c in columns}
-        count = {c: F.count(c) for c in columns}
+        rows, total, count = "count(1)", "sum(`{0}`)", "count(`{0}`)"
     return source.groupingSets([list(s) for s in sets], *keys).agg(
         F.grouping_id().alias("gid"),
-        F.coalesce(rows, F.lit(0)).alias("rows"),
-        *[total[c].alias(f"sum__{c}") for c in columns],
-        *[F.coalesce(count[c], F.lit(0)).alias(f"cnt__{c}") for c in columns],
+        F.expr(f"coalesce({rows}, 0) as rows"),
+        *[F.expr(f"{total.format(c)} as `sum__{c}`") for c in columns],
+        *[F.expr(f"coalesce({count.format(c)}, 0) as `cnt__{c}`") for c in columns],
     )
 
 
@@ -138,13 +134,13 @@ def profile(
 
     def value(m: Measure) -> Column:
         if m.kind == "sum":
-            return F.coalesce(F.col(f"sum__{m.column}"), F.lit(0))
-        return F.try_divide(F.col(f"sum__{m.column}").cast("double"), F.col(f"cnt__{m.column}"))
+            return F.expr(f"coalesce(`sum__{m.column}`, 0) as `{m.name}`")
+        return F.expr(f"try_divide(cast(`sum__{m.column}` as double), `cnt__{m.column}`) as `{m.name}`")
 
     out = [tagged(gid, block).alias("type"), tagged(gid, level).alias("level")]
     if count_as:
         out.append(F.col("rows").alias(count_as))
-    out += [value(m).alias(m.name) for m in measures]
+    out += [value(m) for m in measures]
     if with_order:
         order = {i: F.lit(n) for n, i in enumerate(ids)}
         place = {ids[0]: F.lit(1)} | {

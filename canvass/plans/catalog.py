@@ -12,8 +12,8 @@ from canvass.domain import Domain, bin_by, recode, sorted_position
 from canvass.functions import flags
 from canvass.operators import inference, probit, profile, relate, reshape
 from canvass.plans import panel, survey
-from canvass.session import scratch_path
-from canvass.sources import maps, sinks
+from canvass.session import local_table, scratch_path
+from canvass.sources import sinks
 from canvass.sources.conform import read_region_attributes, read_survey, text_cell
 from canvass.sources.tables import table
 
@@ -286,7 +286,7 @@ def select_and_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def natural_join_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inline table joined on the column both sides share; unmatched rows stay."""
-    side = maps.inline_table(
+    side = local_table(
         spark, [(0, "South"), (1, "West"), (3, "North")], "n_regionkey int, side string")
     nation = table(spark, sf_dir, "nation")
     mapped = relate.natural_left_join(nation, side).select("n_nationkey", "side")
@@ -420,12 +420,11 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.derived_survey(spark, sf_dir)
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived survey as a parquet table, for work that reads it several times."""
-    path = scratch_path(spark, "survey")
-    derived = _derived(spark, sf_dir)
-    derived.write.parquet(path)
-    return spark.read.schema(derived.schema).parquet(path)
+def _stored(df: DataFrame) -> DataFrame:
+    """A derived table as parquet in the shared folder, for work that reads it several times."""
+    path = scratch_path(df.sparkSession, "survey")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 DERIVED_COLUMNS = (
@@ -479,13 +478,14 @@ def _profile_table(name: str) -> Query:
 def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eleven tables stored as one bundle and counted."""
     path = scratch_path(spark, "workbook")
-    tables = survey.all_tables(_stored(spark, sf_dir), panel.DICTIONARY)
+    tables = survey.all_tables(_stored(_derived(spark, sf_dir)), panel.DICTIONARY)
     sinks.write_bundle(tables, path)
     return sinks.bundle_manifest(spark, path, list(tables))
 
 
 def independence_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(survey.independence_tests(_stored(spark, sf_dir), panel.DICTIONARY))
+    columns = survey.independence_columns(survey.collapse_inputs(_derived(spark, sf_dir)))
+    return rounded(survey.independence_tests(_stored(columns), panel.DICTIONARY))
 
 
 def acreage_interval(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,12 +399,18 @@ def all_tables(derived: DataFrame, dictionary: Dictionary) -> dict[str, DataFram
 # ---------------------------------------------------------------------------
 
 
-def independence_tests(derived: DataFrame, dictionary: Dictionary) -> DataFrame:
+def independence_columns(collapsed: DataFrame) -> DataFrame:
+    """The cuts and responses the tests read, of a table with the collapsed flags."""
+    names = [n for cuts, responses in CHI2_FAMILIES for n in (*cuts, *responses)]
+    return collapsed.select(*dict.fromkeys(names))
+
+
+def independence_tests(collapsed: DataFrame, dictionary: Dictionary) -> DataFrame:
     """``(cut, resp, stat, df, pval, sig)`` for all pairs of the nine families.
 
-    Families with the same cuts share one pass over the rows.
+    Families with the same cuts share one pass over the rows, four in all; store
+    the table first when deriving it is dear.
     """
-    collapsed = collapse_inputs(derived)
     grouped: dict[tuple[str, ...], list[str]] = {}
     for cuts, responses in CHI2_FAMILIES:
         grouped.setdefault(cuts, []).extend(responses)

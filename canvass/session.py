@@ -9,7 +9,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(app: str = "canvass", cores: str = "8", **conf: str) -> SparkSession:
@@ -51,6 +53,19 @@ def _local_fallback() -> str:
     return tempfile.mkdtemp(prefix="canvass-")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small constant table with a declared schema.
+
+    Handed over as Arrow it becomes a local relation: its size is known to the
+    planner, and no Python worker takes part in reading it.
+    """
+    schema = T.StructType.fromDDL(columns)
+    arrow = {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64()}
+    cells = list(zip(*rows)) if rows else [()] * len(schema)
+    arrays = [pa.array(c, arrow[type(f.dataType)]) for c, f in zip(cells, schema.fields)]
+    return spark.createDataFrame(pa.table(arrays, names=schema.names), schema)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

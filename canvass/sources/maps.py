@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canvass.session import local_table
+
 REGION_STATES = {
     "New England": "ME VT NH MA CT RI",
     "NY and NJ": "NY NJ",
@@ -29,15 +31,10 @@ STATE_NAMES = {
 }
 
 
-def inline_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """A constant relation with a declared schema."""
-    return spark.createDataFrame(rows, columns)
-
-
 def region_map(spark: SparkSession) -> DataFrame:
     rows = [(region, abb) for region, states in REGION_STATES.items() for abb in states.split()]
-    return inline_table(spark, rows, "region_epa string, state_abb string")
+    return local_table(spark, rows, "region_epa string, state_abb string")
 
 
 def state_names(spark: SparkSession) -> DataFrame:
-    return inline_table(spark, list(STATE_NAMES.items()), "state_abb string, state_name string")
+    return local_table(spark, list(STATE_NAMES.items()), "state_abb string, state_name string")
