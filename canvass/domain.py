@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.functions.flags import quoted
+
 
 @dataclass(frozen=True)
 class Domain:
@@ -32,10 +34,10 @@ class Domain:
             raise ValueError(f"{ref!r} is not one of {self.levels}")
         return replace(self, levels=(ref, *[v for v in self.levels if v != ref]), ref=ref)
 
-    def dummies(self, c: Column) -> dict[str, Column]:
-        """0/1 column per level other than the reference (the first level if none is set)."""
+    def dummies(self, name: str) -> dict[str, str]:
+        """A 0/1 expression per level other than the reference (the first level if none is set)."""
         ref = self.ref or self.levels[0]
-        return {v: (c == v).cast("double") for v in self.levels if v != ref}
+        return {v: f"cast({name} = {quoted(v)} as double)" for v in self.levels if v != ref}
 
 
 def bin_by(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import canvass
@@ -35,25 +35,25 @@ cloudpickle.register_pickle_by_value(canvass)
 
 @dataclass(frozen=True)
 class Term:
-    """One regressor column. ``discrete`` terms are 0/1 and get a discrete effect."""
+    """One regressor, a SQL expression. ``discrete`` terms are 0/1 and get a discrete effect."""
 
     name: str
-    column: Column
+    expression: str
     discrete: bool = False
 
 
 def factor_terms(name: str, domain: Domain) -> list[Term]:
     """Dummies of a category against the domain's reference level, in level order."""
-    return [Term(f"{name}{level}", c, True) for level, c in domain.dummies(F.col(name)).items()]
+    return [Term(f"{name}{level}", e, True) for level, e in domain.dummies(name).items()]
 
 
-def numeric_term(name: str, column: Column | None = None) -> Term:
-    return Term(name, (F.col(name) if column is None else column).cast("double"))
+def numeric_term(name: str, expression: str | None = None) -> Term:
+    return Term(name, f"cast({expression or name} as double)")
 
 
 def design_matrix(df: DataFrame, terms: Sequence[Term], keep: Sequence[str] = ()) -> DataFrame:
-    """The regressors as plain double columns next to ``keep``, intercept left implicit."""
-    return df.select(*keep, *[t.column.alias(t.name) for t in terms])
+    """The regressors as plain double columns after ``keep``, intercept left implicit."""
+    return df.select(*keep, *[F.expr(t.expression).alias(t.name) for t in terms])
 
 
 @dataclass

@@ -120,7 +120,7 @@ def profile(
 ) -> DataFrame:
     """Rows ``(type, level, N, measures...)``: one overall, then one per level of each cut.
 
-    A missing level is a group of its own. ``with_order`` adds ``block_ord`` and
+    A missing level is a group of its own; a table without rows gives no rows. ``with_order`` adds ``block_ord`` and
     ``level_ord`` so that a sink can write blocks in order and levels in domain
     order with the missing level last.
     """

@@ -352,7 +352,7 @@ def chi2_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_terms() -> list[probit.Term]:
     return [*probit.factor_terms("lang", LANGUAGES.relevel("en")),
-            probit.numeric_term("kchars", F.col("n_chars") / 1000)]
+            probit.numeric_term("kchars", "n_chars / 1000")]
 
 
 def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
