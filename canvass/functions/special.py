@@ -35,8 +35,8 @@ _FAR = 26.0  # erfc is below 1e-290 from here on
 
 
 def _poly(coefficients, x):
-    total = x * 0.0 + coefficients[0]
-    for c in coefficients[1:]:
+    total = coefficients[0] * x + coefficients[1]
+    for c in coefficients[2:]:
         total = total * x + c
     return total
 
@@ -45,34 +45,49 @@ def _erf_near(a):
     return a * _poly(_ERF_NUM, a * a) / _poly(_ERF_DEN, a * a)
 
 
-def _erfc_mid(a, exp):
-    return exp(-a * a) * _poly(_MID_NUM, a) / _poly(_MID_DEN, a)
+def _erfc_mid(a, gauss):
+    return gauss * _poly(_MID_NUM, a) / _poly(_MID_DEN, a)
 
 
-def _erfc_tail(a, exp):
+def _erfc_tail(a, gauss):
     z = 1.0 / (a * a)
-    return exp(-a * a) / a * (1.0 / _SQRT_PI - z * _poly(_TAIL_NUM, z) / _poly(_TAIL_DEN, z))
+    return gauss / a * (1.0 / _SQRT_PI - z * _poly(_TAIL_NUM, z) / _poly(_TAIL_DEN, z))
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function."""
     a = F.least(F.abs(x), F.lit(_FAR))
-    upper = F.when(a <= 0.46875, 1.0 - _erf_near(a)).when(a <= 4.0, _erfc_mid(a, F.exp)).otherwise(
-        _erfc_tail(a, F.exp))
+    gauss = F.exp(-a * a)
+    upper = F.when(a <= 0.46875, 1.0 - _erf_near(a)).when(a <= 4.0, _erfc_mid(a, gauss)).otherwise(
+        _erfc_tail(a, gauss))
     return F.when(x.isNull(), F.lit(None)).when(x < 0, 2.0 - upper).otherwise(upper)
 
 
+def _upper_array(a: np.ndarray, gauss: np.ndarray) -> np.ndarray:
+    """erfc for a >= 0 given exp(-a^2); the rare branches only touch their own elements."""
+    upper = _erfc_mid(a, gauss)
+    near, far = a <= 0.46875, a > 4.0
+    upper[near] = 1.0 - _erf_near(a[near])
+    if far.any():
+        upper[far] = _erfc_tail(a[far], gauss[far])
+    return upper
+
+
 def erfc_array(x: np.ndarray) -> np.ndarray:
     """``erfc`` over an array, for work inside Arrow batches."""
     a = np.minimum(np.abs(x), _FAR)
-    upper = np.select(
-        [a <= 0.46875, a <= 4.0],
-        [1.0 - _erf_near(np.minimum(a, 0.5)), _erfc_mid(np.minimum(a, 4.0), np.exp)],
-        _erfc_tail(np.maximum(a, 4.0), np.exp),
-    )
+    upper = _upper_array(a, np.exp(-a * a))
     return np.where(x < 0, 2.0 - upper, upper)
 
 
+def normal_arrays(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Density and distribution function together; they share one exponential."""
+    a = np.minimum(np.abs(x) * math.sqrt(0.5), _FAR)
+    gauss = np.exp(-a * a)
+    half = 0.5 * _upper_array(a, gauss)
+    return gauss / _SQRT_2PI, np.where(x < 0, half, 1.0 - half)
+
+
 def normal_pdf(x: Column) -> Column:
     return F.exp(-0.5 * x * x) / _SQRT_2PI
 
@@ -86,14 +101,6 @@ def two_sided_p(z: Column) -> Column:
     return erfc(F.abs(z) / math.sqrt(2.0))
 
 
-def normal_pdf_array(x: np.ndarray) -> np.ndarray:
-    return np.exp(-0.5 * x * x) / _SQRT_2PI
-
-
-def normal_cdf_array(x: np.ndarray) -> np.ndarray:
-    return 0.5 * erfc_array(-x / math.sqrt(2.0))
-
-
 def chi2_upper_tail(x: Column, df: Column) -> Column:
     """P(X > x) for a chi-squared variable with whole degrees of freedom.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 import canvass
 from canvass.domain import Domain
 from canvass.functions.flags import sign_mark, stars
-from canvass.functions.special import normal_cdf_array, normal_pdf_array
+from canvass.functions.special import normal_arrays
 from canvass.operators.reshape import spread
 from canvass.session import local_table, materialized
 
@@ -84,62 +84,98 @@ def _square(packed: np.ndarray, p: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def _batch_matrices(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
-    x = np.column_stack([np.ones(batch.num_rows), *columns[: p - 1]])
-    y = np.column_stack(columns[p - 1:])
-    seen = ~np.isnan(y)
-    return x, np.where(seen, y, 0.0), seen.astype(float)
+_BITS = 62  # flags per long
+
+
+def _flag_words(tests: Sequence[str], name: str) -> list[str]:
+    """Boolean expressions packed into longs, one bit each."""
+    words = []
+    for at in range(0, len(tests), _BITS):
+        bits = " + ".join(f"shiftleft(cast(coalesce({t}, false) as bigint), {i})"
+                          for i, t in enumerate(tests[at: at + _BITS]))
+        words.append(f"{bits} as {name}{at // _BITS}")
+    return words
+
+
+def _features(df: DataFrame, terms: Sequence[Term], deps: Sequence[str]) -> DataFrame:
+    """What the passes read: numeric regressors, and all 0/1 columns packed into a few longs.
+
+    Thirty-five answers with their gaps and five dummies take three longs a row,
+    so the table is a fraction of its plain width on disk and on its way into
+    the Python workers. Rows missing a regressor are left out.
+    """
+    rows = design_matrix(df, terms, [f"`{d}`" for d in deps]).na.drop(subset=[f"`{t.name}`" for t in terms])
+    return rows.selectExpr(
+        *[f"`{t.name}` as x{k}" for k, t in enumerate(terms, 1) if not t.discrete],
+        *_flag_words([f"`{t.name}` = 1" for t in terms if t.discrete], "dummies"),
+        *_flag_words([f"`{d}` = 1" for d in deps], "ones"),
+        *_flag_words([f"`{d}` is not null" for d in deps], "seen"),
+    )
+
+
+def _unpack(batch: pa.RecordBatch, name: str, count: int) -> np.ndarray:
+    """The first ``count`` packed flags as a float matrix."""
+    words = [batch.column(f"{name}{w}").to_numpy() for w in range(-(-count // _BITS))]
+    parts = [(word[:, None] >> np.arange(min(_BITS, count - w * _BITS))) & 1 for w, word in enumerate(words)]
+    return np.hstack(parts).astype(float) if parts else np.empty((batch.num_rows, 0))
+
+
+def _batch_matrices(batch: pa.RecordBatch, discrete: Sequence[bool], deps: int) -> tuple[np.ndarray, ...]:
+    """Design matrix with its intercept, answers, and which answers are there."""
+    x = np.ones((batch.num_rows, len(discrete) + 1))
+    dummies = iter(_unpack(batch, "dummies", sum(discrete)).T)
+    for k, flag in enumerate(discrete, 1):
+        x[:, k] = next(dummies) if flag else batch.column(f"x{k}").to_numpy()
+    return x, _unpack(batch, "ones", deps), _unpack(batch, "seen", deps)
 
 
 def _newton_sums(x, y, seen, betas):
     """Per model: packed information, score, log-likelihood, rows, ones."""
-    eta = x @ betas.T
-    cdf = np.clip(normal_cdf_array(eta), _EPS, 1.0 - _EPS)
-    pdf = normal_pdf_array(eta)
-    spread_ = cdf * (1.0 - cdf)
-    weight = seen * pdf * pdf / spread_
-    score = seen * pdf * (y - cdf) / spread_
+    pdf, cdf = normal_arrays(x @ betas.T)
+    np.clip(cdf, _EPS, 1.0 - _EPS, out=cdf)
+    ratio = seen * pdf / (cdf * (1.0 - cdf))
     i, j = _upper(x.shape[1])
-    loglik = seen * (y * np.log(cdf) + (1.0 - y) * np.log1p(-cdf))
-    return [weight.T @ (x[:, i] * x[:, j]), score.T @ x, loglik.sum(axis=0)[:, None],
+    loglik = seen * np.log(np.where(y > 0, cdf, 1.0 - cdf))
+    return [(ratio * pdf).T @ (x[:, i] * x[:, j]), (ratio * (y - cdf)).T @ x, loglik.sum(axis=0)[:, None],
             seen.sum(axis=0)[:, None], y.sum(axis=0)[:, None]]
 
 
 def _effect_sums(x, y, seen, betas, discrete):
     """Per model: packed score outer products, and the sums behind effects and their gradients."""
     eta = x @ betas.T
-    cdf = np.clip(normal_cdf_array(eta), _EPS, 1.0 - _EPS)
-    pdf = normal_pdf_array(eta)
+    pdf, cdf = normal_arrays(eta)
+    np.clip(cdf, _EPS, 1.0 - _EPS, out=cdf)
     score = seen * pdf * (y - cdf) / (cdf * (1.0 - cdf))
     i, j = _upper(x.shape[1])
     out = [(score * score).T @ (x[:, i] * x[:, j]), (seen * pdf).sum(axis=0)[:, None],
            (seen * pdf * eta).T @ x]
     for d in discrete:
-        on = eta + np.outer(1.0 - x[:, d], betas[:, d])
-        off = eta - np.outer(x[:, d], betas[:, d])
-        change = seen * (normal_cdf_array(on) - normal_cdf_array(off))
-        pdf_on, pdf_off = seen * normal_pdf_array(on), seen * normal_pdf_array(off)
-        gradient = (pdf_on - pdf_off).T @ x
-        gradient[:, d] = pdf_on.sum(axis=0)
-        out += [change.sum(axis=0)[:, None], gradient]
+        pdf_on, cdf_on = normal_arrays(eta + np.outer(1.0 - x[:, d], betas[:, d]))
+        pdf_off, cdf_off = normal_arrays(eta - np.outer(x[:, d], betas[:, d]))
+        gradient = (seen * (pdf_on - pdf_off)).T @ x
+        gradient[:, d] = (seen * pdf_on).sum(axis=0)
+        out += [(seen * (cdf_on - cdf_off)).sum(axis=0)[:, None], gradient]
     return out
 
 
-def _scan(features: DataFrame, betas: np.ndarray, width: int, sums) -> np.ndarray:
+_CHUNK = 2048  # rows worked on at a time, so that intermediate arrays stay in the processor's cache
+
+
+def _scan(table: DataFrame, terms: Sequence[Term], betas: np.ndarray, width: int, sums) -> np.ndarray:
     """One pass: ``sums`` of every batch added up over the whole table, as (models, width)."""
-    p = betas.shape[1]
+    discrete = [t.discrete for t in terms]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((betas.shape[0], width))
         for batch in batches:
-            if batch.num_rows:
-                total += np.hstack(sums(*_batch_matrices(batch, p), betas))
+            for at in range(0, batch.num_rows, _CHUNK):
+                matrices = _batch_matrices(batch.slice(at, _CHUNK), discrete, betas.shape[0])
+                total += np.hstack(sums(*matrices, betas))
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(flat.size, dtype=np.int32)), pa.array(flat)], ["slot", "value"])
 
-    parts = features.mapInArrow(run, "slot int, value double")
+    parts = table.mapInArrow(run, "slot int, value double")
     rows = parts.groupBy("slot").agg(F.sum("value").alias("value")).collect()
     flat = np.zeros(betas.shape[0] * width)
     for r in rows:
@@ -214,29 +250,28 @@ def fit_probits(
     tolerance: float = 1e-10,
     max_iterations: int = 50,
 ) -> ProbitBatch:
-    """Fit one probit per dependent, all on the same terms.
+    """Fit one probit per 0/1 dependent, all on the same terms.
 
-    Rows missing a dependent leave only that model. Standard errors come both
+    Rows missing a term leave all models, rows missing a dependent only its own. Standard errors come both
     from the model and from the HC0 sandwich; effects are averages over the rows
     with delta-method errors on the sandwich. Status: ``ok``, ``constant`` (the
     dependent does not vary), ``empty``, ``separated`` (no finite maximum; numbers
     are where the search stopped), ``singular``, ``not converged``.
     """
     deps = [d for names in families.values() for d in names]
-    features = design_matrix(df, terms, keep=deps).select(
-        *[f"`{t.name}`" for t in terms], *[f"`{d}`" for d in deps])
-    with materialized(features, "probit") as table:
-        models = _fit(table, len(deps), len(terms) + 1, tolerance, max_iterations)
+    with materialized(_features(df, terms, deps), "probit") as table:
+        models = _fit(table, terms, len(deps), tolerance, max_iterations)
         _measure(table, models, terms)
     return _tables(df.sparkSession, models, terms, families)
 
 
-def _fit(table: DataFrame, m: int, p: int, tolerance: float, limit: int) -> list[_Model]:
+def _fit(table: DataFrame, terms: Sequence[Term], m: int, tolerance: float, limit: int) -> list[_Model]:
+    p = len(terms) + 1
     packed = p * (p + 1) // 2
     models = [_Model(np.zeros(p)) for _ in range(m)]
     for step in range(limit + 1):
         betas = np.array([model.beta for model in models])
-        sums = _scan(table, betas, packed + p + 3, _newton_sums)
+        sums = _scan(table, terms, betas, packed + p + 3, _newton_sums)
         for model, row in zip(models, sums):
             if model.status != "running":
                 continue
@@ -261,7 +296,7 @@ def _measure(table: DataFrame, models: list[_Model], terms: Sequence[Term]) -> N
     packed = p * (p + 1) // 2
     discrete = [k for k, t in enumerate(terms, start=1) if t.discrete]
     betas = np.array([model.beta for model in models])
-    sums = _scan(table, betas, packed + 1 + p + len(discrete) * (1 + p),
+    sums = _scan(table, terms, betas, packed + 1 + p + len(discrete) * (1 + p),
                  lambda x, y, seen, b: _effect_sums(x, y, seen, b, discrete))
     for model, row in zip(models, sums):
         model.sums["meat"] = _square(row[:packed], p)

@@ -44,7 +44,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, t) for t in ("customer", "nation", "region", "orders"))
     places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
     spend = orders.groupBy("o_custkey").agg(
-        (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100.0).alias("spend"),
+        (F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")) / 100.0).alias("spend"),
         F.count(F.lit(1)).alias("n_orders"))
     joined = customer.join(places, customer.c_nationkey == places.n_nationkey, "left").join(
         spend, customer.c_custkey == spend.o_custkey, "left")
@@ -212,7 +212,7 @@ def domain_restrict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer, the concentration of spending across order priorities."""
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    cents = F.rint(F.col("o_totalprice") * 100).cast("long")
     spend = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.sum(cents).alias("total"),
         *[F.sum(F.when(F.col("o_orderpriority") == p, cents).otherwise(0)).alias(f"part{i}")

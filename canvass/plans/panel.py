@@ -84,12 +84,12 @@ def _box(position: int) -> str:
 
 def order_answers(lineitem: DataFrame) -> DataFrame:
     """Lines reduced to one row per order."""
-    percent = F.round(F.col("l_discount") * 100).cast("int")
-    tax = F.round(F.col("l_tax") * 100).cast("int")
+    percent = F.rint(F.col("l_discount") * 100).cast("int")
+    tax = F.rint(F.col("l_tax") * 100).cast("int")
     lines = lineitem.select(
         "l_orderkey", "l_returnflag", "l_linestatus", percent.alias("percent"), tax.alias("tax"),
         F.col("l_quantity").cast("int").alias("qty"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+        F.rint(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
         F.dayofmonth("l_shipdate").alias("day"),
         (tax * 5 + F.least(F.floor(percent / 2).cast("int"), F.lit(4))).alias("slot"),
     )
