@@ -2,9 +2,9 @@
 
 All models of a batch advance together: each Newton step is one Spark job that
 reads the feature table once and returns, per model, the sums behind its normal
-equations. Thirty-five models cost about eight scans instead of thirty-five times
-eight. Inside a task the sums are matrix products over Arrow batches; Spark adds
-the tasks' sums up, and only models x terms^2 numbers reach the driver.
+equations. Thirty-five models take about six passes, not thirty-five times six.
+Inside a task the sums are matrix products over Arrow batches; Spark adds the
+tasks' sums up, and only models x terms^2 numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -87,68 +87,64 @@ def _square(packed: np.ndarray, p: int) -> np.ndarray:
 _BITS = 62  # flags per long
 
 
-def _flag_words(tests: Sequence[str], name: str) -> list[str]:
-    """Boolean expressions packed into longs, one bit each."""
-    words = []
-    for at in range(0, len(tests), _BITS):
-        bits = " + ".join(f"shiftleft(cast(coalesce({t}, false) as bigint), {i})"
-                          for i, t in enumerate(tests[at: at + _BITS]))
-        words.append(f"{bits} as {name}{at // _BITS}")
-    return words
-
-
 def _features(df: DataFrame, terms: Sequence[Term], deps: Sequence[str]) -> DataFrame:
-    """What the passes read: numeric regressors, and all 0/1 columns packed into a few longs.
+    """What the passes read: numeric regressors, and every 0/1 column packed into a few longs.
 
-    Thirty-five answers with their gaps and five dummies take three longs a row,
-    so the table is a fraction of its plain width on disk and on its way into
-    the Python workers. Rows missing a regressor are left out.
+    Five dummies and thirty-five answers with their gaps take two longs a row.
+    Handing a row to a Python worker costs by the column, and the table is
+    written and read many times, so width is what counts. Rows missing a
+    regressor are left out.
     """
     rows = design_matrix(df, terms, [f"`{d}`" for d in deps]).na.drop(subset=[f"`{t.name}`" for t in terms])
-    return rows.selectExpr(
-        *[f"`{t.name}` as x{k}" for k, t in enumerate(terms, 1) if not t.discrete],
-        *_flag_words([f"`{t.name}` = 1" for t in terms if t.discrete], "dummies"),
-        *_flag_words([f"`{d}` = 1" for d in deps], "ones"),
-        *_flag_words([f"`{d}` is not null" for d in deps], "seen"),
-    )
-
-
-def _unpack(batch: pa.RecordBatch, name: str, count: int) -> np.ndarray:
-    """The first ``count`` packed flags as a float matrix."""
-    words = [batch.column(f"{name}{w}").to_numpy() for w in range(-(-count // _BITS))]
-    parts = [(word[:, None] >> np.arange(min(_BITS, count - w * _BITS))) & 1 for w, word in enumerate(words)]
-    return np.hstack(parts).astype(float) if parts else np.empty((batch.num_rows, 0))
+    tests = [f"`{t.name}` = 1" for t in terms if t.discrete]
+    tests += [f"`{d}` = 1" for d in deps] + [f"`{d}` is not null" for d in deps]
+    words = []
+    for at in range(0, len(tests), _BITS):
+        bits = " + ".join(f"shiftleft(cast(coalesce({t}, false) as bigint), {i})"
+                          for i, t in enumerate(tests[at: at + _BITS]))
+        words.append(f"{bits} as flags{at // _BITS}")
+    return rows.selectExpr(*[f"`{t.name}` as x{k}" for k, t in enumerate(terms, 1) if not t.discrete], *words)
 
 
 def _batch_matrices(batch: pa.RecordBatch, discrete: Sequence[bool], deps: int) -> tuple[np.ndarray, ...]:
     """Design matrix with its intercept, answers, and which answers are there."""
+    dummies = sum(discrete)
+    count = dummies + 2 * deps
+    words = [batch.column(f"flags{w}").to_numpy() for w in range(-(-count // _BITS))]
+    flags = np.hstack([
+        (word[:, None] >> np.arange(min(_BITS, count - w * _BITS))) & 1 for w, word in enumerate(words)]).astype(float)
     x = np.ones((batch.num_rows, len(discrete) + 1))
-    dummies = iter(_unpack(batch, "dummies", sum(discrete)).T)
+    columns = iter(flags[:, :dummies].T)
     for k, flag in enumerate(discrete, 1):
-        x[:, k] = next(dummies) if flag else batch.column(f"x{k}").to_numpy()
-    return x, _unpack(batch, "ones", deps), _unpack(batch, "seen", deps)
+        x[:, k] = next(columns) if flag else batch.column(f"x{k}").to_numpy()
+    return x, flags[:, dummies: dummies + deps], flags[:, dummies + deps:]
 
 
 def _newton_sums(x, y, seen, betas):
-    """Per model: packed information, score, log-likelihood, rows, ones."""
-    pdf, cdf = normal_arrays(x @ betas.T)
+    """Per model: packed curvature, score, log-likelihood, rows, ones."""
+    eta = x @ betas.T
+    pdf, cdf = normal_arrays(eta)
     np.clip(cdf, _EPS, 1.0 - _EPS, out=cdf)
-    ratio = seen * pdf / (cdf * (1.0 - cdf))
+    score = seen * pdf * (y - cdf) / (cdf * (1.0 - cdf))
     i, j = _upper(x.shape[1])
     loglik = seen * np.log(np.where(y > 0, cdf, 1.0 - cdf))
-    return [(ratio * pdf).T @ (x[:, i] * x[:, j]), (ratio * (y - cdf)).T @ x, loglik.sum(axis=0)[:, None],
+    return [(score * (score + eta)).T @ (x[:, i] * x[:, j]), score.T @ x, loglik.sum(axis=0)[:, None],
             seen.sum(axis=0)[:, None], y.sum(axis=0)[:, None]]
 
 
-def _effect_sums(x, y, seen, betas, discrete):
-    """Per model: packed score outer products, and the sums behind effects and their gradients."""
+def _final_sums(x, y, seen, betas, discrete):
+    """Per model: log-likelihood, expected information, score outer products, and the sums
+    behind effects and their gradients."""
     eta = x @ betas.T
     pdf, cdf = normal_arrays(eta)
     np.clip(cdf, _EPS, 1.0 - _EPS, out=cdf)
-    score = seen * pdf * (y - cdf) / (cdf * (1.0 - cdf))
+    ratio = seen * pdf / (cdf * (1.0 - cdf))
+    score = ratio * (y - cdf)
     i, j = _upper(x.shape[1])
-    out = [(score * score).T @ (x[:, i] * x[:, j]), (seen * pdf).sum(axis=0)[:, None],
-           (seen * pdf * eta).T @ x]
+    pairs = x[:, i] * x[:, j]
+    loglik = seen * np.log(np.where(y > 0, cdf, 1.0 - cdf))
+    out = [loglik.sum(axis=0)[:, None], (ratio * pdf).T @ pairs, (score * score).T @ pairs,
+           (seen * pdf).sum(axis=0)[:, None], (seen * pdf * eta).T @ x]
     for d in discrete:
         pdf_on, cdf_on = normal_arrays(eta + np.outer(1.0 - x[:, d], betas[:, d]))
         pdf_off, cdf_off = normal_arrays(eta - np.outer(x[:, d], betas[:, d]))
@@ -199,10 +195,15 @@ def _independent(gram: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=int)
 
 
-def _advance(model: _Model, information, score, tolerance: float) -> None:
-    """One Newton step from the sums at ``model.beta``; halve a step that lost likelihood."""
+def _advance(model: _Model, curvature, score, tolerance: float) -> None:
+    """One Newton step from the sums at ``model.beta``; a step that lost likelihood is halved.
+
+    The squared step in units of its standard errors decides when to stop, so
+    that the scale of a regressor does not matter. The last step is still taken:
+    convergence is quadratic.
+    """
     if model.used is None:
-        model.used = _independent(information)
+        model.used = _independent(curvature)
     if model.loglik < model.accepted_ll - 1e-9 * (1.0 + abs(model.accepted_ll)):
         model.beta = 0.5 * (model.beta + model.accepted)
         return
@@ -210,23 +211,23 @@ def _advance(model: _Model, information, score, tolerance: float) -> None:
     model.accepted, model.accepted_ll = model.beta.copy(), model.loglik
     u = model.used
     try:
-        step = np.linalg.solve(information[np.ix_(u, u)], score[u])
+        step = np.linalg.solve(curvature[np.ix_(u, u)], score[u])
     except np.linalg.LinAlgError:
-        model.status = "singular"
+        model.status = "separated"
         return
     size = float(np.max(np.abs(step)))
-    if size <= tolerance * (1.0 + np.max(np.abs(model.beta))):
-        model.status = "ok"
-        return
     # Steps that hardly shrink while the likelihood no longer moves: an estimate is running off.
-    model.stalled = model.stalled + 1 if gain < 1e-8 and size > 0.3 * model.last_step else 0
+    adrift = gain < 1e-8 and size > 0.3 * model.last_step
+    model.stalled = model.stalled + 1 if adrift else 0
     model.last_step = size
-    if model.stalled >= 3:
+    done = float(step @ score[u]) <= tolerance
+    if model.stalled >= 3 or (done and adrift and size > 1e-6):
         model.status = "separated"
         return
-    beta = model.beta.copy()
-    beta[u] += step
-    model.beta = beta
+    model.beta = model.beta.copy()
+    model.beta[u] += step
+    if done:
+        model.status = "ok"
 
 
 @dataclass(frozen=True)
@@ -247,16 +248,16 @@ def fit_probits(
     terms: Sequence[Term],
     families: Mapping[str, Sequence[str]],
     *,
-    tolerance: float = 1e-10,
+    tolerance: float = 1e-12,
     max_iterations: int = 50,
 ) -> ProbitBatch:
     """Fit one probit per 0/1 dependent, all on the same terms.
 
-    Rows missing a term leave all models, rows missing a dependent only its own. Standard errors come both
-    from the model and from the HC0 sandwich; effects are averages over the rows
-    with delta-method errors on the sandwich. Status: ``ok``, ``constant`` (the
-    dependent does not vary), ``empty``, ``separated`` (no finite maximum; numbers
-    are where the search stopped), ``singular``, ``not converged``.
+    Rows missing a term leave all models, rows missing a dependent only its own.
+    Standard errors come both from the model and from the HC0 sandwich; effects
+    are averages over the rows with delta-method errors on the sandwich. Status:
+    ``ok``, ``constant`` (the dependent does not vary), ``empty``, ``separated``
+    (no finite maximum; numbers are where the search stopped), ``not converged``.
     """
     deps = [d for names in families.values() for d in names]
     with materialized(_features(df, terms, deps), "probit") as table:
@@ -282,8 +283,7 @@ def _fit(table: DataFrame, terms: Sequence[Term], m: int, tolerance: float, limi
                 model.status = "constant"
             else:
                 model.iterations = step
-                model.sums["information"] = _square(row[:packed], p)
-                _advance(model, model.sums["information"], row[packed: packed + p], tolerance)
+                _advance(model, _square(row[:packed], p), row[packed: packed + p], tolerance)
                 if model.status == "running" and step == limit:
                     model.status = "not converged"
         if all(model.status != "running" for model in models):
@@ -296,22 +296,20 @@ def _measure(table: DataFrame, models: list[_Model], terms: Sequence[Term]) -> N
     packed = p * (p + 1) // 2
     discrete = [k for k, t in enumerate(terms, start=1) if t.discrete]
     betas = np.array([model.beta for model in models])
-    sums = _scan(table, terms, betas, packed + 1 + p + len(discrete) * (1 + p),
-                 lambda x, y, seen, b: _effect_sums(x, y, seen, b, discrete))
+    sums = _scan(table, terms, betas, 2 + 2 * packed + p + len(discrete) * (1 + p),
+                 lambda x, y, seen, b: _final_sums(x, y, seen, b, discrete))
     for model, row in zip(models, sums):
-        model.sums["meat"] = _square(row[:packed], p)
-        model.sums["pdf"] = row[packed: packed + 1]
-        model.sums["pdf_eta_x"] = row[packed + 1: packed + 1 + p]
-        at = packed + 1 + p
+        parts = iter(np.split(row, np.cumsum([1, packed, packed, 1, p, *[1, p] * len(discrete)])[:-1]))
+        model.loglik = float(next(parts)[0])
+        model.sums = {"information": _square(next(parts), p), "meat": _square(next(parts), p),
+                      "pdf": next(parts), "pdf_eta_x": next(parts)}
         for d in discrete:
-            model.sums[f"change {d}"] = row[at: at + 1]
-            model.sums[f"gradient {d}"] = row[at + 1: at + 1 + p]
-            at += 1 + p
+            model.sums |= {f"change {d}": next(parts), f"gradient {d}": next(parts)}
 
 
 def _covariances(model: _Model) -> tuple[np.ndarray, np.ndarray]:
     u = model.used
-    bread = np.linalg.inv(model.sums["information"][np.ix_(u, u)])
+    bread = np.linalg.pinv(model.sums["information"][np.ix_(u, u)], hermitian=True)
     return bread, bread @ model.sums["meat"][np.ix_(u, u)] @ bread
 
 
