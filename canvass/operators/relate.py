@@ -6,6 +6,8 @@ left to Spark's own choice, a sort-merge join with adaptive skew handling.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,6 @@ def complete_cases(df: DataFrame, *columns: str) -> DataFrame:
     return df.na.drop(subset=list(columns))
 
 
-def pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
+def pairs(left: Sequence[str], right: Sequence[str]) -> list[tuple[str, str]]:
     """Every (left, right) pair, right varying fastest."""
     return [(a, b) for a in left for b in right]

@@ -21,8 +21,9 @@ from canvass.operators.probit import (
     ProbitBatch, Term, factor_terms, fit_probits, numeric_term, report_table, sign_table)
 from canvass.operators.profile import (
     Cut, Measure, in_order, joint_groups_bounded, profile, roll_up, set_id, sums, tagged)
-from canvass.operators.relate import complete_cases, lookup, natural_left_join, region_frequency
+from canvass.operators.relate import complete_cases, lookup, natural_left_join, pairs, region_frequency
 from canvass.operators.reshape import MISSING, gather, spread_pairs, stack_by_name
+from canvass.session import local_table
 
 # ---------------------------------------------------------------------------
 # Category domains, bin edges, and which answer feeds which flag.
@@ -419,6 +420,13 @@ def independence_tests(collapsed: DataFrame, dictionary: Dictionary) -> DataFram
     return chi2_from_counts(counts, ["cut", "resp"])
 
 
+def in_test_order(tests: DataFrame) -> DataFrame:
+    """Tests by family, then cut, then response."""
+    listed = [pair for cuts, responses in CHI2_FAMILIES for pair in pairs(cuts, responses)]
+    order = local_table(tests.sparkSession, [(*p, i) for i, p in enumerate(listed)], "cut string, resp string, ord int")
+    return natural_left_join(tests, order).orderBy("ord").drop("ord")
+
+
 def acreage_interval(derived: DataFrame) -> DataFrame:
     return mean_interval(derived, "fvacreage_pct")
 
