@@ -28,7 +28,10 @@ LABELLED = Domain(("low", "high"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a fixed number of digits, so that summing order does not show."""
+    """Doubles to a fixed number of digits, so that summing order does not show.
+
+    Means of whole numbers need none of this: they are one exact division.
+    """
     return df.select(*[
         (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
@@ -44,12 +47,13 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, t) for t in ("customer", "nation", "region", "orders"))
     places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
     spend = orders.groupBy("o_custkey").agg(
-        (F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")) / 100.0).alias("spend"),
+        F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")).alias("spend_cents"),
         F.count(F.lit(1)).alias("n_orders"))
     joined = customer.join(places, customer.c_nationkey == places.n_nationkey, "left").join(
         spend, customer.c_custkey == spend.o_custkey, "left")
     return joined.withColumns({
-        "spend_bin": bin_by(F.col("spend"), survey.REVENUE_EDGES, survey.REVENUE.levels),
+        "balance_cents": F.rint(F.col("c_acctbal") * 100).cast("long"),
+        "spend_bin": bin_by(F.col("spend_cents") / 100, survey.REVENUE_EDGES, survey.REVENUE.levels),
         "in_credit": (F.col("c_acctbal") > 0).cast("int"),
         "wealthy": (F.col("c_acctbal") > 5000).cast("int"),
         "n_orders": F.coalesce(F.col("n_orders"), F.lit(0)),
@@ -83,10 +87,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = [profile.Cut("c_mktsegment", "Segment", SEGMENTS), profile.Cut("r_name", "Region", REGIONS),
             profile.Cut("spend_bin", "Spending", survey.REVENUE)]
-    measures = [profile.Measure("balance", "c_acctbal"), profile.Measure("spend", "spend"),
+    measures = [profile.Measure("balance_cents", "balance_cents"), profile.Measure("spend_cents", "spend_cents"),
                 profile.Measure("in_credit", "in_credit"), profile.Measure("wealthy", "wealthy"),
                 profile.Measure("orders", "n_orders", "sum")]
-    return rounded(profile.profile(customers(spark, sf_dir), cuts, measures, overall="All customers"))
+    return profile.profile(customers(spark, sf_dir), cuts, measures, overall="All customers")
 
 
 def profile_flags_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,20 +98,20 @@ def profile_flags_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
             profile.Cut("label", "Label", LABELLED)]
     measures = profile.means("quality", "toxic", "english") + [
         profile.Measure("toxic_docs", "toxic", "sum")]
-    return rounded(profile.profile(labelled_documents(spark, sf_dir), cuts, measures, overall="All documents"))
+    return profile.profile(labelled_documents(spark, sf_dir), cuts, measures, overall="All documents")
 
 
 def profile_open_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts without a declared domain: rows are expanded per cut."""
     cuts = [profile.Cut("source", "Source"), profile.Cut("lang", "Language")]
-    return rounded(profile.profile(
-        labelled_documents(spark, sf_dir), cuts, profile.means("quality", "toxic"), overall="All documents"))
+    return profile.profile(
+        labelled_documents(spark, sf_dir), cuts, profile.means("quality", "toxic"), overall="All documents")
 
 
 def global_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.global_summary(
+    return profile.global_summary(
         labelled_documents(spark, sf_dir),
-        [*profile.means("quality", "toxic"), profile.Measure("toxic_docs", "toxic", "sum")]))
+        [*profile.means("quality", "toxic"), profile.Measure("toxic_docs", "toxic", "sum")])
 
 
 def conditional_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +475,7 @@ def water_management(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _profile_table(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(survey.profile_table(_derived(spark, sf_dir), panel.DICTIONARY, name))
+        return survey.profile_table(_derived(spark, sf_dir), panel.DICTIONARY, name)
     return run
 
 

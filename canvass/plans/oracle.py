@@ -25,11 +25,12 @@ REVENUE_BINS = ((25000, 250000, 500000, 1000000, 5000000), survey.REVENUE.levels
 
 CUSTOMERS = f"""
 spend as (
-  select o_custkey, sum(cast(round(o_totalprice * 100) as bigint)) / 100.0::double as spend, count(*) as n_orders
+  select o_custkey, sum(cast(round(o_totalprice * 100) as bigint))::bigint as spend_cents, count(*) as n_orders
   from orders group by o_custkey),
 cus as (
-  select c.*, r_name, spend, coalesce(n_orders, 0) as n_orders,
-         {bins('spend', *REVENUE_BINS)} as spend_bin,
+  select c.*, r_name, spend_cents, coalesce(n_orders, 0) as n_orders,
+         cast(round(c_acctbal * 100) as bigint) as balance_cents,
+         {bins('(spend_cents / 100.0::double)', *REVENUE_BINS)} as spend_bin,
          cast(c_acctbal > 0 as int) as in_credit, cast(c_acctbal > 5000 as int) as wealthy
   from customer c left join nation on c_nationkey = n_nationkey
   left join region on n_regionkey = r_regionkey left join spend on o_custkey = c_custkey)"""
@@ -61,7 +62,8 @@ def profile(rel: str, cuts: Sequence[tuple[str, str]], measures: Mapping[str, st
 
 
 def avg(c: str) -> str:
-    return r(f"avg({c})")
+    """A mean of whole numbers, one exact division on both sides."""
+    return f"avg({c})"
 
 
 def total(c: str) -> str:
@@ -74,7 +76,7 @@ PROFILE_DOCUMENTS = profile(
     "All documents")
 PROFILE_SEGMENTS = profile(
     "cus", [("c_mktsegment", "Segment"), ("r_name", "Region"), ("spend_bin", "Spending")],
-    {"balance": avg("c_acctbal"), "spend": avg("spend"), "in_credit": avg("in_credit"),
+    {"balance_cents": avg("balance_cents"), "spend_cents": avg("spend_cents"), "in_credit": avg("in_credit"),
      "wealthy": avg("wealthy"), "orders": total("n_orders")}, "All customers")
 
 # --- special functions -----------------------------------------------------
@@ -652,7 +654,8 @@ ORACLE: dict[str, str] = {
     "survey_csv_scan": f"with {PANEL}\n{survey_scan()}",
     "tbl1": f"with {PANEL}\n{farm_characteristics()}",
     "tbl1_checks": f"""with {PANEL}
-        select {avg('dist_hhi')} as dist_hhi, {avg('acre_hhi')} as acre_hhi, {avg('fvacreage_pct')} as fvacreage_pct,
+        select {r('avg(dist_hhi)')} as dist_hhi, {r('avg(acre_hhi)')} as acre_hhi,
+          {r('avg(fvacreage_pct)')} as fvacreage_pct,
           count(*) filter (pna_used) as other_pna_used from d""",
     **{name: f"with {PANEL}\n{profile_table(name)}" for name in survey.PROFILE_TABLES},
     "tblA1": f"with {PANEL}\n{water_management()}",

@@ -154,5 +154,5 @@ def test_flagship_on_small_tables(spark):
     from canvass.plans.catalog import QUERIES
 
     got = QUERIES["profile_segments"](spark, SMALL)
-    assert got.columns == ["type", "level", "N", "balance", "spend", "in_credit", "wealthy", "orders"]
+    assert got.columns == ["type", "level", "N", "balance_cents", "spend_cents", "in_credit", "wealthy", "orders"]
     assert got.count() > 10
