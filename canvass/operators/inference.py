@@ -12,21 +12,28 @@ from canvass.functions.special import chi2_upper_tail, t_quantile
 from canvass.operators.profile import Cut, joint_groups_bounded, roll_up, set_id, tagged
 
 
-def chi2_from_counts(counts: DataFrame, tests: Sequence[str]) -> DataFrame:
+def chi2_from_counts(counts: DataFrame, tests: Sequence[str], many_cells: bool = False) -> DataFrame:
     """Pearson tests from long counts ``(tests..., row, col, o)``, one row per table cell.
 
     Cells nobody falls into may be absent. Levels without observations do not
     count. Two-by-two tables take the Yates correction. Fewer than two levels on
-    a side give NULLs. The windows run over table cells, whose number depends on
-    the levels of the categories and not on the rows behind them; partitioning by
-    test comes first, so that the finer windows need no further shuffle.
+    a side give NULLs.
+
+    Tables of survey categories are small whatever the number of rows behind
+    them: a test's cells then share a partition and one shuffle serves all
+    margins. With ``many_cells`` a table is spread over partitions instead, its
+    total joined back (one row per test, hence the broadcast).
     """
     by_row = Window.partitionBy(*tests, "row")
     by_col = Window.partitionBy(*tests, "col")
-    whole = Window.partitionBy(*tests)
+    found = counts.where(F.col("o") > 0)
+    if many_cells:
+        totals = found.groupBy(*tests).agg(F.sum("o").cast("double").alias("total"))
+        found = found.join(F.broadcast(totals), list(tests))
+    else:
+        found = found.withColumn("total", F.sum("o").over(Window.partitionBy(*tests)).cast("double"))
     cells = (
-        counts.where(F.col("o") > 0)
-        .withColumn("total", F.sum("o").over(whole).cast("double"))
+        found
         .withColumns({"r": F.sum("o").over(by_row).cast("double"), "in_row": F.count("o").over(by_row)})
         .withColumns({"c": F.sum("o").over(by_col).cast("double"), "in_col": F.count("o").over(by_col)})
         .withColumn("e", F.col("r") * F.col("c") / F.col("total"))
@@ -91,7 +98,7 @@ def chi2_test(df: DataFrame, x: str, y: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("o"))
         .withColumns({"cut": F.lit(x), "resp": F.lit(y)})
     )
-    return chi2_from_counts(counts, ["cut", "resp"])
+    return chi2_from_counts(counts, ["cut", "resp"], many_cells=True)
 
 
 def mean_interval(df: DataFrame, column: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:

@@ -679,6 +679,6 @@ ORACLE: dict[str, str] = {
     "tblA6": f"{survey_models('det')}\n{report('det')}",
     "tblA7": f"{survey_models('con')}\n{report('con')}",
     "model_bundle": " union all ".join(
-        f"select '{f}' as family, {len(deps) * rows} as n, '{kind}' as kind"
+        f"select '{f}' as family, {len(deps) * rows}::bigint as n, '{kind}' as kind"
         for f, deps in survey.PROBIT_FAMILIES.items() for kind, rows in (("coefficients", 8), ("effects", 7), ("fits", 1))),
 }

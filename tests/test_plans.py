@@ -55,6 +55,16 @@ def test_table_totals_share_one_shuffle(make):
     assert tree.count("Exchange") == 1
 
 
+def test_large_tables_spread_over_partitions(spark):
+    """Many levels on both sides: margins are partitioned by level, never by the whole test."""
+    df = spark.range(200_000).selectExpr("cast(id % 997 as string) as a", "cast(id % 499 as string) as b")
+    test = inference.chi2_test(df, "a", "b")
+    tree = test._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(row#\d+", tree) and re.search(r"hashpartitioning\(col#\d+", tree)
+    got = test.first()
+    assert got.df == 996 * 498 and got.stat is not None
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(inference.mean_interval(lines(spark, SMALL), "l_discount"))
     assert "PushedFilters: [IsNotNull(l_discount)]" in text
