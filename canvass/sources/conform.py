@@ -18,7 +18,8 @@ def text_cell(name: str) -> str:
 
 
 def number_cell(name: str) -> str:
-    return f"try_cast(`{name}` as double)"
+    """A number, missing when the text is none; an undefined number (NaN) counts as missing too."""
+    return f"nanvl(try_cast(`{name}` as double), cast(null as double))"
 
 
 def conform(raw: DataFrame, numeric: Sequence[str] = schema.NUMERIC) -> DataFrame:

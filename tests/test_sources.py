@@ -44,6 +44,11 @@ def test_typed_columns_stay(make):
     assert tuple(got.first()) == (1.5, None, 7.0)
 
 
+def test_numbers(make):
+    got = conform(make([(t,) for t in ("1.5", " 2 ", "1e3", "-4", "NaN", "NA", "", "x", None)], "rev_est string"))
+    assert [r[0] for r in got.collect()] == [1.5, 2.0, 1000.0, -4.0, None, None, None, None, None]
+
+
 def test_region_map_constants(spark):
     rows = maps.region_map(spark).collect()
     assert len(rows) == len({r.state_abb for r in rows}) == 51
