@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.flags import quoted
@@ -64,23 +64,21 @@ def pick(levels: Sequence[str], positions: Mapping[int, str]) -> dict[str, str]:
     return {levels[i - 1]: label for i, label in positions.items() if i <= len(levels)}
 
 
-def sorted_levels(df: DataFrame, column: str, first: int) -> list[str]:
-    """The ``first`` distinct values in sorted order.
+def sorted_levels(df: DataFrame, first: Mapping[str, int]) -> dict[str, list[str]]:
+    """Per column, its first distinct values in sorted order, as many as asked for.
 
-    Picking by position never needs more than the largest position, so the
-    distinct values are cut to that many inside Spark, before they reach the driver.
+    One pass serves all columns. Picking by position never needs more than the
+    largest position, and Spark applies that limit within each task before it
+    shuffles, so even a free-text column sends a handful of values.
     """
-    rows = (
-        df.select(F.col(column).alias("v"))
-        .where(F.col("v").isNotNull())
-        .distinct()
-        .orderBy("v")
-        .limit(first)
-        .collect()
-    )
-    return [r.v for r in rows]
+    cells = ", ".join(f"struct({quoted(c)} as name, cast(`{c}` as string) as v)" for c in first)
+    found = df.select(F.expr(f"inline(array({cells}))")).where("v is not null").distinct()
+    order = F.row_number().over(Window.partitionBy("name").orderBy("v"))
+    rows = found.withColumn("k", order).where(F.col("k") <= max(first.values())).collect()
+    levels = {c: [r.v for r in sorted(rows, key=lambda r: r.k) if r.name == c] for c in first}
+    return {c: values[: first[c]] for c, values in levels.items()}
 
 
 def sorted_position(df: DataFrame, column: str, positions: Mapping[int, str]) -> dict[str, str]:
     """``pick`` on the levels found in the data."""
-    return pick(sorted_levels(df, column, max(positions)), positions)
+    return pick(sorted_levels(df, {column: max(positions)})[column], positions)

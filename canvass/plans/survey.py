@@ -205,9 +205,8 @@ class Dictionary:
 
     @staticmethod
     def from_data(df: DataFrame, regions: Domain = REGIONS) -> "Dictionary":
-        """Look the levels up in a conformed table; runs one small job per column."""
-        return Dictionary.from_levels(
-            {c: sorted_levels(df, c, max(POSITIONS[c])) for c in POSITIONS}, regions)
+        """Look the levels up in a conformed table, in one pass."""
+        return Dictionary.from_levels(sorted_levels(df, {c: max(p) for c, p in POSITIONS.items()}), regions)
 
 
 # ---------------------------------------------------------------------------

@@ -65,11 +65,16 @@ def test_collapse(make, values):
 
 def test_levels_by_sorted_position(make):
     df = make([(v,) for v in ["c", "", "a", "b", "a", None]], "v string")
-    assert sorted_levels(df, "v", 3) == ["", "a", "b"]
+    assert sorted_levels(df, {"v": 3}) == {"v": ["", "a", "b"]}
     assert sorted_position(df, "v", {2: "first", 4: "last", 9: "absent"}) == {"a": "first", "c": "last"}
     assert pick(["", "x"], {2: "one"}) == {"x": "one"}
 
 
+def test_levels_of_several_columns(make):
+    df = make([("b", "y"), ("a", None), ("c", "x")], "p string, q string")
+    assert sorted_levels(df, {"p": 2, "q": 5}) == {"p": ["a", "b"], "q": ["x", "y"]}
+
+
 def test_relevel_and_dummies(make):
     domain = Domain(("Some", "None")).relevel("None")
     assert domain.levels == ("None", "Some")
