@@ -8,12 +8,12 @@ pooled state. Every text is cut into overlapping windows, all of them are
 scored, and the highest logit, calibrated on the training documents, is the
 document's score.
 
-The network is trained in numpy on the driver, on about ``per_class`` labelled
-documents a class (the documented bound of the sample, whose rows are chosen by
-a hash of the id). In the first round every window carries its document's
-label. Afterwards a toxic document teaches by its highest window and those that
-pass one half, because most windows of a toxic document are harmless; clean
-documents teach by all of theirs. A fifth of the documents only calibrate.
+The network is trained in numpy on the driver, on about ``per_class`` toxic
+and twice as many clean labelled documents (the documented bound of the sample, whose rows are chosen by
+a hash of the id). Only documents carry labels, so a training step takes whole
+documents and follows the soft maximum of their windows' logits: a toxic
+document teaches by the windows that look toxic, a clean one by those that look
+least clean. A fifth of the sample only calibrates.
 Scoring is one pass in pieces of
 bounded size: a piece's distinct words are embedded once, and all windows of
 the piece advance together, one matrix product a step.
@@ -38,10 +38,10 @@ from canvass.llm.batches import chunks, mixed
 from canvass.llm.common import text_of
 from canvass.llm.split import held_out, sampled
 
-PER_CLASS = 800
+PER_CLASS, CLEAN_TIMES = 800, 2
 WINDOW, STRIDE = 40, 30
-GRAMS = 1 << 14  #: rows of the n-gram table
-LEAST_DOCUMENTS = 5  #: a word of fewer training documents is unknown: its spelling speaks for it
+GRAMS = 1 << 16  #: rows of the n-gram table
+LEAST_DOCUMENTS = 8  #: a word of fewer training documents is unknown: its spelling speaks for it
 SIZE, HIDDEN = 8, 8  #: width of each embedding and of each direction's state
 THRESHOLD = 0.3
 
@@ -165,13 +165,22 @@ def forward(p: dict, vectors: np.ndarray, ids: np.ndarray, keep: dict | None = N
     return pooled @ p["out"] + p["bias"][0]
 
 
-def gradients(p: dict, rows: np.ndarray, words: Words, ids: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted log loss over windows of the distinct words of ``words``."""
+def soft_maximum(logit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the log of the mean of the windows' exponentials, and each window's share in it; documents count from 0 without gaps."""
+    top = _highest(doc, logit, int(doc.max()) + 1)
+    e = np.exp(logit - top[doc])
+    total = np.bincount(doc, e)
+    return top + np.log(total / np.bincount(doc)), e / total[doc]
+
+
+def gradients(p: dict, rows: np.ndarray, words: Words, ids: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted log loss over documents, whose windows consist of the distinct words of ``words``."""
     keep: dict = {}
     vectors = embed(p, rows, words)
     logit = forward(p, vectors, ids, keep)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    dl = ((_sigmoid(logit) - y) * weight / len(y)).astype(np.float32)
+    whole, share = soft_maximum(logit, doc)
+    dl = (((_sigmoid(whole) - y) * weight / len(y))[doc] * share).astype(vectors.dtype)
     h, u, a, mask = keep["h"], keep["u"], keep["a"], keep["mask"]
     g["out"], g["bias"] = keep["pooled"].T @ dl, dl.sum(keepdims=True)
     dp = dl[:, None] * p["out"]
@@ -245,8 +254,22 @@ class Model(NamedTuple):
         return np.where(np.isfinite(top), _sigmoid(self.slope * np.where(np.isfinite(top), top, 0) + self.offset), 0.0)
 
 
-def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int = 4, batch: int = 512, rate: float = 0.02, least_steps: int = 300, seed: int = 5) -> Model | None:
-    """A network and its calibration; ``weight`` undoes the sampling of the classes when calibrating."""
+def fit(
+    texts: list[str],
+    labels: np.ndarray,
+    weight: np.ndarray,
+    rounds: int = 6,
+    batch: int = 512,
+    rate: float = 0.01,
+    decay: float = 0.01,
+    blur: float = 0.3,
+    least_steps: int = 250,
+    seed: int = 5,
+) -> Model | None:
+    """A network and its calibration; ``weight`` undoes the sampling of the classes when calibrating.
+
+    A step takes documents with about ``batch`` windows. ``blur``: the share of distinct words that a step treats as unknown.
+    """
     if len(set(labels.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -254,36 +277,36 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray, rounds: int =
     doc, first, length = windows_of(words.first)
     if not len(doc):
         return None
+    own_windows = np.searchsorted(doc, np.arange(len(texts) + 1))
     aside = rng.random(len(texts)) < 0.2 if len(texts) >= 200 else np.zeros(len(texts), bool)
     seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(words.first)) * len(words.key) + words.which) % len(words.key)
-    frequent = np.bincount(seen, minlength=len(words.key)) >= LEAST_DOCUMENTS
-    known = words.key[frequent]
+    known = words.key[np.bincount(seen, minlength=len(words.key)) >= LEAST_DOCUMENTS]
     rows, gram_n = rows_of(known, words.key), np.diff(np.append(words.gram_at, len(words.gram)))
     p = initial(len(known), seed)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    teach = np.flatnonzero(~aside[doc])
-    for turn in range(rounds):
-        own = teach
-        if turn:
-            logit = _logits(p, rows, words, first, length)
-            own = teach[(labels[doc[teach]] == 0) | (logit[teach] >= np.minimum(0, _highest(doc, logit, len(texts))[doc[teach]]))]
-        toxic = labels[doc[own]] == 1
-        balance = np.where(toxic, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
-        for _ in range(max(1, -(-least_steps * batch // (rounds * len(own))))):
-            order = rng.permutation(len(own))
-            for s in range(0, len(order), batch):
-                at = order[s : s + batch]
-                ids = _window_ids(words, first[own[at]], length[own[at]])
-                used, local = np.unique(ids, return_inverse=True)
-                used = used[used < len(words.key)]
-                n = gram_n[used]
-                small = Words(words.first, words.which, words.key[used], words.gram[_ranges(words.gram_at[used], n)], np.cumsum(n) - n)
-                g = gradients(p, rows[used], small, local.reshape(ids.shape), labels[doc[own[at]]], balance[at])
-                step += 1
-                for k in p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                    p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    teach = np.flatnonzero(~aside & (np.diff(own_windows) > 0))
+    balance = np.where(labels == 1, 0.5 / max(labels[teach].mean(), 1e-9), 0.5 / max(1 - labels[teach].mean(), 1e-9))
+    rounds = max(rounds, -(-least_steps * batch // max(1, int(np.diff(own_windows)[teach].sum()))))
+    for _ in range(rounds):
+        order = rng.permutation(teach)
+        cut = np.flatnonzero(np.diff(np.cumsum(np.diff(own_windows)[order]) // batch, prepend=0))
+        for docs in np.split(order, cut):
+            if not len(docs):
+                continue
+            n_own = np.diff(own_windows)[docs]
+            at = _ranges(own_windows[docs], n_own)
+            ids = _window_ids(words, first[at], length[at])
+            used, local = np.unique(ids, return_inverse=True)
+            used = used[used < len(words.key)]
+            n = gram_n[used]
+            small = Words(words.first, words.which, words.key[used], words.gram[_ranges(words.gram_at[used], n)], np.cumsum(n) - n)
+            shown = np.where(rng.random(len(used)) < blur, len(known), rows[used])
+            g = gradients(p, shown, small, local.reshape(ids.shape), np.repeat(np.arange(len(docs)), n_own), labels[docs], balance[docs])
+            step += 1
+            for k in p:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+                p[k] -= (rate * ((m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8) + decay * p[k])).astype(np.float32)
     top = _highest(doc, _logits(p, rows, words, first, length), len(texts))
     checks = aside if len(set(labels[aside].tolist())) == 2 else ~aside
     return Model(p, known, *_calibrated(top[checks], labels[checks], weight[checks]))
@@ -293,11 +316,11 @@ def _calibrated(top: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tupl
     """Slope and offset of a logistic curve through the documents' highest logits, by ridged Newton steps."""
     ok = np.isfinite(top)
     x, y, w = np.stack([top[ok], np.ones(ok.sum())], 1), labels[ok].astype(float), weight[ok]
-    b = np.array([1.0, 0.0])
-    for _ in range(50):
+    b, ridge = np.array([0.3, 0.0]), np.array([0.3, 1e-4])  # a penalised slope puts the middle between the classes where they part
+    for _ in range(200):
         q = _sigmoid(x @ b)
-        grad = x.T @ (w * (q - y)) + 0.1 * (b - [1.0, 0.0])
-        hess = (x * (w * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(2)
+        grad = x.T @ (w * (q - y)) + ridge * b
+        hess = (x * (w * q * (1 - q))[:, None]).T @ x + np.diag(ridge)
         move = np.linalg.solve(hess, grad)
         b -= move / max(1.0, np.abs(move).max())
     return float(max(b[0], 0.05)), float(b[1])
@@ -310,11 +333,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
+    share = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, CLEAN_TIMES * per_class / sizes[0]))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(marks.filter(sampled("id", share)), "id").collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     y = np.array([r["y"] for r in rows])
-    weight = np.array([max(1.0, sizes[k] / per_class) for k in y])
+    weight = np.array([max(1.0, sizes[k] / (per_class if k else CLEAN_TIMES * per_class)) for k in y])
     return fit([r["text"] for r in rows], y, weight)
 
 
