@@ -13,7 +13,7 @@ and twice as many clean labelled documents (the documented bound of the sample,
 a hash of the id). Only documents carry labels, so a training step takes whole
 documents and follows the soft maximum of their windows' logits: a toxic
 document teaches by the windows that look toxic, a clean one by those that look
-least clean. A fifth of the sample only calibrates.
+least clean. A fifth of the sample chooses the best round and calibrates.
 Scoring is one pass in pieces of
 bounded size: a piece's distinct words are embedded once, and all windows of
 the piece advance together, one matrix product a step.
@@ -41,7 +41,7 @@ from canvass.llm.split import held_out, sampled
 PER_CLASS, CLEAN_TIMES = 800, 2
 WINDOW, STRIDE = 40, 30
 GRAMS = 1 << 16  #: rows of the n-gram table
-LEAST_DOCUMENTS = 8  #: a word of fewer training documents is unknown: its spelling speaks for it
+LEAST_DOCUMENTS = 4  #: a word of fewer training documents is unknown: its spelling speaks for it
 SIZE, HIDDEN = 8, 8  #: width of each embedding and of each direction's state
 THRESHOLD = 0.3
 
@@ -105,7 +105,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def initial(known: int, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     new = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
-    p = {"word": new(known + 1, SIZE, scale=0.3), "gram": new(GRAMS, SIZE, scale=0.6)}
+    p = {"word": new(known + 1, SIZE, scale=0.2), "gram": new(GRAMS, SIZE, scale=0.2)}
     for d in ("f", "b"):
         p[f"x{d}"] = new(2 * SIZE, 3 * HIDDEN, scale=0.25)
         p[f"h{d}"] = new(HIDDEN, 3 * HIDDEN, scale=0.3)
@@ -124,9 +124,13 @@ def embed(p: dict, rows: np.ndarray, words: Words) -> np.ndarray:
     """Vectors of the distinct words, whose rows in the word table are ``rows``."""
     if not len(rows):
         return np.zeros((0, 2 * SIZE), np.float32)
-    n = np.diff(np.append(words.gram_at, len(words.gram)))
-    mean = np.add.reduceat(p["gram"][words.gram], words.gram_at) / n[:, None].astype(np.float32)
-    return np.concatenate([p["word"][rows], mean], axis=1)
+    n, out = np.diff(np.append(words.gram_at, len(words.gram))), np.empty((len(rows), 2 * SIZE), p["gram"].dtype)
+    out[:, :SIZE] = p["word"][rows]
+    for s in range(0, len(rows), 20_000):
+        at = words.gram_at[s : s + 20_000]
+        grams = words.gram[at[0] : at[-1] + n[s + len(at) - 1]]
+        out[s : s + len(at), SIZE:] = np.add.reduceat(p["gram"][grams], at - at[0]) / n[s : s + len(at), None]
+    return out
 
 
 def _gru(p: dict, d: str, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -231,7 +235,7 @@ def _window_ids(words: Words, first: np.ndarray, length: np.ndarray) -> np.ndarr
 
 def _logits(p: dict, rows: np.ndarray, words: Words, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     vectors = embed(p, rows, words)
-    parts = [forward(p, vectors, _window_ids(words, first[s : s + 8192], length[s : s + 8192])) for s in range(0, len(first), 8192)]
+    parts = [forward(p, vectors, _window_ids(words, first[s : s + 4096], length[s : s + 4096])) for s in range(0, len(first), 4096)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -254,6 +258,46 @@ class Model(NamedTuple):
         return np.where(np.isfinite(top), _sigmoid(self.slope * np.where(np.isfinite(top), top, 0) + self.offset), 0.0)
 
 
+def words_in_pieces(texts: list[str], most: int = 500_000) -> Words:
+    """``words_of`` for many texts, a bounded piece of them at a time."""
+    parts, own, size = [], [], 0
+    for t in [*texts, None]:
+        if own and (t is None or size + len(t) > most):
+            parts.append(words_of(own))
+            own, size = [], 0
+        if t is not None:
+            own.append(t)
+            size += len(t)
+    if not parts:
+        return words_of([])
+    key, sample, back = np.unique(np.concatenate([w.key for w in parts]), return_index=True, return_inverse=True)
+    counts = np.concatenate([np.diff(np.append(w.gram_at, len(w.gram))) for w in parts])
+    gram_at = np.concatenate([w.gram_at + n for w, n in zip(parts, np.cumsum([0, *(len(w.gram) for w in parts)]))])
+    first = np.concatenate([[0], *(np.diff(w.first) for w in parts)])
+    which = np.concatenate([back[w.which + n] for w, n in zip(parts, np.cumsum([0, *(len(w.key) for w in parts)]))])
+    n, gram = counts[sample], np.concatenate([w.gram for w in parts])[_ranges(gram_at[sample], counts[sample])]
+    return Words(np.cumsum(first), which, key, gram, np.cumsum(n) - n)
+
+
+def leaning(words: Words, labels: np.ndarray, teach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How much more often toxic than clean documents have each word and each n-gram (a log ratio over its standard error), and which words enough of them have.
+
+    Vectors start from it, which saves the network from finding rare words by chance.
+    """
+    word, gram = np.full((2, len(words.key)), 0.5), np.full((2, GRAMS), 0.5)
+    n = np.diff(np.append(words.gram_at, len(words.gram)))
+    for d in teach:
+        own = np.unique(words.which[words.first[d] : words.first[d + 1]])
+        word[labels[d], own] += 1
+        gram[labels[d], np.unique(words.gram[_ranges(words.gram_at[own], n[own])])] += 1
+    docs = np.bincount(labels[teach], minlength=2) + 1
+    out = []
+    for b, a in (word, gram):
+        z = (np.log(a / docs[1]) - np.log(b / docs[0])) / np.sqrt(1 / a + 1 / b) / 2
+        out.append(np.where(a + b >= LEAST_DOCUMENTS + 1, z, 0))
+    return out[0], out[1], word.sum(axis=0) >= LEAST_DOCUMENTS + 1
+
+
 def fit(
     texts: list[str],
     labels: np.ndarray,
@@ -273,18 +317,23 @@ def fit(
     if len(set(labels.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
-    words = words_of(texts)
+    words = words_in_pieces(texts)
     doc, first, length = windows_of(words.first)
     if not len(doc):
         return None
     own_windows = np.searchsorted(doc, np.arange(len(texts) + 1))
-    aside = rng.random(len(texts)) < 0.2 if len(texts) >= 200 else np.zeros(len(texts), bool)
-    seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(words.first)) * len(words.key) + words.which) % len(words.key)
-    known = words.key[np.bincount(seen, minlength=len(words.key)) >= LEAST_DOCUMENTS]
-    rows, gram_n = rows_of(known, words.key), np.diff(np.append(words.gram_at, len(words.gram)))
+    aside = rng.random(len(texts)) < 0.2
+    if labels[aside].sum() < 30:  # too few to judge by: learn and judge by all
+        aside[:] = False
+    gram_n = np.diff(np.append(words.gram_at, len(words.gram)))
+    teach = np.flatnonzero(~aside & (np.diff(own_windows) > 0))
+    word_lean, gram_lean, frequent = leaning(words, labels, teach)
+    known = words.key[frequent]
+    rows = rows_of(known, words.key)
     p = initial(len(known), seed)
+    p["word"][:-1, 0], p["gram"][:, 0] = word_lean[frequent], gram_lean
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    teach = np.flatnonzero(~aside & (np.diff(own_windows) > 0))
+    best, best_loss, judges = p, np.inf, np.flatnonzero((aside if aside.any() else ~aside) & (np.diff(own_windows) > 0))
     balance = np.where(labels == 1, 0.5 / max(labels[teach].mean(), 1e-9), 0.5 / max(1 - labels[teach].mean(), 1e-9))
     rounds = max(rounds, -(-least_steps * batch // max(1, int(np.diff(own_windows)[teach].sum()))))
     for _ in range(rounds):
@@ -307,6 +356,12 @@ def fit(
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 p[k] -= (rate * ((m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8) + decay * p[k])).astype(np.float32)
+        at = _ranges(own_windows[judges], np.diff(own_windows)[judges])
+        whole, _ = soft_maximum(_logits(p, rows, words, first[at], length[at]), np.repeat(np.arange(len(judges)), np.diff(own_windows)[judges]))
+        loss = np.average(np.logaddexp(0, np.where(labels[judges] == 1, -whole, whole)), weights=balance[judges])
+        if loss < best_loss:
+            best, best_loss = {k: x.copy() for k, x in p.items()}, loss
+    p = best
     top = _highest(doc, _logits(p, rows, words, first, length), len(texts))
     checks = aside if len(set(labels[aside].tolist())) == 2 else ~aside
     return Model(p, known, *_calibrated(top[checks], labels[checks], weight[checks]))
