@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, secret_scan, toxicity, url_filter
+from canvass.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
 from canvass.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
