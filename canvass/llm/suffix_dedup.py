@@ -45,7 +45,8 @@ from canvass.llm.batches import prefix_sums, range_hash
 from canvass.llm.common import stored, text_of
 
 LENGTH, ANCHOR = 100, 32
-PLACE_BITS = 7  #: of an anchor's place, kept below its hash so that the leftmost of equal anchors is the smallest
+TILE = 8192  #: windows whose anchors are found together
+PLACE_BITS = 14  #: of an anchor's place in its tile, kept below its hash so that the leftmost of equal anchors is the smallest
 MOST_SEGMENTS = 20_000
 SHARDS = 2
 END = 0xFF  #: a byte that UTF-8 never uses
@@ -53,23 +54,31 @@ PIECE = 1_000_000  #: bytes that a merge takes at once, unless one anchor's segm
 
 
 def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, start, number of windows and content hash of each segment of one text."""
+    """Anchor hash, start, number of windows and content hash of each segment of one text.
+
+    The leftmost of equal anchors counts, so no segment holds a window twice.
+    """
     windows = len(data) - LENGTH + 1
     if windows < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums = prefix_sums(data)
-    at = np.arange(len(data) - ANCHOR + 1)
-    key = range_hash(sums, at, at + ANCHOR) & ~np.uint64((1 << PLACE_BITS) - 1)
-    key |= at.astype(np.uint64) & np.uint64((1 << PLACE_BITS) - 1)
-    span, width = LENGTH - ANCHOR + 1, 1
-    while 2 * width <= span:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < span:
-        key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sums, span = prefix_sums(data), LENGTH - ANCHOR + 1
+    anchors, starts = [], []
+    for low in range(0, windows, TILE):
+        at = np.arange(low, min(low + TILE, windows) + span - 1)
+        key = range_hash(sums, at, at + ANCHOR) & ~np.uint64((1 << PLACE_BITS) - 1)
+        key |= (at - low).astype(np.uint64)
+        width = 1
+        while 2 * width <= span:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        if width < span:
+            key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        anchors.append(key[start] >> np.uint64(PLACE_BITS))
+        starts.append(start + low)
+    start = np.concatenate(starts)
     n = np.diff(np.append(start, windows))
-    return (key[start] >> np.uint64(PLACE_BITS)).astype(np.int64), start, n, range_hash(sums, start, start + n + LENGTH - 1).view(np.int64)
+    return np.concatenate(anchors).astype(np.int64), start, n, range_hash(sums, start, start + n + LENGTH - 1).view(np.int64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 2, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
