@@ -80,12 +80,11 @@ def words_of(texts: list[str]) -> Words:
     four = three[:-1] * np.uint64(0x9E3779B1) + code[3:]
     grams = [(mixed(g + np.uint64(k << 60)) % np.uint64(GRAMS)).astype(np.int32) for k, g in enumerate((three, four), 1)]
     b, n = begin[sample], (end - begin)[sample]
-    counts = np.stack([n, np.maximum(n - 1, 1)])
+    counts = np.stack([n, n - 1])
     gram = np.empty(int(counts.sum()), np.int32)
     gram_at = np.cumsum(counts.sum(axis=0)) - counts.sum(axis=0)
     gram[_ranges(gram_at, counts[0])] = grams[0][_ranges(b - 1, counts[0])]
-    four_at = np.minimum(_ranges(b - 1, counts[1]), len(grams[1]) - 1)
-    gram[_ranges(gram_at + counts[0], counts[1])] = grams[1][four_at]
+    gram[_ranges(gram_at + counts[0], counts[1])] = grams[1][_ranges(b - 1, counts[1])]
     return Words(np.searchsorted(begin, starts), which, distinct, gram, gram_at)
 
 
@@ -389,7 +388,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(sizes) < 2:
         return None
     share = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, CLEAN_TIMES * per_class / sizes[0]))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(marks.filter(sampled("id", share)), "id").collect()
+    chosen = F.broadcast(marks.filter(sampled("id", share)))  # about (1 + CLEAN_TIMES) * per_class rows, whatever the table
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(chosen, "id").collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     y = np.array([r["y"] for r in rows])
     weight = np.array([max(1.0, sizes[k] / (per_class if k else CLEAN_TIMES * per_class)) for k in y])
