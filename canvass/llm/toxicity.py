@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -396,20 +397,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows], y, weight)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """One row per document: id, held_out, score, predicted."""
-    model = learn(docs, labels, id_col, text_col, label_col, per_class)
+def scorer(model: Model | None):
+    """Scores of a text column, piece by piece."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            table = pa.RecordBatch.from_arrays([pa.array(range(len(batch))), pa.array(batch, pa.string())], names=["i", "t"])
+            parts = [model.score(texts) if model else np.zeros(len(texts)) for _, texts in chunks(iter([table]), 1_000_000)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches, 1_000_000):
-            scores = model.score(texts) if model else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores.astype(np.float64))], names=["id", "score"])
+    return score
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "id long, score double")
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
+    """One row per document: id, held_out, score, predicted."""
+    score = scorer(learn(docs, labels, id_col, text_col, label_col, per_class))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col).cast("string")).alias("score"))
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; rows without id are judged by themselves alone and stay."""
-    bad = toxicity(docs, labels, id_col, text_col).filter("predicted = 1 and " + f"`{id_col}` is not null").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad.distinct(), F.col(id_col) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    score = scorer(learn(docs, labels, id_col, text_col))
+    return docs.filter(score(F.col(text_col).cast("string")) < THRESHOLD)
