@@ -15,13 +15,15 @@ exactly their weighted Jaccard similarity. Points are generated only while they
 can still change a slot, and a weight w costs log w processes.
 
 **Banding.** 24 bands of 5 slots miss a pair of similarity 0.8 with
-probability below 1e-4. Every bucket's members are verified against its
-smallest member, not against each other: linear in rows, however large the
-bucket. Links make components. Where a bucket's members are still in several
-components, members of different components are compared by signature, in
-blocks that deal a large bucket out to many tasks, and pairs that agree in 62 %
-of the slots (a pair of similarity 0.8 falls below that once in a million) are
-verified too. So no link is lost that the bands found.
+probability below 1e-4. Every bucket's members are verified against its most
+central member, the one whose buckets are fullest, not against each other:
+linear in rows, however large the bucket. Links make components. Texts that
+buckets tie together without all being in one component get a second look: the
+members outside the largest component are compared with all others by
+signature, in blocks that deal the work out to many tasks, and pairs that agree
+in 62 % of the slots (a pair of similarity 0.8 falls below that once in a
+million) are verified unless their components have met. So no link is lost that
+the bands found, and no task emits more links than it has members.
 
 Texts with the same words collapse to one node first. Node, bucket and link
 tables are cut in the shared folder.
@@ -36,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +51,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 AGREE = 0.62
-BLOCK = 256
+#: Members outside the main component, and all members, that a task compares at a time.
+BLOCK, CHUNK = 256, 1024
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,41 +169,67 @@ def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "bu", "nu", "bv", "nv").mapInArrow(_similar, "u long, v long")
 
 
-def _agreeing(pdf):
-    """Pairs of a block pair whose components differ and whose signatures agree."""
-    import pandas as pd
-
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    # both sides hold the bucket's members of one block; equal blocks hold the same members on both sides
-    a, b = (np.stack([np.frombuffer(s, np.float64) for s in p["sig"]]) if len(p) else np.zeros((0, SLOTS)) for p in (left, right))
-    same = np.zeros((len(a), len(b)), np.int16)
-    for k in range(SLOTS):
-        same += a[:, k][:, None] == b[:, k][None, :]
-    nodes, others = left["node"].to_numpy(), right["node"].to_numpy()
-    wanted = (same >= AGREE * SLOTS) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-    i, j = np.nonzero(wanted)
-    return pd.DataFrame({"u": np.minimum(nodes[i], others[j]), "v": np.maximum(nodes[i], others[j])})
+def _bridges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of some members outside the main one and those of a chunk of all members.
+
+    Candidates are pairs whose signatures agree; the likeliest are verified
+    first, and a pair whose components have met meanwhile needs no look.
+    """
+    left, right = (pdf[pdf["side"] == k].sort_values("node") for k in (0, 1))
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        sig = [np.stack([np.frombuffer(s, np.float64) for s in p["sig"]]) for p in (left, right)]
+        same = np.zeros((len(left), len(right)), np.int16)
+        for k in range(SLOTS):
+            same += sig[0][:, k][:, None] == sig[1][:, k][None, :]
+        (n, c, bag, times), (n2, c2, bag2, times2) = ([p[k].to_numpy() for k in ("node", "comp", "bag", "n")] for p in (left, right))
+        once = right["outside"].to_numpy()[None, :] & (n[:, None] >= n2[None, :])  # two outside members meet in either order
+        i, j = np.nonzero((same >= AGREE * SLOTS) & (c[:, None] != c2[None, :]) & ~once)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for k in np.argsort(-same[i, j], kind="stable"):
+            x, y = i[k], j[k]
+            u, v = top(c[x]), top(c2[y])
+            if u != v and similarity(bag[x].view(np.uint64), times[x], bag2[y].view(np.uint64), times2[y]) >= SIMILAR:
+                up[max(u, v)] = min(u, v)
+                out.append((n[x], n2[y]))
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
 def _resigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sigs = [signature(a.view(np.uint64), n).tobytes() for a, n in zip(_lists(batch.column(1)), _lists(batch.column(2)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], names=["node", "sig"])
-
-
-def _rest(members: DataFrame, comps: DataFrame, bag: DataFrame) -> DataFrame:
-    """Candidate pairs across the components that share a bucket; ``members``: (key, node) of shared buckets."""
-    known = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("size")).filter("a <> b")
-    mixed_members = stored(known.join(split.select("key", "size"), "key"), "mixed")
-    sigs = bag.join(mixed_members.select("node").distinct(), "node", "left_semi").select("node", "bag", "n").mapInArrow(_resigned, "node long, sig binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    dealt = mixed_members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # block pair (low, high); a member of block b stands on the low side for higher blocks, on the high side for lower ones, on both with its own
-    sides = dealt.withColumn("side", F.explode(F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("own") > F.col("other")).cast("int")))))
-    rows = sides.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "side", "node", "comp").join(sigs, "node")
-    return rows.groupBy("key", "low", "high").applyInPandas(_agreeing, "u long, v long").distinct()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.binary())], names=["node", "bag", "n", "sig"])
+
+
+def _rest(pairs: DataFrame, comps: DataFrame, bag: DataFrame) -> DataFrame:
+    """Links across components that the first ones left apart, among texts that buckets tie together.
+
+    A neighbourhood is a component of the bucket pairs, similar or not. Its
+    largest component of links is its main one; every member outside that is
+    compared with all members, in blocks of bounded size.
+    """
+    around = components(pairs).select("node", F.col("comp").alias("around"))
+    known = around.join(comps, "node", "left").select("node", "around", F.coalesce("comp", "node").alias("comp"))
+    parts = stored(known.groupBy("around", "comp").agg(F.count(F.lit(1)).alias("n")), "parts")
+    sizes = parts.groupBy("around").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("all > most")
+    split = known.join(sizes, "around").withColumn("outside", F.col("comp") != F.col("main"))
+    split = split.withColumns({
+        "blocks": F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"),
+        "chunks": F.ceil(F.col("all") / CHUNK).cast("int"),
+    })
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    split = stored(split, "split")
+    all_ = split.select("around", "node", "comp", "outside", upto("blocks").alias("block"), spot(F.col("chunks")).alias("chunk"), F.lit(1).alias("side"))
+    out = split.filter("outside").select("around", "node", "comp", "outside", spot(F.col("blocks")).alias("block"), upto("chunks").alias("chunk"), F.lit(0).alias("side"))
+    signed = stored(bag.join(split.select("node"), "node", "left_semi").select("node", "bag", "n").mapInArrow(_resigned, "node long, bag array<long>, n array<int>, sig binary"), "resigned")
+    return all_.unionAll(out).join(signed, "node").groupBy("around", "block", "chunk").applyInPandas(_bridges, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,14 +240,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = worded.groupBy("one", "two").agg(F.min("id").alias("node"))
     member = stored(worded.join(first, ["one", "two"]).select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")), "members")
     rows = member.filter("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
-    buckets = rows.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = stored(rows.join(buckets, "key").select("key", "node", "u"), "buckets")
-    pairs = stored(shared.filter("node <> u").select("u", F.col("node").alias("v")).distinct(), "pairs")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = stored(rows.join(sizes, "key"), "buckets")
+    central = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    ranked = stored(shared.select("key", "node").join(central, "node"), "ranked")
+    leaders = ranked.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("leader"))
+    apart = ranked.join(leaders, "key").filter("node <> leader")
+    pairs = stored(apart.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), "pairs")
     wanted = shared.select("node").distinct()
     bag = stored(source.join(wanted, source["id"] == wanted["node"], "left_semi").mapInArrow(_bagged, "node long, bag array<long>, n array<int>"), "bags")
     links = stored(verified(pairs, bag), "links")
     comps = components(links)
-    more = verified(_rest(shared.select("key", "node"), comps, bag), bag)
+    more = stored(_rest(pairs, comps, bag), "bridges")
     across = more.join(comps.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u", "left").join(comps.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v", "left")
     bridges = components(across.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))).select(F.col("node").alias("c"), F.col("comp").alias("bridged"))
     whole = member.select("id", "node").distinct().join(comps, "node", "left").withColumn("c", F.coalesce("comp", "node"))

@@ -185,8 +185,9 @@ def test_near_duplicates_by_all_pairs(spark):
 
 
 def test_members_of_one_bucket_are_linked_across_components(spark, monkeypatch):
-    # one band of one slot: nearly everything shares buckets, and only some of it is similar
+    # half of every text is one passage: buckets are shared across groups that are not similar
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "CHUNK", 5)
     passage = [f"p{i}" for i in range(60)]
     rows = []
     for g in range(5):
