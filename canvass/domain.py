@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,13 @@ class Domain:
         return replace(self, levels=(ref, *[v for v in self.levels if v != ref]), ref=ref)
 
     def dummies(self, name: str) -> dict[str, str]:
-        """A 0/1 expression per level other than the reference (the first level if none is set)."""
+        """A 0/1 expression per level other than the reference (the first level if none is set).
+
+        A value outside the levels is missing, not the reference.
+        """
         ref = self.ref or self.levels[0]
-        return {v: f"cast({name} = {quoted(v)} as double)" for v in self.levels if v != ref}
+        listed = ", ".join(quoted(v) for v in self.levels)
+        return {v: f"case when {name} in ({listed}) then cast({name} = {quoted(v)} as double) end" for v in self.levels if v != ref}
 
 
 def bin_by(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -68,13 +74,23 @@ def sorted_levels(df: DataFrame, first: Mapping[str, int]) -> dict[str, list[str
     """Per column, its first distinct values in sorted order, as many as asked for.
 
     One pass serves all columns. Picking by position never needs more than the
-    largest position, and Spark applies that limit within each task before it
-    shuffles, so even a free-text column sends a handful of values.
+    largest position, so each task hands on its own smallest values only: even a
+    free-text column sends a handful a task into the shuffle.
     """
-    cells = ", ".join(f"struct({quoted(c)} as name, cast(`{c}` as string) as v)" for c in first)
-    found = df.select(F.expr(f"inline(array({cells}))")).where("v is not null").distinct()
+    wanted = dict(first)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[str]] = {c: [] for c in wanted}
+        for batch in batches:
+            for c, n in wanted.items():
+                kept[c] = sorted({*kept[c], *pc.unique(batch.column(c)).drop_null().to_pylist()})[:n]
+        names = [c for c, values in kept.items() for _ in values]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sum(kept.values(), []), pa.string())], names=["name", "v"])
+
+    cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in first])
+    rows = cells.mapInArrow(smallest, "name string, v string").distinct()
     order = F.row_number().over(Window.partitionBy("name").orderBy("v"))
-    rows = found.withColumn("k", order).where(F.col("k") <= max(first.values())).collect()
+    rows = rows.withColumn("k", order).where(F.col("k") <= max(first.values())).collect()
     levels = {c: [r.v for r in sorted(rows, key=lambda r: r.k) if r.name == c] for c in first}
     return {c: values[: first[c]] for c, values in levels.items()}
 

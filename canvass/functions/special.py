@@ -8,6 +8,7 @@ formulas serve Spark columns and numpy arrays.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column
@@ -88,42 +89,61 @@ def normal_arrays(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gauss / _SQRT_2PI, np.where(x < 0, half, 1.0 - half)
 
 
-def normal_pdf(x: Column) -> Column:
-    return F.exp(-0.5 * x * x) / _SQRT_2PI
+def _log_gamma(a: Column) -> Column:
+    """ln of the gamma function for a > 0: Stirling's series, after lifting small arguments above 10."""
+    z = F.when(a < 10.0, a + 10.0).otherwise(a)
+    lifted = reduce(lambda x, k: x + F.ln(a + float(k)), range(1, 10), F.ln(a))
+    return (z - 0.5) * F.ln(z) - z + math.log(_SQRT_2PI) + _stirling(z) - F.when(a < 10.0, lifted).otherwise(0.0)
 
 
-def normal_cdf(x: Column) -> Column:
-    return 0.5 * erfc(-x / math.sqrt(2.0))
-
-
-def two_sided_p(z: Column) -> Column:
-    """Two-sided p-value of a standard normal statistic."""
-    return erfc(F.abs(z) / math.sqrt(2.0))
+def _stirling(z: Column) -> Column:
+    return 1.0 / (12.0 * z) - 1.0 / (360.0 * z**3) + 1.0 / (1260.0 * z**5) - 1.0 / (1680.0 * z**7)
 
 
 def chi2_upper_tail(x: Column, df: Column) -> Column:
-    """P(X > x) for a chi-squared variable with whole degrees of freedom.
-
-    Closed forms: a finite series times exp(-x/2), plus erfc(sqrt(x/2)) when
-    ``df`` is odd. Beyond x/2 = 700 the result underflows to zero.
+    """P(X > x) for a chi-squared variable with ``df`` >= 1 degrees of freedom.
+
+    The regularised incomplete gamma function at a = df/2, h = x/2: its power
+    series where h < a + 1, its continued fraction beyond. Either settles within
+    a multiple of sqrt(a) terms, so tables of any size are in reach, and no
+    intermediate leaves the range of doubles: the factor h^a exp(-h) / gamma(a)
+    is formed from its logarithm, around h = a without cancelling. Results below
+    the smallest double are 0.
     """
-    h = F.least(x / 2.0, F.lit(700.0))
-    even = df % 2 == 0
-    offset = F.when(even, F.lit(0.0)).otherwise(F.lit(0.5))
-    first = F.when(even, F.lit(1.0)).otherwise(2.0 * F.sqrt(h) / _SQRT_PI)
-    terms = F.floor(df / 2).cast("int")
+    a, h = df.cast("double") / 2.0, x.cast("double") / 2.0
+    off = (h - a) / a
+    near = -a * (off - F.log1p(off)) + 0.5 * F.ln(a) - math.log(_SQRT_2PI) - _stirling(a)
+    factor = F.exp(F.when(a >= 10.0, near).otherwise(a * F.ln(h) - h - _log_gamma(a)))
+    terms = F.sequence(F.lit(1), (60 + 30 * F.sqrt(a)).cast("int"))
     series = F.aggregate(
-        F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
-        F.struct(first.alias("term"), F.lit(0.0).alias("total")),
+        terms,
+        F.struct((1.0 / a).alias("term"), (1.0 / a).alias("total")),
         lambda acc, k: F.struct(
-            (acc["term"] * h / (k + offset)).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
+            (acc["term"] * h / (a + k)).alias("term"),
+            (acc["total"] + acc["term"] * h / (a + k)).alias("total"),
         ),
         lambda acc: acc["total"],
     )
-    tail = F.exp(-h) * series + F.when(even, F.lit(0.0)).otherwise(erfc(F.sqrt(h)))
-    return F.when(x.isNull() | df.isNull() | (df < 1), F.lit(None)).otherwise(
-        F.least(tail, F.lit(1.0)))
+    tiny = 1e-300
+    b = lambda k: h + 2.0 * k + 1.0 - a
+    n = lambda k: -k * (k - a)
+
+    def step(acc: Column, k: Column) -> Column:
+        d = n(k) * acc["d"] + b(k)
+        c = b(k) + n(k) / acc["c"]
+        d, c = (F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v) for v in (d, c))
+        return F.struct((1.0 / d).alias("d"), c.alias("c"), (acc["f"] * c / d).alias("f"))
+
+    first = 1.0 / b(F.lit(0))
+    fraction = F.aggregate(
+        terms,
+        F.struct(first.alias("d"), F.lit(1.0 / tiny).alias("c"), first.alias("f")),
+        step,
+        lambda acc: acc["f"],
+    )
+    tail = F.when(h < a + 1.0, 1.0 - factor * series).otherwise(factor * fraction)
+    tail = F.when(h <= 0.0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(tail, F.lit(1.0))))
+    return F.when(x.isNotNull() & (df >= 1), tail)
 
 
 def _t_cdf(t: float, nu: int) -> float:

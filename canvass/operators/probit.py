@@ -261,9 +261,31 @@ def fit_probits(
     """
     deps = [d for names in families.values() for d in names]
     with materialized(_features(df, terms, deps), "probit") as table:
-        models = _fit(table, terms, len(deps), tolerance, max_iterations)
-        _measure(table, models, terms)
-    return _tables(df.sparkSession, models, terms, families)
+        centre, scale = _spread(table, terms)
+        scaled = _scaled(table, terms, centre, scale)
+        models = _fit(scaled, terms, len(deps), tolerance, max_iterations)
+        _measure(scaled, models, terms)
+    return _tables(df.sparkSession, models, terms, families, centre, scale)
+
+
+def _spread(table: DataFrame, terms: Sequence[Term]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the numeric terms; 0 and 1 for the intercept and the flags.
+
+    Fitting on centred and scaled columns keeps a regressor far from zero (a
+    year, a time stamp) apart from the intercept.
+    """
+    centre, scale = np.zeros(len(terms) + 1), np.ones(len(terms) + 1)
+    numeric = [k for k, t in enumerate(terms, 1) if not t.discrete]
+    if numeric:
+        row = table.agg(*[f(f"x{k}") for k in numeric for f in (F.avg, F.stddev_pop)]).first()
+        for i, k in enumerate(numeric):
+            centre[k], scale[k] = row[2 * i] or 0.0, row[2 * i + 1] or 1.0
+    return centre, scale
+
+
+def _scaled(table: DataFrame, terms: Sequence[Term], centre: np.ndarray, scale: np.ndarray) -> DataFrame:
+    own = {f"x{k}": (F.col(f"x{k}") - float(centre[k])) / float(scale[k]) for k, t in enumerate(terms, 1) if not t.discrete}
+    return table.withColumns(own) if own else table
 
 
 def _fit(table: DataFrame, terms: Sequence[Term], m: int, tolerance: float, limit: int) -> list[_Model]:
@@ -313,7 +335,10 @@ def _covariances(model: _Model) -> tuple[np.ndarray, np.ndarray]:
     return bread, bread @ model.sums["meat"][np.ix_(u, u)] @ bread
 
 
-def _tables(spark: SparkSession, models, terms, families) -> ProbitBatch:
+def _tables(spark: SparkSession, models, terms, families, centre: np.ndarray, scale: np.ndarray) -> ProbitBatch:
+    """Results in the terms' own units: a slope shrinks by its scale, the intercept moves back to zero."""
+    back = np.diag(1.0 / scale)
+    back[0] -= centre / scale
     names = [INTERCEPT, *[t.name for t in terms]]
     discrete = {k for k, t in enumerate(terms, start=1) if t.discrete}
     coefficients, effects, fits = [], [], []
@@ -321,6 +346,8 @@ def _tables(spark: SparkSession, models, terms, families) -> ProbitBatch:
     for order, ((family, dep), model) in enumerate(zip(owners, models)):
         estimated = model.status in ("ok", "separated", "not converged")
         bread, robust = _covariances(model) if estimated else (None, None)
+        own = back[np.ix_(model.used, model.used)] if estimated else None
+        own_bread, own_robust = (own @ v @ own.T for v in (bread, robust)) if estimated else (None, None)
         at = {k: i for i, k in enumerate(model.used)} if estimated else {}
         n = max(model.n, 1)
         mean_pdf = float(model.sums["pdf"][0]) / n
@@ -333,9 +360,10 @@ def _tables(spark: SparkSession, models, terms, families) -> ProbitBatch:
                     effects.append((*key, _kind(k, discrete), None, None, None, None, state))
                 continue
             i, b = at[k], float(model.beta[k])
-            se, se_robust = math.sqrt(max(bread[i, i], 0.0)), math.sqrt(max(robust[i, i], 0.0))
-            z = b / se if se else math.nan
-            coefficients.append((*key, b, se, se_robust, z, _p_value(z), model.status))
+            estimate = float(own[i] @ model.beta[model.used])
+            se, se_robust = math.sqrt(max(own_bread[i, i], 0.0)), math.sqrt(max(own_robust[i, i], 0.0))
+            z = estimate / se if se else math.nan
+            coefficients.append((*key, estimate, se, se_robust, z, _p_value(z), model.status))
             if not k:
                 continue
             u = model.used
@@ -346,7 +374,8 @@ def _tables(spark: SparkSession, models, terms, families) -> ProbitBatch:
                 dydx = mean_pdf * b
                 g = -b * model.sums["pdf_eta_x"][u] / n
                 g[i] += mean_pdf
-            error = math.sqrt(max(float(g @ robust @ g), 0.0))
+            error = math.sqrt(max(float(g @ robust @ g), 0.0)) / scale[k]
+            dydx /= scale[k]
             ratio = dydx / error if error else None
             effects.append((*key, _kind(k, discrete), dydx, error, ratio,
                             _p_value(ratio) if ratio is not None else None, model.status))

@@ -1,7 +1,8 @@
 """Joins against lookup maps, frequencies and the region dataset.
 
-A lookup map is broadcast only after counting that it is small; a larger one is
-left to Spark's own choice, a sort-merge join with adaptive skew handling.
+Spark chooses how to join: constants and stored maps are broadcast by their size
+in bytes, derived tables are joined by sort-merge with adaptive skew handling.
+No job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 10_000
-
 
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on every column name the two sides share."""
@@ -22,11 +21,6 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, on=shared, how="left")
 
 
-def small_enough(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``limit`` rows; stops reading once it has more."""
-    return len(table.select(F.lit(1)).take(limit + 1)) <= limit
-
-
 def lookup(
     fact: DataFrame, key: str, table: DataFrame, table_key: str, match_missing: bool = False
 ) -> DataFrame:
@@ -35,9 +29,8 @@ def lookup(
     ``match_missing`` lets a missing key find a missing key, for maps that hold
     one. The table's key column is dropped.
     """
-    side = F.broadcast(table) if small_enough(table) else table
-    on = fact[key].eqNullSafe(side[table_key]) if match_missing else fact[key] == side[table_key]
-    return fact.join(side, on, "left").drop(side[table_key])
+    on = fact[key].eqNullSafe(table[table_key]) if match_missing else fact[key] == table[table_key]
+    return fact.join(table, on, "left").drop(table[table_key])
 
 
 def outer_merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

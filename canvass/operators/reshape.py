@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from canvass.functions.flags import row_sum
 
 MISSING = "NA"
+OTHER = "other"
 
 
 def stack_by_name(*frames: DataFrame | None) -> DataFrame:
@@ -28,16 +29,28 @@ def spread(
     df: DataFrame, ids: Sequence[str], key: str, values: Sequence[str],
     value: str, fill: Column | None = None,
 ) -> DataFrame:
-    """One column per listed key; a missing key goes to the column ``NA``.
+    """One column per listed key; a missing key goes to the column ``NA`` if that is listed.
 
+    A key that is not listed, a text spelled like a column that stands for
+    something else included, is an error when the query runs: leaving it out would lose rows.
     ``fill`` replaces combinations that have no row. NaN marks a row whose value
     is undefined (a mean over nothing) and is kept apart from those.
     """
-    named = df.withColumn(key, F.coalesce(F.col(key), F.lit(MISSING)))
-    wide = named.groupBy(*ids).pivot(key, list(values)).agg(F.first(value))
-    if fill is None:
-        return wide
-    return wide.select(*ids, *[F.coalesce(F.col(f"`{v}`"), fill).alias(v) for v in values])
+    unlisted = F.raise_error(F.concat(F.lit(f"{key} has a value without a column: "), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("NULL"))))
+    slots = slot_of(F.col(f"`{key}`"), values, unlisted.cast("int"))
+    wide = df.withColumn("_slot", slots).groupBy(*ids).pivot("_slot", list(range(len(values)))).agg(F.first(value))
+    cells = [F.col(f"`{i}`") for i in range(len(values))]
+    return wide.select(*ids, *[(c if fill is None else F.coalesce(c, fill)).alias(v) for c, v in zip(cells, values)])
+
+
+def slot_of(key: Column, values: Sequence[str], unlisted: Column) -> Column:
+    """Position of a key's column; NULL belongs to ``NA``, which no text can reach."""
+    missing = F.lit(list(values).index(MISSING)) if MISSING in values else unlisted
+    out = F.when(key.isNull(), missing)
+    for i, v in enumerate(values):
+        if v != MISSING:
+            out = out.when(key == v, F.lit(i))
+    return out.otherwise(unlisted)
 
 
 def gather(df: DataFrame, ids: Sequence[str], values: Sequence[str],
@@ -49,9 +62,13 @@ def gather(df: DataFrame, ids: Sequence[str], values: Sequence[str],
 def spread_pairs(
     df: DataFrame, ids: Sequence[str], pair: tuple[str, str], names: Sequence[str], value: str
 ) -> DataFrame:
-    """One column per listed ``first_second`` name made from two key columns."""
-    joined = F.concat_ws("_", *[F.coalesce(F.col(c), F.lit(MISSING)) for c in pair])
-    return df.withColumn("pair", joined).groupBy(*ids).pivot("pair", list(names)).agg(F.first(value))
+    """One column per listed ``first_second`` name made from two key columns; an unlisted pair is an error.
+
+    A missing key is spelled ``NA``; a text spelled so would share its column, and is an error too.
+    """
+    taken = F.raise_error(F.lit(f"a key is spelled {MISSING}, like a missing one"))
+    parts = [F.when(F.col(c) == MISSING, taken.cast("string")).otherwise(F.coalesce(F.col(c), F.lit(MISSING))) for c in pair]
+    return spread(df.withColumn("pair", F.concat_ws("_", *parts)), ids, "pair", names, value)
 
 
 def transpose(df: DataFrame, measures: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -65,20 +82,32 @@ def with_row_total(df: DataFrame, columns: Sequence[str], name: str = "all") ->
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], label: str) -> DataFrame:
-    """Counts by two categories: ``(type, level, one column per value, NA, all)``."""
-    counts = df.groupBy(F.col(row).alias("level"), F.col(column).alias("key")).agg(
-        F.count(F.lit(1)).alias("n"))
-    wide_names = [*values, MISSING]
-    wide = spread(counts, ["level"], "key", wide_names, "n", F.lit(0).cast("long"))
-    return with_row_total(
-        select_first(wide.withColumn("type", F.lit(label)), "type", "level"), wide_names)
+    """Counts by two categories: ``(type, level, one column per value, NA, other, all)``.
+
+    ``NA`` counts missing values, ``other`` all that are not listed, so ``all`` is the number of rows.
+    """
+    wide_names = _with_rest(values)
+    slots = slot_of(F.col(column), wide_names[:-1], F.lit(len(values) + 1))
+    counts = df.groupBy(F.col(row).alias("level"), slots.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    wide = counts.groupBy("level").pivot("slot", list(range(len(wide_names)))).agg(F.first("n"))
+    filled = [F.coalesce(F.col(f"`{i}`"), F.lit(0).cast("long")).alias(v) for i, v in enumerate(wide_names)]
+    return with_row_total(wide.select(F.lit(label).alias("type"), "level", *filled), wide_names)
+
+
+def _with_rest(values: Sequence[str]) -> list[str]:
+    if {MISSING, OTHER, "all"} & set(values):
+        raise ValueError(f"{MISSING}, {OTHER} and all name columns of their own")
+    return [*values, MISSING, OTHER]
 
 
 def crosstab_means(
     df: DataFrame, row: str, column: str, values: Sequence[str], measure: str, label: str
 ) -> DataFrame:
     """Means by two categories: NaN where rows exist but none has a value, 0 where no row exists."""
-    cells = df.groupBy(F.col(row).alias("level"), F.col(column).alias("key")).agg(
+    wide_names = _with_rest(values)
+    slots = slot_of(F.col(column), wide_names[:-1], F.lit(len(values) + 1))
+    cells = df.groupBy(F.col(row).alias("level"), slots.alias("slot")).agg(
         F.coalesce(F.avg(measure), F.lit(float("nan"))).alias("m"))
-    wide = spread(cells, ["level"], "key", [*values, MISSING], "m", F.lit(0.0))
-    return select_first(wide.withColumn("type", F.lit(label)), "type", "level")
+    wide = cells.groupBy("level").pivot("slot", list(range(len(wide_names)))).agg(F.first("m"))
+    filled = [F.coalesce(F.col(f"`{i}`"), F.lit(0.0)).alias(v) for i, v in enumerate(wide_names)]
+    return wide.select(F.lit(label).alias("type"), "level", *filled)

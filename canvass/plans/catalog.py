@@ -38,6 +38,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         for f in df.schema.fields])
 
 
+def tests_shown(df: DataFrame) -> DataFrame:
+    """Test results with the logarithm of the p-value, in which small ones differ."""
+    return rounded(df.withColumn("log_p", F.when(F.col("pval") > 0, F.log10("pval"))))
+
+
 # --- shared inputs ---------------------------------------------------------
 
 
@@ -144,6 +149,13 @@ def crosstab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.crosstab(orders, "o_orderstatus", "priority", known.levels, "Status")
 
 
+def crosstab_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column with values that are not listed, one of them spelled ``NA``, next to missing ones."""
+    odd = F.expr("case lang when 'fr' then 'NA' when 'es' then null else lang end")
+    documents = table(spark, sf_dir, "documents").select("source", odd.alias("odd"))
+    return reshape.crosstab(documents, "source", "odd", ["en"], "Source")
+
+
 def crosstab_means_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reshape.crosstab_means(
         labelled_documents(spark, sf_dir), "source", "lang", LANGUAGES.levels, "toxic", "Source"))
@@ -325,30 +337,36 @@ def chi2_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = inference.chi2_flags(
         customers(spark, sf_dir), [profile.Cut("c_mktsegment", "Segment", SEGMENTS),
                                    profile.Cut("r_name", "Region", REGIONS)], ["in_credit", "wealthy"])
-    return rounded(reshape.stack_by_name(by_flag, segments))
+    return tests_shown(reshape.stack_by_name(by_flag, segments))
 
 
 def chi2_two_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = [profile.Cut("l_linestatus", "Status", Domain(("F", "O")))]
-    return rounded(inference.chi2_flags(lines(spark, sf_dir), cut, ["discounted", "untaxed", "large", "returned"]))
+    return tests_shown(inference.chi2_flags(lines(spark, sf_dir), cut, ["discounted", "untaxed", "large", "returned"]))
+
+
+def chi2_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of dozens of levels: more than 3,000 degrees of freedom."""
+    keys = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 61 as part", "l_orderkey % 53 as ord")
+    return tests_shown(inference.chi2_test(keys, "part", "ord"))
 
 
 def chi2_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses and levels with missing values, in pairs of every shape."""
     cuts = [profile.Cut("lang", "Language", LANGUAGES), profile.Cut("length", "Length", LENGTHS),
             profile.Cut("label", "Label", LABELLED), profile.Cut("source", "Source")]
-    return rounded(inference.chi2_flags(
+    return tests_shown(inference.chi2_flags(
         labelled_documents(spark, sf_dir), cuts, ["quality", "toxic", "english"]))
 
 
 def chi2_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two categories of several levels each."""
-    return rounded(inference.chi2_test(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
+    return tests_shown(inference.chi2_test(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
 
 
 def chi2_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with cells nobody falls into."""
-    return rounded(inference.chi2_test(labelled_documents(spark, sf_dir), "source", "length"))
+    return tests_shown(inference.chi2_test(labelled_documents(spark, sf_dir), "source", "length"))
 
 
 # --- regressions -----------------------------------------------------------
@@ -489,7 +507,7 @@ def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def independence_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = survey.independence_columns(survey.collapse_inputs(_derived(spark, sf_dir)))
-    return rounded(survey.independence_tests(_stored(columns), panel.DICTIONARY))
+    return tests_shown(survey.independence_tests(_stored(columns), panel.DICTIONARY))
 
 
 def acreage_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -542,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "mean_interval": mean_interval,
     "mean_interval_by": mean_interval_by,
     "crosstab_counts": crosstab_counts,
+    "crosstab_unlisted": crosstab_unlisted,
     "crosstab_means_nan": crosstab_means_nan,
     "transpose_table": transpose_table,
     "gather_measures": gather_measures,
@@ -562,6 +581,7 @@ QUERIES: dict[str, Query] = {
     "chi2_by_flag": chi2_by_flag,
     "chi2_two_by_two": chi2_two_by_two,
     "chi2_nullable": chi2_nullable,
+    "chi2_large": chi2_large,
     "chi2_categories": chi2_categories,
     "chi2_sparse": chi2_sparse,
     "design_matrix": design_matrix,

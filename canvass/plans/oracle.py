@@ -90,15 +90,19 @@ def normal_cdf(x: str, terms: int = 60) -> str:
 
 
 def chi2_tail(x: str, df: str) -> str:
-    """Even df: Poisson sum. Odd df: erfc by the power series of erf, plus the half-integer sum."""
+    """Even df: Poisson sum. Odd df: erfc (series of erf near zero, continued fraction beyond) and the half-integer sum.
+
+    Terms are formed from their logarithms, so no power or factorial overflows.
+    """
     h = f"({x}/2.0)"
     erf = (f"2/sqrt(pi()) * exp(-{h}) * list_sum(list_transform(range(0, 250), lambda n: "
            f"exp((2*n+1)*ln(sqrt({h})) + n*ln(2.0) - (lgamma(2*n+2) - n*ln(2.0) - lgamma(n+1)))))")
-    even = f"exp(-{h}) * list_sum(list_transform(range(0, {df} // 2), lambda k: pow({h}, k) / gamma(k + 1)))"
-    odd = (f"greatest(1 - {erf}, 0) + exp(-{h}) * coalesce(list_sum(list_transform(range(1, ({df}-1) // 2 + 1), "
-           f"lambda k: pow({h}, k - 0.5) / gamma(k + 0.5))), 0)")
-    return (f"case when {x} is null then null when {x} <= 0 then 1.0 when {h} > 60 then 0.0 "
-            f"when {df} % 2 = 0 then {even} else {odd} end")
+    far = f"exp(-{h}) / sqrt(pi()) / list_reduce(range(200, 0, -1)::double[], lambda acc, k: sqrt({h}) + k / 2 / acc, sqrt({h}))"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda k: exp(k * ln({h}) - {h} - lgamma(k + 1))))"
+    odd = (f"(case when {h} < 2 then 1 - {erf} else {far} end) + coalesce(list_sum(list_transform(range(1, ({df}-1) // 2 + 1), "
+           f"lambda k: exp((k - 0.5) * ln({h}) - {h} - lgamma(k + 0.5)))), 0)")
+    return (f"case when {x} is null then null when {x} <= 0 then 1.0 "
+            f"when {df} % 2 = 0 then least({even}, 1.0) else least({odd}, 1.0) end")
 
 
 def t_quantile(z: float, nu: str) -> str:
@@ -165,6 +169,7 @@ stats as (
   from grid where nr > 1 and nc > 1 group by cut, resp, nr, nc),
 tails as (select cut, resp, stat, df, {chi2_tail('stat', 'df')} as pval from stats)
 select w.cut, w.resp, {r('stat')} as stat, cast(df as int) as df, {r('pval')} as pval,
+       case when pval > 0 then {r('log10(pval)')} end as log_p,
        case when pval is null then null when pval <= 0.05 then '*' else '' end as sig
 from (select distinct cut, resp from whole) w left join tails t on t.cut = w.cut and t.resp = w.resp"""
 
@@ -560,12 +565,18 @@ ORACLE: dict[str, str] = {
           case when o_orderpriority <> '4-NOT SPECIFIED' then o_orderpriority end as p from orders)
         select 'Status' as type, level, count(*) filter (p = '1-URGENT') as "1-URGENT",
           count(*) filter (p = '2-HIGH') as "2-HIGH", count(*) filter (p = '3-MEDIUM') as "3-MEDIUM",
-          count(*) filter (p = '5-LOW') as "5-LOW", count(*) filter (p is null) as "NA", count(*) as "all"
+          count(*) filter (p = '5-LOW') as "5-LOW", count(*) filter (p is null) as "NA",
+          0::bigint as other, count(*) as "all"
         from o group by level""",
+    "crosstab_unlisted": """
+        with o as (select source as level, case lang when 'fr' then 'NA' when 'es' then null else lang end as p from documents)
+        select 'Source' as type, level, count(*) filter (p = 'en') as en, count(*) filter (p is null) as "NA",
+          count(*) filter (p in ('de', 'NA')) as other, count(*) as "all" from o group by level""",
     "crosstab_means_nan": f"with {DOCUMENTS}\nselect 'Source' as type, source as level, " + ", ".join(
         "case when count(*) filter ({0}) = 0 then 0.0::double else coalesce({1}, 'NaN'::double) end as \"{2}\"".format(
             test, r(f"avg(toxic) filter ({test})"), name)
-        for name, test in (*[(v, f"lang = '{v}'") for v in ("de", "en", "es", "fr")], ("NA", "lang is null"))
+        for name, test in (*[(v, f"lang = '{v}'") for v in ("de", "en", "es", "fr")], ("NA", "lang is null"),
+                             ("other", "lang not in ('de', 'en', 'es', 'fr')"))
     ) + " from doc group by source",
     "transpose_table": f"with {LINES},\n" + """c as (select *, discounted as off, (1 - discounted) * untaxed as free,
         (1 - discounted) * (1 - untaxed) as plain from li)\n""" + "\nunion all ".join(
@@ -638,6 +649,8 @@ ORACLE: dict[str, str] = {
     "chi2_two_by_two": f"with {LINES}, " + chi2(
         all_pairs("li", ["l_linestatus"], ["discounted", "untaxed", "large", "returned"])),
     "chi2_nullable": f"with {DOCUMENTS}, {CHI2_DOCUMENTS}",
+    "chi2_large": """with li as (select l_partkey % 61 as part, l_orderkey % 53 as ord from lineitem),
+        """ + chi2([("li", "part", "ord")]),
     "chi2_categories": "with " + chi2([("orders", "o_orderstatus", "o_orderpriority")]),
     "chi2_sparse": f"with {DOCUMENTS}, " + chi2([("doc", "source", "length")]),
     "design_matrix": f"""with {DOCUMENTS}

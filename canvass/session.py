@@ -25,6 +25,8 @@ def local_session(app: str = "canvass", cores: str = "8", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
+        # the survey has more than the default 100 columns: beyond, projections leave whole-stage code generation
+        .config("spark.sql.codegen.maxFields", "1000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -36,11 +38,14 @@ def local_session(app: str = "canvass", cores: str = "8", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """A folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
+    The cluster names it in ``spark.checkpoint.dir``, or the session by ``setCheckpointDir``. Only a local master may
     fall back to the machine's own temporary folder: on a cluster a lost
     executor would take its part of the table with it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
     if base:
         return base.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):

@@ -42,20 +42,20 @@ def read_survey(
 ) -> DataFrame:
     """A survey CSV with a header, every cell read as text, conformed.
 
-    ``columns`` declares the header in file order (dots or underscores); without
-    it only the header line is looked at. ``multi_line`` allows line breaks
+    ``columns`` declares the header in file order (dots or underscores), and a
+    file whose header differs is an error; without it the header line is looked at. ``multi_line`` allows line breaks
     inside quoted cells, at the price of one task per file.
     """
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return conform(reader.csv(path))
 
 
 def read_region_map(spark: SparkSession, path: str) -> DataFrame:
-    """``region_epa, state_abb`` from a quoted CSV."""
-    columns = "region_epa string, state_abb string"
-    return spark.read.schema(columns).csv(path, header=True, quote='"')
+    """``region_epa, state_abb`` from a quoted CSV, found by the names in its header."""
+    cells = spark.read.csv(path, header=True, quote='"', escape='"')
+    return conform(cells).select("region_epa", "state_abb")
 
 
 def read_region_attributes(spark: SparkSession, path: str) -> DataFrame:

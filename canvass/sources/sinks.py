@@ -24,7 +24,7 @@ def write_quoted_table(df: DataFrame, path: str) -> None:
 def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Read back a table written by either CSV sink, under the schema it had."""
     return spark.read.schema(like.schema).csv(
-        path, header=True, nullValue="NA", emptyValue="", escape='"')
+        path, header=True, nullValue="NA", emptyValue="", escape='"', enforceSchema=False)
 
 
 def write_bundle(tables: Mapping[str, DataFrame], path: str) -> None:

@@ -62,7 +62,11 @@ def test_large_tables_spread_over_partitions(spark):
     tree = test._jdf.queryExecution().toString()
     assert re.search(r"hashpartitioning\(row#\d+", tree) and re.search(r"hashpartitioning\(col#\d+", tree)
     got = test.first()
-    assert got.df == 996 * 498 and got.stat is not None
+    assert got.df == 996 * 498
+    # nearly even: far too regular for chance, so the tail is all of the distribution
+    assert got.stat < 0.7 * got.df and got.pval == 1.0 and got.sig == ""
+    tied = inference.chi2_test(df.selectExpr("a", "cast(int(a) % 97 as string) as c"), "a", "c").first()
+    assert tied.df == 996 * 96 and tied.stat > 1e7 and tied.pval == 0.0 and tied.sig == "*"
 
 
 def test_filters_reach_the_scan(spark):
@@ -86,17 +90,35 @@ def test_no_python_in_the_plan(spark, name):
     assert not re.search(r"Python|Pandas|ArrowEval|MapInArrow", text)
 
 
-def test_only_small_tables_are_broadcast(spark):
+def test_spark_chooses_the_join_by_size(spark):
     fact = spark.range(1000).withColumnRenamed("id", "k")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    small = relate.lookup(fact, "k", spark.range(100), "id")
+    large = relate.lookup(fact, "k", spark.range(10_000_000), "id")
+    assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
+    assert small.count() == large.count() == 1000
+
+
+@pytest.mark.parametrize("name", ["share_concentration", "derived_columns", "tbl2", "natural_join_map", "left_join_keep_unmatched"])
+def test_building_a_plan_starts_no_job(spark, name):
+    group = f"building {name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        df = QUERIES[name](spark, SMALL)
+        df._jdf.queryExecution().executedPlan()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_derivations_are_compiled(spark):
+    """Every projection over the wide table is inside a code generation stage."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        small = relate.lookup(fact, "k", spark.range(100), "id")
-        large = relate.lookup(fact, "k", spark.range(relate.BROADCAST_ROWS + 1), "id")
-        assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
-        assert small.count() == large.count() == 1000
+        tree = QUERIES["derived_columns"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    projects = [line for line in tree.splitlines() if re.match(r"^[ +:-]*(\*\(\d+\) )?Project ", line)]
+    assert projects and all("*(" in line for line in projects)
 
 
 def test_results_do_not_depend_on_partitioning_or_join_choice(spark):
