@@ -21,27 +21,26 @@ def chi2_from_counts(counts: DataFrame, tests: Sequence[str], many_cells: bool =
 
     Tables of survey categories are small whatever the number of rows behind
     them: a test's cells then share a partition and one shuffle serves all
-    margins. With ``many_cells`` a table is spread over partitions instead, its
-    total joined back (one row per test, hence the broadcast).
+    margins. With ``many_cells`` a table of any size is spread over partitions:
+    its margins are grouped, combined inside the tasks, and joined back, so no
+    task holds a level or a test.
     """
-    by_row = Window.partitionBy(*tests, "row")
-    by_col = Window.partitionBy(*tests, "col")
     found = counts.where(F.col("o") > 0)
+    margins = {"total": [], "r": ["row"], "c": ["col"]}
     if many_cells:
-        totals = found.groupBy(*tests).agg(F.sum("o").cast("double").alias("total"))
-        found = found.join(F.broadcast(totals), list(tests))
+        for name, own in margins.items():
+            sums = found.groupBy(*tests, *own).agg(F.sum("o").cast("double").alias(name), F.count("o").alias(f"in_{name}"))
+            margins[name] = [*tests, *own], sums
+        for on, sums in margins.values():
+            found = found.join(sums, on)
     else:
-        found = found.withColumn("total", F.sum("o").over(Window.partitionBy(*tests)).cast("double"))
-    cells = (
-        found
-        .withColumns({"r": F.sum("o").over(by_row).cast("double"), "in_row": F.count("o").over(by_row)})
-        .withColumns({"c": F.sum("o").over(by_col).cast("double"), "in_col": F.count("o").over(by_col)})
-        .withColumn("e", F.col("r") * F.col("c") / F.col("total"))
-        .withColumn("dev", F.abs(F.col("o") - F.col("e")))
-    )
+        for name, own in margins.items():
+            over = Window.partitionBy(*tests, *own)
+            found = found.withColumns({name: F.sum("o").over(over).cast("double"), f"in_{name}": F.count("o").over(over)})
+    cells = found.withColumn("e", F.col("r") * F.col("c") / F.col("total")).withColumn("dev", F.abs(F.col("o") - F.col("e")))
     tables = cells.groupBy(*tests).agg(
-        F.round(F.sum(1.0 / F.col("in_row"))).cast("long").alias("nr"),
-        F.round(F.sum(1.0 / F.col("in_col"))).cast("long").alias("nc"),
+        F.round(F.sum(1.0 / F.col("in_r"))).cast("long").alias("nr"),
+        F.round(F.sum(1.0 / F.col("in_c"))).cast("long").alias("nc"),
         F.first("total").alias("total"),
         F.sum(F.col("dev") * F.col("dev") / F.col("e")).alias("seen"),
         # An absent cell has o = 0 and adds its whole expectation.
@@ -86,8 +85,11 @@ def flag_counts(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str]) ->
 
 
 def chi2_flags(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str]) -> DataFrame:
-    """``(cut, resp, stat, df, pval, sig)`` for every cut against every 0/1 response."""
-    return chi2_from_counts(flag_counts(df, cuts, responses), ["cut", "resp"])
+    """``(cut, resp, stat, df, pval, sig)`` for every cut against every 0/1 response.
+
+    Cuts without a known domain may have any number of levels, and their tables are spread.
+    """
+    return chi2_from_counts(flag_counts(df, cuts, responses), ["cut", "resp"], many_cells=not joint_groups_bounded(cuts))
 
 
 def chi2_test(df: DataFrame, x: str, y: str) -> DataFrame:

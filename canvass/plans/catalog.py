@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from canvass.operators import inference, probit, profile, relate, reshape
 from canvass.plans import panel, survey
 from canvass.session import local_table, scratch_path
 from canvass.sources import sinks
-from canvass.sources.conform import read_region_attributes, read_survey, text_cell
+from canvass.sources.conform import conform, read_region_attributes, read_region_map, read_survey, text_cell
 from canvass.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,6 +399,20 @@ def probit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(batch.effects)
 
 
+def probit_far_from_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same effects for a regressor whose mean is more than 300,000 times its spread."""
+    terms = [probit.numeric_term("l_quantity", "l_quantity + 5000000"), probit.numeric_term("l_discount"),
+             *probit.factor_terms("l_linestatus", Domain(("F", "O")))]
+    batch = probit.fit_probits(lines(spark, sf_dir), terms, {"lines": ("returned", "untaxed")})
+    return rounded(batch.effects)
+
+
+def probit_undeclared_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a language that the domain does not list leave the models."""
+    terms = [*probit.factor_terms("lang", Domain(("en", "de", "fr"))), probit.numeric_term("kchars", "n_chars / 1000.0D")]
+    return rounded(probit.fit_probits(labelled_documents(spark, sf_dir), terms, {"labels": ("quality", "toxic")}).coefficients)
+
+
 # --- sources and sinks -----------------------------------------------------
 
 
@@ -426,13 +440,31 @@ def region_attributes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_region_attributes(spark, path)
 
 
-def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three tables stored as one bundle and counted."""
+def region_map_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region map written as a quoted CSV, its columns dotted and in another order, and read by its header."""
+    path = scratch_path(spark, "region_map")
+    panel.regions(spark, sf_dir).select(F.col("state_abb").alias("state.abb"), "region_epa").write.options(
+        header=True, quoteAll=True).csv(path)
+    return read_region_map(spark, path)
+
+
+def _bundled(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     path = scratch_path(spark, "bundle")
     tables = {"segments": profile_segments(spark, sf_dir), "documents": profile_flags_nullable(spark, sf_dir),
               "orders": crosstab_counts(spark, sf_dir)}
     sinks.write_bundle(tables, path)
-    return sinks.bundle_manifest(spark, path, list(tables))
+    return path, list(tables)
+
+
+def bundle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables stored as one bundle and counted."""
+    return sinks.bundle_manifest(spark, *_bundled(spark, sf_dir))
+
+
+def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables stored as one bundle and read back, cell by cell."""
+    path, names = _bundled(spark, sf_dir)
+    return reshape.stack_by_name(*[sinks.read_bundle(spark, path, n).withColumn("name", F.lit(n)) for n in names])
 
 
 # --- the survey analysis ---------------------------------------------------
@@ -498,11 +530,28 @@ def _profile_table(name: str) -> Query:
 
 
 def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eleven tables stored as one bundle and counted."""
+    """The eleven tables stored as one bundle and read back, cell by cell."""
     path = scratch_path(spark, "workbook")
     tables = survey.all_tables(_stored(_derived(spark, sf_dir)), panel.DICTIONARY)
     sinks.write_bundle(tables, path)
-    return sinks.bundle_manifest(spark, path, list(tables))
+    read = {n: sinks.read_bundle(spark, path, n) for n in tables}
+    read["tbl1"] = rounded(read["tbl1"])
+    return reshape.stack_by_name(*[df.withColumn("name", F.lit(n)) for n, df in read.items()])
+
+
+def tbl2_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row of a table stands: blocks in their order, levels in that of their domain."""
+    rows = survey.profile_table(_derived(spark, sf_dir), panel.DICTIONARY, "tbl2", with_order=True)
+    place = F.row_number().over(Window.orderBy("block_ord", F.col("level_ord").asc_nulls_last(), F.col("level").asc_nulls_last()))
+    return rows.select("type", "level", place.alias("place"))
+
+
+def tbl2_from_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second table with the category levels looked up in the data instead of declared."""
+    answers = conform(panel.raw_survey(spark, sf_dir))
+    words = survey.Dictionary.from_data(answers, panel.DICTIONARY.regions)
+    placed = survey.attach_region(answers, panel.regions(spark, sf_dir), panel.state_names(spark, sf_dir))
+    return survey.profile_table(survey.derive(placed, words), words, "tbl2")
 
 
 def independence_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,12 +590,22 @@ def _probit_report(family: str) -> Query:
 
 
 def model_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models stored by family and read back: rows per family and table."""
+    """Models stored by family and read back, number by number."""
     path = scratch_path(spark, "models")
     sinks.write_models(survey.probit_models(_derived(spark, sf_dir)), path)
+    return rounded(reshape.stack_by_name(*[
+        spark.read.parquet(f"{path}/{name}").withColumn("stored_as", F.lit(name))
+        for name in ("coefficients", "effects", "fits")]).drop("iterations"))
+
+
+def report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five coefficient reports written as CSV and read back, cell by cell."""
+    path = scratch_path(spark, "reports")
+    models = survey.probit_models(_derived(spark, sf_dir))
+    sinks.write_reports({f: survey.probit_report(models, f) for f in survey.PROBIT_FAMILIES}, path)
     return reshape.stack_by_name(*[
-        relate.group_frequency(spark.read.parquet(f"{path}/{name}"), "family", "n").withColumn("kind", F.lit(name))
-        for name in ("coefficients", "effects", "fits")])
+        spark.read.csv(f"{path}/{f}", header=True, nullValue="NA", escape='"').withColumn("family", F.lit(f))
+        for f in survey.PROBIT_FAMILIES])
 
 
 QUERIES: dict[str, Query] = {
@@ -587,9 +646,13 @@ QUERIES: dict[str, Query] = {
     "design_matrix": design_matrix,
     "probit_documents": probit_documents,
     "probit_lines": probit_lines,
+    "probit_far_from_zero": probit_far_from_zero,
+    "probit_undeclared_level": probit_undeclared_level,
     "csv_round_trip": csv_round_trip,
     "quoted_csv_round_trip": quoted_csv_round_trip,
     "region_attributes_scan": region_attributes_scan,
+    "region_map_csv": region_map_csv,
+    "bundle_counts": bundle_counts,
     "bundle_round_trip": bundle_round_trip,
     "derived_columns": derived_columns,
     "survey_csv_scan": survey_csv_scan,
@@ -597,6 +660,8 @@ QUERIES: dict[str, Query] = {
     "tbl1_checks": farm_checks,
     **{name: _profile_table(name) for name in survey.PROFILE_TABLES},
     "tblA1": water_management,
+    "tbl2_order": tbl2_order,
+    "tbl2_from_data": tbl2_from_data,
     "workbook": workbook,
     "independence_tests": independence_tests,
     "acreage_interval": acreage_interval,
@@ -611,4 +676,5 @@ QUERIES: dict[str, Query] = {
     "tblA6": _probit_report("det"),
     "tblA7": _probit_report("con"),
     "model_bundle": model_bundle,
+    "report_bundle": report_bundle,
 }

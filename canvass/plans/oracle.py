@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from canvass.plans import survey
+from canvass.plans import panel, survey
 
 
 def r(expression: str, digits: int = 6) -> str:
@@ -79,6 +79,15 @@ PROFILE_SEGMENTS = profile(
     {"balance_cents": avg("balance_cents"), "spend_cents": avg("spend_cents"), "in_credit": avg("in_credit"),
      "wealthy": avg("wealthy"), "orders": total("n_orders")}, "All customers")
 
+CROSSTAB_COUNTS = """
+        with o as (select o_orderstatus as level,
+          case when o_orderpriority <> '4-NOT SPECIFIED' then o_orderpriority end as p from orders)
+        select 'Status' as type, level, count(*) filter (p = '1-URGENT') as "1-URGENT",
+          count(*) filter (p = '2-HIGH') as "2-HIGH", count(*) filter (p = '3-MEDIUM') as "3-MEDIUM",
+          count(*) filter (p = '5-LOW') as "5-LOW", count(*) filter (p is null) as "NA",
+          0::bigint as other, count(*) as "all"
+        from o group by level"""
+
 # --- special functions -----------------------------------------------------
 
 
@@ -321,6 +330,9 @@ def report(family: str) -> str:
 DOCUMENT_MODELS = probit(
     "doc", [("langde", "lang = 'de'", True), ("langes", "lang = 'es'", True), ("langfr", "lang = 'fr'", True),
             ("kchars", "n_chars / 1000.0::double", False)], {"labels": ["quality", "toxic"]})
+LISTED_MODELS = probit(
+    "listed", [("langde", "lang = 'de'", True), ("langfr", "lang = 'fr'", True),
+               ("kchars", "n_chars / 1000.0::double", False)], {"labels": ["quality", "toxic"]})
 LINE_MODELS = probit(
     "li", [("l_quantity", "l_quantity", False), ("l_discount", "l_discount", False),
            ("l_linestatusO", "l_linestatus = 'O'", True)], {"lines": ["returned", "untaxed"]})
@@ -542,10 +554,25 @@ def manifest(tables: Mapping[str, tuple[str, int]]) -> str:
         f"select '{n}' as name, count(*) as \"rows\", {cols} as cols from ({sql})" for n, (sql, cols) in tables.items())
 
 
-WORKBOOK = manifest(
-    {"tbl1": (farm_characteristics(), 11)}
-    | {n: (profile_table(n), 3 + len(survey.PROFILE_TABLES[n][1])) for n in survey.PROFILE_TABLES}
-    | {"tblA1": (water_management(), 10)})
+def contents(tables: Mapping[str, str]) -> str:
+    """All rows of several tables, columns matched by name."""
+    return "\nunion all by name ".join(f"select '{n}' as name, * from ({sql})" for n, sql in tables.items())
+
+
+WORKBOOK = contents({
+    "tbl1": farm_characteristics(), **{n: profile_table(n) for n in survey.PROFILE_TABLES}, "tblA1": water_management()})
+
+
+def table_order(name: str) -> str:
+    """Blocks as listed, levels by their domain, missing ones last."""
+    cuts, _ = survey.PROFILE_TABLES[name]
+    levels = {c.column: c.domain.levels for c in survey._cuts(panel.DICTIONARY, cuts)}
+    blocks = ["select 'All Farms' as type, 'All' as level, 0 as b, 0 as l"]
+    for i, c in enumerate(cuts, 1):
+        order = " ".join(f"when '{v}' then {k}" for k, v in enumerate(levels[c]))
+        blocks.append(f"select '{CUT_LABELS[c]}', {c}, {i}, case {c} {order} else 99 end from d group by {c}")
+    return f"select type, level, row_number() over (order by b, l)::int as place from ({' union all '.join(blocks)})"
+
 
 ORACLE: dict[str, str] = {
     "profile_segments": f"with {CUSTOMERS}\n{PROFILE_SEGMENTS}",
@@ -560,14 +587,7 @@ ORACLE: dict[str, str] = {
     "frequency_table": f"with {DOCUMENTS} select label, count(*) as freq from doc where label is not null group by label",
     "group_frequency": f"with {DOCUMENTS} select label, count(*) as freq from doc group by label",
     "mean_interval": interval("lineitem", "l_discount", 9),
-    "crosstab_counts": """
-        with o as (select o_orderstatus as level,
-          case when o_orderpriority <> '4-NOT SPECIFIED' then o_orderpriority end as p from orders)
-        select 'Status' as type, level, count(*) filter (p = '1-URGENT') as "1-URGENT",
-          count(*) filter (p = '2-HIGH') as "2-HIGH", count(*) filter (p = '3-MEDIUM') as "3-MEDIUM",
-          count(*) filter (p = '5-LOW') as "5-LOW", count(*) filter (p is null) as "NA",
-          0::bigint as other, count(*) as "all"
-        from o group by level""",
+    "crosstab_counts": CROSSTAB_COUNTS,
     "crosstab_unlisted": """
         with o as (select source as level, case lang when 'fr' then 'NA' when 'es' then null else lang end as p from documents)
         select 'Source' as type, level, count(*) filter (p = 'en') as en, count(*) filter (p is null) as "NA",
@@ -660,9 +680,13 @@ ORACLE: dict[str, str] = {
     "csv_round_trip": f"with {DOCUMENTS}\n{PROFILE_DOCUMENTS}",
     "quoted_csv_round_trip": f"with {DOCUMENTS}, {CHI2_DOCUMENTS}",
     "region_attributes_scan": "select r_name as name, 'POINT(' || r_regionkey || ' 0)' as geometry_wkt from region",
-    "bundle_round_trip": f"with {CUSTOMERS}, {DOCUMENTS}\n" + manifest({
+    "region_map_csv": """select r_name as region_epa, cast(n_nationkey as varchar) as state_abb
+        from nation join region on n_regionkey = r_regionkey""",
+    "bundle_counts": f"with {CUSTOMERS}, {DOCUMENTS}\n" + manifest({
         "segments": (PROFILE_SEGMENTS, 8), "documents": (PROFILE_DOCUMENTS, 7),
-        "orders": ("select distinct o_orderstatus from orders", 8)}),
+        "orders": ("select distinct o_orderstatus from orders", 9)}),
+    "bundle_round_trip": f"with {CUSTOMERS}, {DOCUMENTS}\n" + contents({
+        "segments": PROFILE_SEGMENTS, "documents": PROFILE_DOCUMENTS, "orders": CROSSTAB_COUNTS}),
     "derived_columns": f"with {PANEL}\n{derived_columns()}",
     "survey_csv_scan": f"with {PANEL}\n{survey_scan()}",
     "tbl1": f"with {PANEL}\n{farm_characteristics()}",
@@ -691,7 +715,14 @@ ORACLE: dict[str, str] = {
     "tblA5": f"{survey_models('hab')}\n{report('hab')}",
     "tblA6": f"{survey_models('det')}\n{report('det')}",
     "tblA7": f"{survey_models('con')}\n{report('con')}",
-    "model_bundle": " union all ".join(
-        f"select '{f}' as family, {len(deps) * rows}::bigint as n, '{kind}' as kind"
-        for f, deps in survey.PROBIT_FAMILIES.items() for kind, rows in (("coefficients", 8), ("effects", 7), ("fits", 1))),
+    "model_bundle": f"""{survey_models()},
+        c as ({COEFFICIENTS}), e as ({EFFECTS}), f as ({FITS})
+        select 'coefficients' as stored_as, * from c union all by name select 'effects' as stored_as, * from e
+        union all by name select 'fits' as stored_as, * from f""",
+    "report_bundle": f"{survey_models()}\n" + "\nunion all by name ".join(
+        f"select '{f}' as family, * exclude (row_ord) from ({report(f)})" for f in survey.PROBIT_FAMILIES),
+    "probit_far_from_zero": f"with {LINES},\n{LINE_MODELS}\n{EFFECTS}",
+    "probit_undeclared_level": f"with {DOCUMENTS},\nlisted as (select * from doc where lang in ('en', 'de', 'fr')),\n{LISTED_MODELS}\n{COEFFICIENTS}",
+    "tbl2_order": f"with {PANEL}\n{table_order('tbl2')}",
+    "tbl2_from_data": f"with {PANEL}\n{profile_table('tbl2')}",
 }

@@ -369,6 +369,7 @@ def farm_checks(derived: DataFrame) -> DataFrame:
     )
 
 
+WATER_MEASURES = ("surface", "surface_nt", "nosurface")
 WATER_COLUMNS = tuple(
     f"{CUT_LABELS[c]}_{v}" for c, d in (("test_freq", TEST_FREQ), ("treat_freq", TREAT_FREQ))
     for v in (*d.levels, MISSING)
@@ -377,7 +378,7 @@ WATER_COLUMNS = tuple(
 
 def water_management(derived: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Surface water sums by testing and treatment frequency, measures as rows."""
-    measures = ["surface", "surface_nt", "nosurface"]
+    measures = list(WATER_MEASURES)
     table = profile(water_classes(derived), _cuts(dictionary, ["test_freq", "treat_freq"]),
                     sums(*measures), count_as=None)
     long = gather(table, ["type", "level"], measures)
@@ -389,7 +390,8 @@ def all_tables(derived: DataFrame, dictionary: Dictionary) -> dict[str, DataFram
     out = {"tbl1": in_order(farm_characteristics(derived, dictionary, with_order=True))}
     for name in ("tbl2", "tbl3", "tbl4", "tbl5", "tbl6", "tbl7", "tbl8", "tbl9"):
         out[name] = in_order(profile_table(derived, dictionary, name, with_order=True))
-    out["tblA1"] = water_management(derived, dictionary)
+    measure = F.array_position(F.array(*map(F.lit, WATER_MEASURES)), F.col("var"))
+    out["tblA1"] = water_management(derived, dictionary).orderBy(measure)
     out["tblA2"] = in_order(profile_table(derived, dictionary, "tblA2", with_order=True))
     return out
 
