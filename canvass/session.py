@@ -42,10 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     fall back to the machine's own temporary folder: on a cluster a lost
     executor would take its part of the table with it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = named.get() if named.isDefined() else None
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):

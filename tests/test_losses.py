@@ -4,7 +4,6 @@ import pytest
 
 from canvass.domain import Domain, sorted_levels
 from canvass.operators import probit, reshape
-from canvass.session import shared_dir
 from canvass.sources.conform import read_region_map, read_survey
 
 ODD = [("r", "x"), ("r", "y"), ("r", "z"), ("r", None), ("r", "NA"), ("r", "NA")]
@@ -66,9 +65,3 @@ def test_header_decides_the_columns(spark, tmp_path):
 def test_levels_are_reduced_in_the_tasks(spark):
     df = spark.range(10_000).selectExpr("cast(id as string) as free", "if(id % 3 = 0, null, cast(id % 2 as string)) as flag").repartition(6)
     assert sorted_levels(df, {"free": 3, "flag": 5}) == {"free": ["0", "1", "10"], "flag": ["0", "1"]}
-
-
-def test_named_folder_is_shared(spark, tmp_path):
-    session = spark.newSession()
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    assert shared_dir(session) == f"file://{tmp_path}"

@@ -128,12 +128,21 @@ def test_shared_dir_is_required_off_the_local_master(spark):
         def get(self, key, default=None):
             return self.values.get(key, default)
 
+    class Context:
+        def __init__(self, named):
+            self.named = named
+
+        def getCheckpointDir(self):
+            return self.named
+
     class Session:
-        def __init__(self, **values):
+        def __init__(self, named=None, **values):
             self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+            self.sparkContext = Context(named)
 
     with pytest.raises(RuntimeError):
         shared_dir(Session(spark_master="spark://host"))
+    assert shared_dir(Session("hdfs://x/named", spark_master="yarn")) == "hdfs://x/named"
     assert shared_dir(Session(**{"spark_master": "yarn", "spark_checkpoint_dir": "hdfs://x/y/"})) == "hdfs://x/y"
 
 
