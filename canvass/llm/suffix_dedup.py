@@ -7,13 +7,14 @@ document, is removed. Strings never cross documents and are judged on the input.
 **Dealing out.** A window of ``LENGTH`` bytes is sent to the task of its anchor,
 the 32-byte string in it with the smallest hash: equal windows have equal
 anchors, so each task can decide alone. Windows that follow each other and share
-an anchor travel as one segment. Anchors that occur once hold no repeat and stop
-there; equal segments of an anchor are merged (all but the first are removed
-whole), so a passage that a third of all documents share becomes one segment
-before any text moves.
-
-**Merging.** What is left are different segments around a common anchor. A task
-takes them in pieces of whole anchor groups, cuts a piece into shards, and
+an anchor travel as one segment, of which only hashes and places are sent.
+Segments that occur once are done. Of equal segments all but the first are
+removed whole: those that meet in one batch settle it before the shuffle, so a
+passage that a third of all documents share sends one row a batch, and the
+others stream through the anchor's task in sorted order. Only different segments
+around a common anchor go on with their bytes.
+
+**Merging.** A task takes them in pieces of whole anchor groups, cuts a piece into shards, and
 builds each shard's transform. The transforms are merged by interleave
 refinement: which shard each place of the merged order comes from is refined by
 two symbols a round, reading the shards' transforms in order, until the
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,21 +95,73 @@ def _longs(values) -> pa.Array:
     return pa.array(np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int64, copy=False))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in _texts(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([segments(t)[0] for t in texts], pa.list_(pa.int64()))], names=["id", "tag", "anchors"])
+FOUND = "anchor long, content long, id long, tag long, place long"
+WIDTH_BITS = 8  #: of a segment's number of windows, kept below its start in ``place``
 
 
-def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the wanted anchors of each text."""
-    for part, texts in _texts(batches):
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All segments of the texts. Of equal ones in a batch only the first goes on to be compared; the others, without anchor, are settled."""
+    for batch in batches:
         out = []
-        for i, tag, wanted, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3), texts):
-            anchor, start, n, content = segments(text)
-            on = np.isin(anchor, wanted.values.to_numpy())
-            k = int(on.sum())
-            out.append((anchor[on], content[on], np.full(k, i, np.int64), np.full(k, tag, np.int64), start[on], n[on]))
-        yield pa.RecordBatch.from_arrays([_longs(c) for c in zip(*out)], names=["anchor", "content", "id", "tag", "start", "n"])
+        for part, texts in _texts(iter([batch])):
+            for i, tag, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
+                anchor, start, n, content = segments(text)
+                out.append((anchor, content, np.full(len(n), i, np.int64), np.full(len(n), tag, np.int64), start << WIDTH_BITS | n))
+        if not out:
+            continue
+        anchor, content, i, tag, place = (np.concatenate(c) for c in zip(*out))
+        order = np.lexsort((place, tag, i, content, anchor))
+        anchor, content, i, tag, place = (c[order] for c in (anchor, content, i, tag, place))
+        again = np.zeros(len(anchor), bool)
+        again[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & ((i[1:] != i[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1]))
+        columns = [pa.array(anchor, mask=again), pa.array(content, mask=again), *(pa.array(c) for c in (i, tag, place))]
+        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "id", "tag", "place"])
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of segments sorted by anchor, content, document and place: the repeated ones, without anchor, and the
+    first of each content where an anchor has several, which are still to be compared.
+
+    One row is carried from batch to batch, so an anchor of any size streams through.
+    """
+    names = ["anchor", "id", "tag", "place"]
+    last = pending = None  # the last segment seen; the last first of a content, and whether its anchor had one before
+
+    def rows(found: list[tuple[np.ndarray, ...]], mask: np.ndarray) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], mask=mask), *map(pa.array, columns[1:])], names=names)
+
+    for batch in batches:
+        settled = batch.filter(pc.is_null(batch.column(0)))
+        open_ = batch.filter(pc.is_valid(batch.column(0)))
+        ready, masks = [], []
+        if settled.num_rows:
+            ready.append((np.zeros(settled.num_rows, np.int64), *(settled.column(k).to_numpy() for k in (2, 3, 4))))
+            masks.append(np.ones(settled.num_rows, bool))
+        if open_.num_rows:
+            anchor, content, *rest = (c.to_numpy() for c in open_.columns)
+            before = (np.concatenate(([last[0] if last else ~anchor[0]], anchor[:-1])), np.concatenate(([last[1] if last else 0], content[:-1])))
+            first = (anchor != before[0]) | (content != before[1])
+            same = np.zeros(len(anchor), bool)  # one document listed twice repeats nothing
+            for k, c in enumerate(rest):
+                same |= c != np.concatenate(([last[2 + k] if last else ~c[0]], c[:-1]))
+            again = ~first & same
+            ready.append(tuple(c[again] for c in (anchor, *rest)))
+            masks.append(np.ones(int(again.sum()), bool))
+            firsts = [c[first] for c in (anchor, *rest)]
+            if pending:
+                firsts = [np.concatenate(([v], c)) for v, c in zip(pending[0], firsts)]
+            if len(firsts[0]):
+                tied = np.concatenate(([pending[1] if pending else False], firsts[0][1:] == firsts[0][:-1]))
+                edge = tied[:-1] | tied[1:]
+                ready.append(tuple(c[:-1][edge] for c in firsts))
+                masks.append(np.zeros(int(edge.sum()), bool))
+                pending = (tuple(c[-1] for c in firsts), bool(tied[-1]))
+            last = (anchor[-1], content[-1], *(c[-1] for c in rest))
+        if ready:
+            yield rows(ready, np.concatenate(masks))
+    if pending and pending[1]:
+        yield rows([tuple(np.array([v], np.int64) for v in pending[0])], np.zeros(1, bool))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +263,7 @@ def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Repeats among segments (anchor, id, tag, start, data), sorted by anchor, every anchor whole in the partition."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[1:4]: r for r in rows}.values())  # one document may be listed twice
         docs = {d: k for k, d in enumerate(sorted({(r[1], r[2]) for r in rows}))}
         rank = np.array([docs[r[1], r[2]] for r in rows], np.int64)
         out = []
@@ -264,28 +319,31 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], names=["id", "tag", "n_removed", "n_spans", "sha"])
 
 
-def removed_ranges(touched: DataFrame, located: DataFrame) -> DataFrame:
-    """Byte ranges (id, tag, a, b) to remove, maybe overlapping. ``touched``: texts with repeated anchors; ``located``: their segments."""
-    first = F.min(F.struct("id", "tag", "start", "n")).alias("f")
-    classes = stored(located.groupBy("anchor", "content").agg(first, F.count(F.lit(1)).alias("times")), "classes")
-    again = located.join(classes.filter("times > 1").select("anchor", "content", "f"), ["anchor", "content"]).filter(
-        (F.col("id") != F.col("f.id")) | (F.col("tag") != F.col("f.tag")) | (F.col("start") != F.col("f.start"))
-    )
-    whole = again.select("id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("b"))
-    contexts = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    edge = classes.join(contexts, "anchor").select("f.id", "f.tag", F.struct("anchor", F.col("f.start").alias("start"), F.col("f.n").alias("n")).alias("s"), "contexts")
-    per_doc = edge.groupBy("id", "tag").agg(F.collect_list("s").alias("own"))
-    cut = touched.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "own").mapInArrow(_cut, "anchor long, id long, tag long, start long, data binary")
-    cut = stored(cut.dropDuplicates(["id", "tag", "start"]), "edges")
-    crowded = stored(contexts.filter(F.col("contexts") > MOST_SEGMENTS).select("anchor"), "crowded")
+def _ends(place: str = "place") -> list:
+    start = F.shiftright(place, WIDTH_BITS)
+    return [start.alias("a"), (start + F.col(place).bitwiseAND(F.lit((1 << WIDTH_BITS) - 1)) + (LENGTH - 1)).alias("b")]
+
+
+def removed_ranges(source: DataFrame) -> DataFrame:
+    """Byte ranges (id, tag, a, b) to remove, maybe overlapping, of texts (id, tag, text)."""
+    found = source.filter(F.octet_length("text") >= LENGTH).mapInArrow(_found, FOUND)
+    dealt = found.repartition(F.coalesce("anchor", F.xxhash64("id", "place"))).sortWithinPartitions("anchor", "content", "id", "tag", "place")
+    decided = stored(dealt.mapInArrow(_decided, "anchor long, id long, tag long, place long"), "decided")
+    whole = decided.filter("anchor is null").select("id", "tag", *_ends())
+    edge = decided.filter("anchor is not null")
+    contexts = edge.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    start, n = F.shiftright("place", WIDTH_BITS), F.col("place").bitwiseAND(F.lit((1 << WIDTH_BITS) - 1))
+    per_doc = edge.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", start.alias("start"), n.alias("n"))).alias("own"))
+    cut = source.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "own").mapInArrow(_cut, "anchor long, id long, tag long, start long, data binary")
+    cut = stored(cut, "edges")
+    crowded = stored(contexts.filter(F.col("n") > MOST_SEGMENTS).select("anchor"), "crowded")
+    if crowded.isEmpty():
+        return whole.unionAll(cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_groups, RANGE))
     usual = cut.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    parts = whole.unionAll(usual.mapInArrow(_merge_groups, RANGE))
-    if not crowded.isEmpty():
-        single = stored(cut.join(crowded, "anchor", "left_semi").mapInArrow(_windows, "one long, two long, id long, tag long, start long"), "windows")
-        earliest = single.groupBy("one", "two").agg(F.min(F.struct("id", "tag", "start")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-        later = single.join(earliest, ["one", "two"]).filter(F.struct("id", "tag", "start") != F.col("f"))
-        parts = parts.unionAll(later.select("id", "tag", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
-    return parts
+    single = stored(cut.join(crowded, "anchor", "left_semi").mapInArrow(_windows, "one long, two long, id long, tag long, start long"), "windows")
+    earliest = single.groupBy("one", "two").agg(F.min(F.struct("id", "tag", "start")).alias("f"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    later = single.join(earliest, ["one", "two"]).filter(F.struct("id", "tag", "start") != F.col("f"))
+    return whole.unionAll(usual.mapInArrow(_merge_groups, RANGE)).unionAll(later.select("id", "tag", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
 
 
 NO_ID = -(1 << 63)
@@ -295,16 +353,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = text_of(text_col)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    long_enough = source.filter(F.octet_length("text") >= LENGTH)
-    anchors = stored(long_enough.mapInArrow(_anchors, "id long, tag long, anchors array<long>"), "anchors")
-    rows = anchors.select("id", "tag", F.explode("anchors").alias("anchor"))
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    wanted = stored(rows.join(often, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("wanted")), "wanted")
-    touched = stored(long_enough.join(wanted, ["id", "tag"]).select("id", "tag", "text", "wanted").dropDuplicates(["id", "tag"]), "touched")
-    located = stored(touched.mapInArrow(_located, "anchor long, content long, id long, tag long, start long, n long"), "segments")
-    ranges = removed_ranges(touched, located)
-    per_doc = ranges.groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    left = touched.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "ranges").mapInArrow(_without, "id long, tag long, n_removed long, n_spans long, sha string")
+    per_doc = removed_ranges(source).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    left = source.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "ranges").mapInArrow(_without, "id long, tag long, n_removed long, n_spans long, sha string")
+    left = left.dropDuplicates(["id", "tag"])
     plain = source.select("id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     out = plain.join(left, ["id", "tag"], "left")
     return out.select(
