@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = ranked.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("leader"))
     apart = ranked.join(leaders, "key").filter("node <> leader")
     pairs = stored(apart.select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), "pairs")
-    wanted = shared.select("node").distinct()
+    wanted = shared.select("node").distinct().hint("merge")  # the ids of most documents may be among them: never a side to broadcast
     bag = stored(source.join(wanted, source["id"] == wanted["node"], "left_semi").mapInArrow(_bagged, "node long, bag array<long>, n array<int>"), "bags")
     links = stored(verified(pairs, bag), "links")
     comps = components(links)
