@@ -112,4 +112,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; rows without id stay."""
     bad = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("_bad"), "left_anti")

@@ -121,7 +121,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns."""
     marks = exact_dedup(docs, id_col, text_col, capacity)
     gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    # a share of all documents goes, so their ids are never a side to broadcast
+    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 ORACLE = r"""
