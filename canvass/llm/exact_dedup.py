@@ -13,8 +13,9 @@ inside the tasks that read them before anything is shuffled, and the lookup is
 a plain join whose skewed partitions adaptive execution splits.
 
 Nulls: a null text is empty; a null id is never the smallest one and such a row
-is kept only if its whole group has null ids. Rows that repeat an id are one
-document: with equal texts they stay or go together. Empty table: empty result.
+is kept only if its whole group has null ids. Rows that repeat an id, or have
+none, stay or go together where their texts are equal; each of their other
+texts is judged for itself. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -120,9 +121,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16384) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     marks = exact_dedup(docs, id_col, text_col, capacity)
-    gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    # an id may stand for several texts, of which only copies go
+    rows = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
+    same = rows[id_col].eqNullSafe(gone["_gone"]) & (rows["_sha"] == gone["_gone_sha"])
     # a share of all documents goes, so their ids are never a side to broadcast
-    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return rows.join(gone.hint("merge"), same, "left_anti").drop("_sha")
 
 
 ORACLE = r"""
