@@ -28,6 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -48,6 +49,9 @@ BUDGET = 2048
 WORDS_KEPT = 700_000
 _ENDINGS = ".,;:!?|%&$*#()[]{}\"+-=/<>@^_~`"
 CLOSING = b"\0\0\0\0"
+#: str.split() takes these for white space, the tokenizer gives them ids.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+_WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class Encoder:
@@ -80,7 +84,7 @@ class Encoder:
         return self._slow(word)
 
     def encode(self, text: str) -> bytes:
-        words = text.split()
+        words = _WORDS.findall(text) if any(c in text for c in _CONTROLS) else text.split()
         found = list(map(self.known.get, words))
         if None in found:
             if len(self.known) > WORDS_KEPT:

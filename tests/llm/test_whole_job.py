@@ -1,6 +1,10 @@
 """Rows, characters and layouts that an operator once left out of its work."""
 
-from canvass.llm import exact_dedup
+import zlib
+
+import numpy as np
+
+from canvass.llm import exact_dedup, packing
 
 
 # 7
@@ -14,3 +18,16 @@ def test_copies_differing_in_white_space_go_with_any_columns(spark):
     docs = spark.createDataFrame([(1, "a  b", 5), (2, "a\tb", 6), (2, None, 7), (3, "", 8)], "key long, body string, kept int")
     got = exact_dedup.keep_first(docs, "key", "body")
     assert got.columns == docs.columns and sorted(r.kept for r in got.collect()) == [5, 7]
+
+
+# 2
+
+def test_control_characters_are_tokens(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(k, f"alpha{c}beta alpha {c} beta{c}{c}. {c}") for k, c in enumerate("\x1c\x1d\x1e\x1f\x85\xa0 　")], "doc_id long, text string")
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    got = {r.doc_id: (r.start, r.length, r.ids_crc32) for r in packing.pack(docs).collect()}
+    for r in docs.collect():
+        ids = model.encode(r.text, add_special_tokens=False).ids + [0]
+        assert got[r.doc_id] == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r.doc_id
