@@ -1,15 +1,21 @@
 """Licence recognition by sentences and sequence rules.
 
-A text is cut into sentences at line ends and after final punctuation, each is
-normalised (lower case, letters, digits and inner dots, single spaces) and
-looked up among the known licence sentences. The identifiers, in order of
-occurrence, form a sequence that an ordered list of rules reads: a rule names
-identifiers that must follow each other, every match yields the rule's licence
-and is consumed, and later rules see only what is left. A sentence that holds
-a licence word without being known gets the identifier ``unknown``.
+A text is cut into sentences after final punctuation and at lines without
+letters or digits, and normalised (lower case, letters, digits and inner dots,
+single spaces; comment marks before a line go). Known licence sentences are
+found from the start of any line of a sentence to the end of that line or a
+later one, the longest first, so it does not matter where a text is wrapped.
+The identifiers, in order of occurrence, form a sequence that an ordered list
+of rules reads: a rule names identifiers that must follow each other, every
+match yields the rule's licence and is consumed, and later rules see only what
+is left. What is left of a sentence and holds a licence word without being
+known gets the identifier ``unknown``, once.
 
 Everything is one projection of the table: no shuffle, and a task holds one
-document at a time. Only sentences with a licence word are looked up.
+document at a time. Only texts with a licence word are cut.
+
+The SQL counterpart cuts at every line end and knows ``SENTENCES`` and
+``RULES`` alone: it agrees on notices of one line.
 
 Nulls: a null text is empty and has no licence. Repeated rows are judged alike.
 """
@@ -76,8 +82,47 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Proprietary", ["all_rights"]),
 ]
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = "as published by the free software foundation"
+_LATER = "either version {0} of the license or at your option any later version"
+
+
+def _gpl(rest: str) -> list[str]:
+    return [f"{head}{_GPL} {rest}" for head in ("", "this program is free software ", "this program is free software; ")]
+
+
+#: The sentences of the standard notices, most of them longer than a line; "; " is the end of a sentence or an empty line.
+STANDARD = {
+    "apache_2": [
+        "the asf licenses this file to you under the apache license version 2.0 the license",
+    ],
+    "apache_copy": [f"you may obtain a copy of the license at{gap}{scheme} www.apache.org licenses license 2.0" for gap in (" ", "; ") for scheme in ("http", "https")],
+    "apache_unless": [
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied"
+    ],
+    "mit_grant": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+    ],
+    "mit_notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "gpl_3_later": [x for gap in (" ", "; ") for x in _gpl(f"{_FSF}{gap}{_LATER.format(3)}")],
+    "gpl_2_later": [x for gap in (" ", "; ") for x in _gpl(f"{_FSF}{gap}{_LATER.format(2)}")],
+    "gpl_3": [x for said in (f"version 3 {_FSF}", f"{_FSF} version 3", f"{_FSF} version 3 of the license", f"{_FSF}; version 3 of the license") for x in _gpl(said)],
+    "gpl_2": [x for said in (f"version 2 {_FSF}", f"{_FSF} version 2", f"{_FSF} version 2 of the license", f"{_FSF}; version 2 of the license") for x in _gpl(said)],
+}
+#: They read before ``RULES``, and yield licences that those name too.
+STANDARD_RULES = [
+    ("Apache-2.0", ["apache_2", "apache_comply", "apache_copy", "apache_unless", "apache_limits"]),
+    ("GPL-3.0-or-later", ["gpl_3_later"]),
+    ("GPL-2.0-or-later", ["gpl_2_later"]),
+    ("MIT", ["mit_grant", "mit_notice"]),
+    ("MIT", ["mit_grant"]),
+]
 #: Every known sentence holds one of these words.
 CUE = "licen[sc]e|under cc|redistribut|copyright|any later version"
+#: Where the SQL counterpart cuts.
 SPLIT = r"[.!?;]+([ \t]+|$)|[\r\n]+"
 
 
@@ -86,26 +131,54 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9.]+", " ", sentence.lower()).strip(" .")
 
 
+#: From raw lower-case text to normalised lines, sentences apart by empty lines. Lookbehinds keep runs of dots linear.
+LINES = [
+    (r"\r\n?", "\n"),
+    (r"(?m)^[ \t]*+(?:[;!]++|(?:dnl|rem)(?=[ \t\n]|\z))", " "),
+    (r"(?<![.!?;])[.!?;]++(?=[ \t\n]|\z)", "\n\n"),
+    (r"[^a-z0-9.\n]+", " "),
+    (r"(?m)^[ .]++|(?<![ .])[ .]++$", ""),
+]
+
+
+def _known() -> dict[str, str]:
+    """Identifiers by sentence, the longest first."""
+    own = {s: name for table in (SENTENCES, STANDARD) for name, said in table.items() for s in said}
+    return dict(sorted(own.items(), key=lambda x: -len(x[0])))
+
+
+def _found() -> str:
+    """A known sentence from line to line, or else the rest of a sentence from a line with a licence word up to the next known one."""
+    said = "|".join(s.replace(".", "[.]").replace("; ", "\n\n+").replace(" ", "[ \n]") for s in _known())
+    cue = CUE.replace(" ", "[ \n]")
+    return f"(?m)^(?:(?:{said})$|.*(?:{cue}).*(?:\n(?!(?:{said})$).+)*+)"
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the licence sentences of ``text``, in order."""
-    known = F.create_map(*[F.lit(x) for name, said in SENTENCES.items() for s in said for x in (s, name)])
-    clean = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9.]+", " "), F.lit(" ."))
-    cut = F.filter(F.split(F.lower(text), SPLIT), lambda s: s.rlike(CUE))
-    return F.transform(cut, lambda s: F.coalesce(F.element_at(known, clean(s)), F.lit("unknown")))
+    plain = {s.replace(";", ""): name for s, name in _known().items()}
+    known = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+    body = F.lower(text)
+    for pattern, by in LINES:
+        body = F.regexp_replace(body, pattern, by)
+    found = F.regexp_extract_all(body, F.lit(_found()), F.lit(0))
+    return F.transform(found, lambda s: F.coalesce(F.element_at(known, F.regexp_replace(s, "\n+", " ")), F.lit("unknown")))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, licences (distinct, by rule order, comma-joined; null if none), rule matches, known and unknown sentences, sequence."""
     low = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    seq = F.when(F.lower("text").rlike(CUE), identifiers(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    cue = CUE.replace(" ", "[^a-z0-9]+")  # a line may end between its words
+    seq = F.when(F.lower("text").rlike(cue), identifiers(F.col("text"))).otherwise(F.array().cast("array<string>"))
     out = low.select("id", seq.alias("ids")).withColumn("left", F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|")))
     counts = []
-    for k, (_, wanted) in enumerate(RULES):
+    rules = STANDARD_RULES + RULES
+    for k, (_, wanted) in enumerate(rules):
         run = "".join(f"|{w}|" for w in wanted)
         out = out.withColumn(f"n{k}", F.regexp_count("left", F.lit(re.sub(r"\|", "[|]", run)))).withColumn("left", F.replace("left", F.lit(run), F.lit("||")))
         counts.append(F.col(f"n{k}"))
-    names = F.array(*[F.when(c > 0, F.lit(name)) for c, (name, _) in zip(counts, RULES)])
-    joined = F.array_join(F.array_distinct(F.array_compact(names)), ",")
+    total = {name: sum(c for c, (n, _) in zip(counts, rules) if n == name) for name, _ in RULES}
+    joined = F.array_join(F.array_compact(F.array(*[F.when(n > 0, F.lit(name)) for name, n in total.items()])), ",")
     return out.select(
         F.col("id").alias(id_col),
         F.when(joined != "", joined).alias("licences"),

@@ -1,10 +1,12 @@
 """Rows, characters and layouts that an operator once left out of its work."""
 
+import textwrap
 import zlib
 
 import numpy as np
+import pytest
 
-from canvass.llm import exact_dedup, packing
+from canvass.llm import exact_dedup, license_scan, packing
 
 
 # 7
@@ -31,3 +33,64 @@ def test_control_characters_are_tokens(spark):
     for r in docs.collect():
         ids = model.encode(r.text, add_special_tokens=False).ids + [0]
         assert got[r.doc_id] == (0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r.doc_id
+
+
+# 1
+
+BSD = [
+    "Copyright (c) 2020, A. Person",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+GPL_3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+GPL_2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+KERNEL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+MIT = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+]
+NOTICES = [
+    ([*BSD, BSD_NAME], "BSD-3-Clause", "unknown,bsd_grant,bsd_source,bsd_binary,bsd_name"),
+    (BSD, "BSD-2-Clause", "unknown,bsd_grant,bsd_source,bsd_binary"),
+    (APACHE, "Apache-2.0", "apache_2,apache_comply,apache_copy,apache_unless,apache_limits"),
+    ([GPL_3], "GPL-3.0-or-later", "gpl_3_later"),
+    ([GPL_2], "GPL-2.0-or-later", "gpl_2_later"),
+    ([KERNEL], "GPL-2.0-only", "gpl_2"),
+    (MIT, "MIT", "mit_grant,mit_notice"),
+]
+
+
+def scanned(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for _, r in sorted((r.doc_id, r) for r in license_scan.license_scan(docs).collect())]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_notices_with_comment_marks(spark, end):
+    texts, want = [], []
+    for parts, licence, sequence in NOTICES:
+        for width in (10**6, 80, 72, 41):
+            for mark in ("", "# ", " * ", "// ", ";; ", "dnl ", "! "):
+                lines = [x for p in parts for x in [*textwrap.wrap(p, width), ""]]
+                texts.append(end.join(["int x = 1", "", *[(mark + x).rstrip() for x in lines], "and code"]))
+                want.append((licence, sequence, 1))
+    assert [(r.licences, r.sequence, r.n_matches) for r in scanned(spark, texts)] == want
+
+
+def test_lines_are_joined_within_a_sentence_only(spark):
+    texts = [
+        "Title without a stop\nReleased under the\nMIT License\nmore words",
+        "Released under the\n\nMIT License v",
+        "Released under the. MIT\nLicense v",
+        "An unknown licence\nwrapped with its licence\nover lines. Another licence.",
+        "A licence of our own\nReleased under the MIT License",
+        "words\n" * 50_000 + "licence\n" + "words\n" * 50_000 + "." * 100_000 + "x",
+    ]
+    assert [r.sequence for r in scanned(spark, texts)] == ["mit_ref", "unknown", "unknown", "unknown,unknown", "unknown,mit_ref", "unknown"]
