@@ -1,12 +1,16 @@
-"""Exact deduplication through an extendible-hash index on shared files.
+"""Exact deduplication by grouping, with an extendible-hash index of the groups.
 
 Texts are equal when identical after every run of ASCII white space became
 one space. The index maps the first bits of a text's hash through a directory
 to a bucket. A bucket that would hold more than ``capacity`` distinct hashes is
 split on the next bit, and the directory doubles when a bucket needs more bits
-than it has. Each bucket is one folder of files, written by the one task that
-owns its key range. Inside a bucket, texts that share a hash form a chain:
-entries are told apart by their bytes, so a collision of hashes merges nothing.
+than it has. Inside a bucket, texts that share a hash form a chain: entries are
+told apart by their bytes, so a collision of hashes merges nothing.
+
+The directory decides no result. A grouping by hash and text finds the copies,
+a join on hash and text_sha256 gives them to the rows, and bucket and chain
+only say where an entry belongs. The index is one stored table whose rows are
+dealt out by a hash of the bucket; buckets have no folders or files of their own.
 
 A group of copies costs one entry however large it is: copies are merged
 inside the tasks that read them before anything is shuffled, and the lookup is
@@ -82,7 +86,7 @@ def directory(hashes: DataFrame, capacity: int) -> tuple[int, list[int]]:
 
 
 def build_index(texts: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
-    """Index entries (bucket, h, chain, sha, keep_id, group_size), stored by bucket.
+    """Index entries (bucket, h, chain, sha, keep_id, group_size), dealt out by bucket.
 
     ``texts`` has id, norm and h; grouping by the text itself compares bytes.
     """
