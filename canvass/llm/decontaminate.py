@@ -19,9 +19,10 @@ checked first; beyond, the same join shuffles by seed. Hits are reduced to one
 row per document, item and offset inside the reading tasks, so a passage that
 a third of all documents share is an ordinary row of each.
 
-Nulls: a null text has no words; a document or item without id is skipped.
-Rows that repeat an id count as one document with several texts. Empty tables
-give an empty result.
+Nulls: a null text has no words. Documents without id are judged by their
+texts, one row with a null id per contaminated text; an item without id is
+skipped. Rows that repeat an id count as one document with several texts. Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -98,18 +99,43 @@ def overlaps(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     return scored.select("id", "item", "equal", "window", start.alias("start"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per contaminated document: id, contaminated, items (sorted), overlap (share of equal words in the best window), start (its first word)."""
-    source = docs.select(F.col(id_col).alias("id"), word_hashes(text_of(text_col)).alias("words")).filter("id is not null")
-    items = stored(benchmark.select(F.col(item_col).alias("item"), word_hashes(text_of(item_text)).alias("words")).filter("item is not null"), "items")
+def _judged(source: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per contaminated id of ``source`` (id, words): id, contaminated, items, overlap, start."""
     found = stored(hits(source, items), "hits")
     sure = overlaps(found, source, items)
     best = F.max(F.struct((F.col("equal") / F.col("window")).alias("overlap"), (-F.col("start")).alias("from")))
     per_doc = sure.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("items"), best.alias("best"))
-    return per_doc.select(F.col("id").alias(id_col), F.lit(True).alias("contaminated"), "items", F.col("best.overlap").alias("overlap"), (-F.col("best.from")).alias("start"))
+    return per_doc.select("id", F.lit(True).alias("contaminated"), "items", F.col("best.overlap").alias("overlap"), (-F.col("best.from")).alias("start"))
+
+
+def _both(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame | None]:
+    """The contaminated documents by id, and those without id by the hash of their text (None if every row has an id)."""
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    items = stored(benchmark.select(F.col(item_col).alias("item"), word_hashes(text_of(item_text)).alias("words")).filter("item is not null"), "items")
+    named = _judged(rows.filter("id is not null").select("id", word_hashes(F.col("text")).alias("words")), items)
+    bare = rows.filter("id is null")
+    if bare.select("id").isEmpty():
+        return named, None
+    # one row per text, copies merged inside the reading tasks
+    texts = bare.groupBy(F.sha2("text", 256).alias("id")).agg(F.first("text").alias("text"))
+    return named, stored(_judged(stored(texts.select("id", word_hashes(F.col("text")).alias("words")), "bare"), items), "bare-judged")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per contaminated document: id, contaminated, items (sorted), overlap (share of equal words in the best window), start (its first word)."""
+    named, bare = _both(docs, benchmark, id_col, text_col, item_col, item_text)
+    if bare is not None:
+        named = named.unionAll(bare.withColumn("id", F.lit(None).cast(docs.schema[id_col].dataType)))
+    return named.withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns; rows without id stay."""
-    bad = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad"))
-    return docs.join(bad.hint("merge"), F.col(id_col) == F.col("_bad"), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    named, bare = _both(docs, benchmark, id_col, text_col, "item_id", "text")
+    bad = named.select(F.col("id").alias("_bad"))
+    kept = docs.join(bad.hint("merge"), F.col(id_col) == F.col("_bad"), "left_anti")
+    if bare is None:
+        return kept
+    without = docs.filter(F.col(id_col).isNull()).withColumn("_sha", F.sha2(text_of(text_col), 256))
+    clean = without.join(bare.select(F.col("id").alias("_bad")).hint("merge"), F.col("_sha") == F.col("_bad"), "left_anti")
+    return kept.filter(F.col(id_col).isNotNull()).unionAll(clean.drop("_sha"))

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from canvass.llm import exact_dedup, license_scan, packing
+from canvass.llm import decontaminate, exact_dedup, license_scan, packing
 
 
 # 7
@@ -94,3 +94,15 @@ def test_lines_are_joined_within_a_sentence_only(spark):
         "words\n" * 50_000 + "licence\n" + "words\n" * 50_000 + "." * 100_000 + "x",
     ]
     assert [r.sequence for r in scanned(spark, texts)] == ["mit_ref", "unknown", "unknown", "unknown,unknown", "unknown,mit_ref", "unknown"]
+
+
+# 6
+
+def test_documents_without_id_are_judged(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(None, f"before {item} after", 1), (None, f"before {item} after", 2), (None, "quite another text of several words", 3), (None, None, 4), (5, f"x {item}", 5), (6, "clean", 6)], "doc_id long, text string, id int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted(decontaminate.contamination(docs, items).collect(), key=lambda r: r.doc_id or 0)
+    assert [(r.doc_id, r["items"], r.overlap, r.start) for r in got] == [(None, [1], 1.0, 1), (5, [1], 1.0, 1)]
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == [3, 4, 6]
