@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canvass.llm import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
+from canvass.llm import conversation_repair, decontaminate, exact_dedup, exact_topk, language_id, lexical_search, license_scan, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
 from canvass.llm.common import table
 
 
@@ -51,6 +52,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_repair(table(spark, sf_dir, "conversations")).drop("longest_open")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -62,9 +75,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_exact_topk": exact_topk.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
