@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from canvass.llm.batches import mixed
 from canvass.llm.common import stored
@@ -53,7 +54,7 @@ HASHES = 3
 #: Bits of a signature per entry of the largest document its block may hold.
 BITS_PER_ENTRY = 8
 #: Text and documents that a task gathers before it forms blocks, and bytes of a block's slices.
-GATHERED_BYTES, GATHERED_DOCS, SLICE_BYTES = 16_000_000, 16_384, 4_000_000
+GATHERED_BYTES, GATHERED_DOCS, SLICE_BYTES = 16_000_000, 8192, 2_000_000
 #: Different terms in a block of queries, as long as it holds more than one query.
 QUERY_TERMS = 20_000
 #: Terms whose slices are intersected at once, and documents scored between two looks at the bounds.
@@ -91,41 +92,55 @@ def _slices_of(hashes: np.ndarray, step: np.ndarray | int, bits: int) -> np.ndar
 INDEX = "docs int, tokens long, bits int, ids array<{id}>, lengths binary, slices binary, vocabulary binary, holders binary, starts binary, terms binary, counts binary"
 
 
-def _blocks(ids: list, counted: list[Counter]) -> Iterator[list]:
-    """Index rows for some documents: by size of their signatures, then in the order given."""
-    entries = [int(np.searchsorted(STEPS, np.fromiter(c.values(), np.int64, len(c)), "right").sum()) for c in counted]
-    classes = defaultdict(list)
-    for k, n in enumerate(entries):
-        if n:
-            classes[(n - 1).bit_length()].append(k)
-    for size, members in sorted(classes.items()):
-        bits = max(64, BITS_PER_ENTRY << size)
-        most = max(8, 8 * SLICE_BYTES // bits)
-        for at in range(0, len(members), most):
-            yield _block([ids[k] for k in members[at : at + most]], [counted[k] for k in members[at : at + most]], bits)
-
-
-def _block(ids: list, counted: list[Counter], bits: int) -> list:
-    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-    sizes = np.fromiter(map(len, counted), np.int64, len(counted))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    terms, counts = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.int64)
-    for k, c in enumerate(counted):
-        terms[starts[k] : starts[k + 1]] = np.fromiter(map(numbers.__getitem__, c), np.int32, len(c))
-        counts[starts[k] : starts[k + 1]] = np.fromiter(c.values(), np.int64, len(c))
-    vocabulary = list(numbers)
-    hashes, docs = _hashes(vocabulary), np.repeat(np.arange(len(ids)), sizes)
-    table = np.zeros((bits, -(-len(ids) // 8) * 8), bool)
-    for step, least in enumerate(STEPS):
-        here = counts >= least
-        if not here.any():
-            break
-        table[_slices_of(hashes[terms[here]], step, bits), docs[here][:, None]] = True
-    holders = np.bincount(terms, minlength=len(vocabulary))
-    lengths = np.add.reduceat(counts, starts[:-1])
-    packed = [a.astype(t).tobytes() for a, t in ((lengths, "<i8"), (np.packbits(table, axis=1), "u1"))]
-    rest = [a.astype(t).tobytes() for a, t in ((holders, "<i4"), (starts, "<i8"), (terms, "<i4"), (counts, "<i8"))]
-    return [len(ids), int(lengths.sum()), bits, ids, *packed, b" ".join(vocabulary), *rest]
+class _Gathered:
+    """Documents on their way into blocks: term numbers and counts in arrays."""
+
+    def __init__(self):
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.ids, self.terms, self.counts, self.bytes = [], [], [], 0
+
+    def add(self, i: object, text: bytes | None) -> None:
+        found = term_counts(text)
+        if found:
+            self.ids.append(i)
+            self.terms.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
+            self.counts.append(np.fromiter(found.values(), np.int64, len(found)))
+            self.bytes += len(text)
+
+    def full(self) -> bool:
+        return self.bytes >= GATHERED_BYTES or len(self.ids) >= GATHERED_DOCS
+
+    def blocks(self) -> Iterator[list]:
+        """Index rows: by size of the signatures, then in the order given."""
+        vocabulary = list(self.numbers)
+        hashes = _hashes(vocabulary)
+        classes = defaultdict(list)
+        for k, counts in enumerate(self.counts):
+            entries = int(np.searchsorted(STEPS, counts, "right").sum())
+            classes[(entries - 1).bit_length()].append(k)
+        for size, members in sorted(classes.items()):
+            bits = max(64, BITS_PER_ENTRY << size)
+            most = max(8, 8 * SLICE_BYTES // bits)
+            for at in range(0, len(members), most):
+                yield self._block(members[at : at + most], bits, vocabulary, hashes)
+
+    def _block(self, members: list[int], bits: int, vocabulary: list[bytes], hashes: np.ndarray) -> list:
+        sizes = np.array([len(self.terms[k]) for k in members])
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        own, terms = np.unique(np.concatenate([self.terms[k] for k in members]), return_inverse=True)
+        counts = np.concatenate([self.counts[k] for k in members])
+        docs = np.repeat(np.arange(len(members), dtype=np.int32), sizes)
+        table = np.zeros((bits, -(-len(members) // 8) * 8), bool)
+        for step, least in enumerate(STEPS):
+            here = np.flatnonzero(counts >= least)
+            if not len(here):
+                break
+            for slices in _slices_of(hashes[own], step, bits).T:
+                table[slices[terms[here]], docs[here]] = True
+        holders, lengths = np.bincount(terms, minlength=len(own)), np.add.reduceat(counts, starts[:-1])
+        packed = [a.astype(t).tobytes() for a, t in ((lengths, "<i8"), (np.packbits(table, axis=1), "u1"))]
+        rest = [a.astype(t).tobytes() for a, t in ((holders, "<i4"), (starts, "<i8"), (terms, "<i4"), (counts, "<i8"))]
+        return [len(members), int(lengths.sum()), bits, [self.ids[k] for k in members], *packed, b" ".join(vocabulary[k] for k in own), *rest]
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,27 +148,22 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = T.StructType.fromDDL(INDEX.format(id=docs.schema[id_col].dataType.simpleString()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counted, size, kind = [], [], 0, None
+        gathered, kind = _Gathered(), None
 
-        def blocks() -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[pa.RecordBatch]:
             types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), *[pa.binary()] * 7]
-            for cells in _blocks(ids, counted):
+            for cells in gathered.blocks():
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names=schema.names)
 
         for b in batches:
             kind = b.schema.field(0).type
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
-                found = term_counts(text)
-                if found:
-                    ids.append(i)
-                    counted.append(found)
-                    size += len(text)
-                if size >= GATHERED_BYTES or len(ids) >= GATHERED_DOCS:
-                    yield from blocks()
-                    ids, counted, size = [], [], 0
-        if ids:
-            yield from blocks()
+            for i, text in zip(b.column(0), b.column(1)):
+                gathered.add(i.as_py(), text.as_py())
+                if gathered.full():
+                    yield from rows()
+                    gathered = _Gathered()
+        if gathered.ids:
+            yield from rows()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -180,14 +190,12 @@ def _frequencies(index: DataFrame, asked: _Queries) -> tuple[int, int, dict[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, wanted = Counter(), {t: k for k, t in enumerate(vocabulary)}
-        for b in batches:
-            for docs, tokens, words, holders in zip(*(c.to_pylist() for c in b.columns)):
-                found[-1] += docs
-                found[-2] += tokens
-                holders = np.frombuffer(holders, "<i4").tolist()
-                for t, n in zip(words.split(b" "), holders):
-                    if (k := wanted.get(t)) is not None:
-                        found[k] += n
+        for row in _rows(batches):
+            found[-1] += row["docs"]
+            found[-2] += row["tokens"]
+            for t, n in zip(bytes(row["vocabulary"]).split(b" "), np.frombuffer(row["holders"], "<i4").tolist()):
+                if (k := wanted.get(t)) is not None:
+                    found[k] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     parts = index.select("docs", "tokens", "vocabulary", "holders").mapInArrow(run, "term long, n long")
@@ -207,6 +215,13 @@ def _gain(counts: np.ndarray | int, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * counts) // (1000 * counts + 12 * m)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Index rows one at a time; binary cells are views into their batch."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield {n: b.column(n)[k].as_buffer() if pa.types.is_binary(b.schema.field(n).type) else b.column(n)[k].as_py() for n in b.schema.names}
+
+
 class _Block:
     """One row of the index, as a search reads it."""
 
@@ -259,7 +274,7 @@ class _Block:
         return np.add.reduceat(parts, ends - sizes)
 
     def load(self) -> None:
-        names = {t: k for k, t in enumerate(self.row["vocabulary"].split(b" "))}
+        names = {t: k for k, t in enumerate(bytes(self.row["vocabulary"]).split(b" "))}
         self.exact = names, *(np.frombuffer(self.row[c], t) for c, t in (("starts", "<i8"), ("terms", "<i4"), ("counts", "<i8")))
 
     def search(self, asked: _Queries, best: list[Best]) -> int:
@@ -301,14 +316,12 @@ def _search(index: DataFrame, asked: _Queries, n: int, total: int, k: int, item_
     schema = T.StructType([T.StructField("ask", T.IntegerType()), T.StructField("doc", kind), T.StructField("score", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, kinds = [Best(k) for _ in asked.ids], None
-        for b in batches:
-            kinds = b.schema.field("ids").type.value_type
-            for row in b.to_pylist():
-                _Block(row, n, total).search(asked, best)
-        if kinds is not None:
-            found = [(q, i, -s) for q, x in enumerate(best) for s, _, i in x.rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], t) for j, t in enumerate((pa.int32(), kinds, pa.int64()))], names=schema.names)
+        best = [Best(k) for _ in asked.ids]
+        for row in _rows(batches):
+            _Block(row, n, total).search(asked, best)
+        found = [(q, i, -s) for q, x in enumerate(best) for s, _, i in x.rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in found], to_arrow_type(f.dataType)) for j, f in enumerate(schema)], names=schema.names)
 
     names = index.sparkSession.createDataFrame(list(enumerate(asked.ids)), T.StructType([T.StructField("ask", T.IntegerType()), T.StructField("item", item_type)]))
     columns = ["bits", "ids", "lengths", "slices", "vocabulary", "starts", "terms", "counts"]

@@ -91,7 +91,10 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
 
 def indexed(rows):
     schema = ls.T.StructType.fromDDL(ls.INDEX.format(id="long"))
-    for cells in ls._blocks([i for i, _ in rows], [ls.term_counts(t.encode()) for _, t in rows]):
+    gathered = ls._Gathered()
+    for i, text in rows:
+        gathered.add(i, text.encode())
+    for cells in gathered.blocks():
         yield dict(zip(schema.names, cells))
 
 
