@@ -5,6 +5,11 @@ reads the feature table once and returns, per model, the sums behind its normal
 equations. Thirty-five models take about six passes, not thirty-five times six.
 Inside a task the sums are matrix products over Arrow batches; Spark adds the
 tasks' sums up, and only models x terms^2 numbers reach the driver.
+
+One pass before the first step factors the regressors (``tall_skinny``). The
+triangle of all rows turns the regressors into orthonormal columns, on which
+every later sum is taken, so that nearly dependent regressors cost no digits;
+each model's own triangle decides which of its terms are aliased.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import canvass
 from canvass.domain import Domain
-from canvass.functions.flags import sign_mark, stars
+from canvass.functions.flags import quoted, sign_mark, stars
 from canvass.functions.special import normal_arrays
 from canvass.operators.reshape import spread
+from canvass.operators.separation import separations
+from canvass.operators.tall_skinny import independent, triangles
 from canvass.session import local_table, materialized
 
 INTERCEPT = "(Intercept)"
@@ -58,12 +65,21 @@ def design_matrix(df: DataFrame, terms: Sequence[Term], keep: Sequence[str] = ()
 
 @dataclass
 class _Model:
-    """Driver-side state of one regression."""
+    """Driver-side state of one regression.
+
+    ``beta`` stands for the orthonormal columns. The terms in ``used`` span
+    ``frame`` among them, and ``triangle`` turns their own coefficients into
+    coordinates in that frame.
+    """
 
     beta: np.ndarray
+    used: list[int]
+    frame: np.ndarray
+    triangle: np.ndarray
     status: str = "running"
     iterations: int = 0
-    used: np.ndarray | None = None
+    total: np.ndarray | None = None
+    proven: bool = False
     accepted: np.ndarray | None = None
     accepted_ll: float = -math.inf
     last_step: float = math.inf
@@ -73,6 +89,13 @@ class _Model:
     loglik: float = math.nan
     sums: dict[str, np.ndarray] = field(default_factory=dict)
 
+    def slopes(self, p: int) -> np.ndarray:
+        """Coefficients of the (centred and scaled) terms, zero where aliased."""
+        out = np.zeros(p)
+        if self.used:
+            out[self.used] = np.linalg.solve(self.triangle, self.frame.T @ self.beta)
+        return out
+
 
 def _upper(p: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(p)
@@ -93,9 +116,10 @@ def _features(df: DataFrame, terms: Sequence[Term], deps: Sequence[str]) -> Data
     Five dummies and thirty-five answers with their gaps take two longs a row.
     Handing a row to a Python worker costs by the column, and the table is
     written and read many times, so width is what counts. Rows missing a
-    regressor are left out.
+    regressor (NaN counts as missing) are left out, an infinite one is an error.
     """
     rows = design_matrix(df, terms, [f"`{d}`" for d in deps]).na.drop(subset=[f"`{t.name}`" for t in terms])
+    finite = lambda n: f"if(abs(`{n}`) < double('infinity'), `{n}`, cast(raise_error({quoted(f'regressor {n} is infinite')}) as double))"
     tests = [f"`{t.name}` = 1" for t in terms if t.discrete]
     tests += [f"`{d}` = 1" for d in deps] + [f"`{d}` is not null" for d in deps]
     words = []
@@ -103,7 +127,7 @@ def _features(df: DataFrame, terms: Sequence[Term], deps: Sequence[str]) -> Data
         bits = " + ".join(f"shiftleft(cast(coalesce({t}, false) as bigint), {i})"
                           for i, t in enumerate(tests[at: at + _BITS]))
         words.append(f"{bits} as flags{at // _BITS}")
-    return rows.selectExpr(*[f"`{t.name}` as x{k}" for k, t in enumerate(terms, 1) if not t.discrete], *words)
+    return rows.selectExpr(*[f"{finite(t.name)} as x{k}" for k, t in enumerate(terms, 1) if not t.discrete], *words)
 
 
 def _batch_matrices(batch: pa.RecordBatch, discrete: Sequence[bool], deps: int) -> tuple[np.ndarray, ...]:
@@ -120,8 +144,8 @@ def _batch_matrices(batch: pa.RecordBatch, discrete: Sequence[bool], deps: int)
     return x, flags[:, dummies: dummies + deps], flags[:, dummies + deps:]
 
 
-def _newton_sums(x, y, seen, betas):
-    """Per model: packed curvature, score, log-likelihood, rows, ones."""
+def _newton_sums(x, raw, y, seen, betas):
+    """Per model: packed curvature, score, log-likelihood, rows, ones, and rows foretold almost surely."""
     eta = x @ betas.T
     pdf, cdf = normal_arrays(eta)
     np.clip(cdf, _EPS, 1.0 - _EPS, out=cdf)
@@ -129,10 +153,10 @@ def _newton_sums(x, y, seen, betas):
     i, j = _upper(x.shape[1])
     loglik = seen * np.log(np.where(y > 0, cdf, 1.0 - cdf))
     return [(score * (score + eta)).T @ (x[:, i] * x[:, j]), score.T @ x, loglik.sum(axis=0)[:, None],
-            seen.sum(axis=0)[:, None], y.sum(axis=0)[:, None]]
+            seen.sum(axis=0)[:, None], y.sum(axis=0)[:, None], (seen * (np.abs(eta) > _SURE)).sum(axis=0)[:, None]]
 
 
-def _final_sums(x, y, seen, betas, discrete):
+def _final_sums(x, raw, y, seen, betas, discrete, slopes):
     """Per model: log-likelihood, expected information, score outer products, and the sums
     behind effects and their gradients."""
     eta = x @ betas.T
@@ -146,27 +170,28 @@ def _final_sums(x, y, seen, betas, discrete):
     out = [loglik.sum(axis=0)[:, None], (ratio * pdf).T @ pairs, (score * score).T @ pairs,
            (seen * pdf).sum(axis=0)[:, None], (seen * pdf * eta).T @ x]
     for d in discrete:
-        pdf_on, cdf_on = normal_arrays(eta + np.outer(1.0 - x[:, d], betas[:, d]))
-        pdf_off, cdf_off = normal_arrays(eta - np.outer(x[:, d], betas[:, d]))
-        gradient = (seen * (pdf_on - pdf_off)).T @ x
-        gradient[:, d] = (seen * pdf_on).sum(axis=0)
-        out += [(seen * (cdf_on - cdf_off)).sum(axis=0)[:, None], gradient]
+        flag = raw[:, d]
+        pdf_on, cdf_on = normal_arrays(eta + np.outer(1.0 - flag, slopes[:, d]))
+        pdf_off, cdf_off = normal_arrays(eta - np.outer(flag, slopes[:, d]))
+        own = (1.0 - flag) @ (seen * pdf_on) + flag @ (seen * pdf_off)
+        out += [(seen * (cdf_on - cdf_off)).sum(axis=0)[:, None], own[:, None], (seen * (pdf_on - pdf_off)).T @ x]
     return out
 
 
+_SURE = 5.6  # a linear predictor beyond which the other answer is less likely than 1e-8
 _CHUNK = 2048  # rows worked on at a time, so that intermediate arrays stay in the processor's cache
 
 
-def _scan(table: DataFrame, terms: Sequence[Term], betas: np.ndarray, width: int, sums) -> np.ndarray:
-    """One pass: ``sums`` of every batch added up over the whole table, as (models, width)."""
+def _scan(table: DataFrame, terms: Sequence[Term], basis: np.ndarray, betas: np.ndarray, width: int, sums) -> np.ndarray:
+    """One pass: ``sums`` of every batch, on orthonormal columns, added up over the whole table, as (models, width)."""
     discrete = [t.discrete for t in terms]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((betas.shape[0], width))
         for batch in batches:
             for at in range(0, batch.num_rows, _CHUNK):
-                matrices = _batch_matrices(batch.slice(at, _CHUNK), discrete, betas.shape[0])
-                total += np.hstack(sums(*matrices, betas))
+                raw, y, seen = _batch_matrices(batch.slice(at, _CHUNK), discrete, betas.shape[0])
+                total += np.hstack(sums(raw @ basis, raw, y, seen, betas))
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(flat.size, dtype=np.int32)), pa.array(flat)], ["slot", "value"])
@@ -179,20 +204,56 @@ def _scan(table: DataFrame, terms: Sequence[Term], betas: np.ndarray, width: int
     return flat.reshape(betas.shape[0], width)
 
 
-def _independent(gram: np.ndarray) -> np.ndarray:
-    """Columns kept when each is dropped that the earlier ones already explain."""
-    kept: list[int] = []
-    for k in range(gram.shape[0]):
-        if gram[k, k] <= 0:
-            continue
-        if kept:
-            a = gram[np.ix_(kept, kept)]
-            b = gram[np.ix_(kept, [k])]
-            left = gram[k, k] - (b.T @ np.linalg.solve(a, b)).item()
-            if left <= 1e-9 * gram[k, k]:
-                continue
-        kept.append(k)
-    return np.array(kept, dtype=int)
+def _orthonormal(table: DataFrame, terms: Sequence[Term], m: int, rounding: np.ndarray) -> tuple[np.ndarray, list[_Model]]:
+    """The map from regressors to orthonormal columns (mean square 1), and models that know their independent terms."""
+    discrete, p = [t.discrete for t in terms], len(terms) + 1
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, batch.num_rows, _CHUNK):
+            x, _, seen = _batch_matrices(batch.slice(at, _CHUNK), discrete, m)
+            yield x, seen
+
+    factors = triangles(table, pieces, m, p)
+    kept = independent(factors[m], None, rounding)
+    whole = np.linalg.qr(factors[m][:, kept], mode="r") / max(1.0, abs(factors[m][0, 0]))
+    basis = np.zeros((p, len(kept)))
+    basis[kept] = np.linalg.inv(whole)
+    models = []
+    for r in factors[:m]:
+        used = independent(r, kept, rounding)
+        frame, triangle = np.linalg.qr(whole[:, [kept.index(k) for k in used]])
+        models.append(_Model(np.zeros(len(kept)), used, frame, triangle))
+    return basis, models
+
+
+def _separations(table: DataFrame, terms: Sequence[Term], basis: np.ndarray, models: list[_Model], which: list[int]) -> dict[int, str]:
+    """What the answers of some models allow, see ``separation``."""
+    discrete, m, most = [t.discrete for t in terms], len(models), 16
+    frames = {k: models[k].frame for k in which}
+
+    def obstructed(directions: dict) -> dict[int, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {k: [] for k in directions}
+            for batch in batches:
+                for at in range(0, batch.num_rows, _CHUNK):
+                    raw, y, seen = _batch_matrices(batch.slice(at, _CHUNK), discrete, m)
+                    x = raw @ basis
+                    for k, (d, margin) in directions.items():
+                        rows = (x @ frames[k]) * (2.0 * y[:, k: k + 1] - 1.0)
+                        rows /= np.maximum(np.linalg.norm(rows, axis=1), 1e-300)[:, None]
+                        short = np.where(seen[:, k] > 0, rows @ d - margin, 0.0)
+                        worst = np.argsort(short)[:most]
+                        found = [(short[i], rows[i].tobytes()) for i in worst if short[i] < -1e-9]
+                        held[k] = sorted(set(held[k] + found))[:most]
+            flat = [(k, v, r) for k, rows in held.items() for v, r in rows]
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat), (pa.int32(), pa.float64(), pa.binary()))], names=["model", "short", "cells"])
+
+        order = F.row_number().over(Window.partitionBy("model").orderBy("short", "cells"))
+        rows = table.mapInArrow(run, "model int, short double, cells binary").distinct().withColumn("k", order).filter(F.col("k") <= most).collect()
+        return {k: np.array([np.frombuffer(r.cells) for r in rows if r.model == k]) for k in directions}
+
+    return separations({k: models[k].frame.T @ models[k].total for k in which}, obstructed)
 
 
 def _advance(model: _Model, curvature, score, tolerance: float) -> None:
@@ -200,32 +261,30 @@ def _advance(model: _Model, curvature, score, tolerance: float) -> None:
 
     The squared step in units of its standard errors decides when to stop, so
     that the scale of a regressor does not matter. The last step is still taken:
-    convergence is quadratic.
+    convergence is quadratic. A model whose steps run off is ``suspected``, until
+    it is proven that its maximum is finite.
     """
-    if model.used is None:
-        model.used = _independent(curvature)
     if model.loglik < model.accepted_ll - 1e-9 * (1.0 + abs(model.accepted_ll)):
         model.beta = 0.5 * (model.beta + model.accepted)
         return
     gain = (model.loglik - model.accepted_ll) / (abs(model.loglik) + 0.1)
     model.accepted, model.accepted_ll = model.beta.copy(), model.loglik
-    u = model.used
+    frame = model.frame
     try:
-        step = np.linalg.solve(curvature[np.ix_(u, u)], score[u])
+        step = np.linalg.solve(frame.T @ curvature @ frame, frame.T @ score)
     except np.linalg.LinAlgError:
-        model.status = "separated"
+        model.status = "suspected" if not model.proven else "not converged"
         return
     size = float(np.max(np.abs(step)))
-    # Steps that hardly shrink while the likelihood no longer moves: an estimate is running off.
+    # Steps that hardly shrink while the likelihood no longer moves: an estimate may be running off.
     adrift = gain < 1e-8 and size > 0.3 * model.last_step
     model.stalled = model.stalled + 1 if adrift else 0
     model.last_step = size
-    done = float(step @ score[u]) <= tolerance
-    if model.stalled >= 3 or (done and adrift and size > 1e-6):
-        model.status = "separated"
+    done = float(step @ (frame.T @ score)) <= tolerance
+    if not model.proven and (model.stalled >= 3 or (done and adrift and size > 1e-6)):
+        model.status = "suspected"
         return
-    model.beta = model.beta.copy()
-    model.beta[u] += step
+    model.beta = model.beta + frame @ step
     if done:
         model.status = "ok"
 
@@ -257,14 +316,20 @@ def fit_probits(
     Standard errors come both from the model and from the HC0 sandwich; effects
     are averages over the rows with delta-method errors on the sandwich. Status:
     ``ok``, ``constant`` (the dependent does not vary), ``empty``, ``separated``
-    (no finite maximum; numbers are where the search stopped), ``not converged``.
+    and ``quasi-separated`` (no finite maximum, as all or some rows lie on the
+    side of their answer; numbers are where the search stopped), ``not converged``.
+    Separation is decided by a linear program, and only asked for where steps run
+    off or rows are foretold almost surely.
     """
     deps = [d for names in families.values() for d in names]
     with materialized(_features(df, terms, deps), "probit") as table:
         centre, scale = _spread(table, terms)
         scaled = _scaled(table, terms, centre, scale)
-        models = _fit(scaled, terms, len(deps), tolerance, max_iterations)
-        _measure(scaled, models, terms)
+        # a cell far from zero carries the rounding of its own size, which centring brings forward
+        rounding = _EPS * np.where(centre == 0, 0.0, np.abs(centre) / scale + 1.0)
+        basis, models = _orthonormal(scaled, terms, len(deps), rounding)
+        _fit(scaled, terms, basis, models, tolerance, max_iterations)
+        _measure(scaled, terms, basis, models)
     return _tables(df.sparkSession, models, terms, families, centre, scale)
 
 
@@ -288,17 +353,19 @@ def _scaled(table: DataFrame, terms: Sequence[Term], centre: np.ndarray, scale:
     return table.withColumns(own) if own else table
 
 
-def _fit(table: DataFrame, terms: Sequence[Term], m: int, tolerance: float, limit: int) -> list[_Model]:
-    p = len(terms) + 1
+def _fit(table: DataFrame, terms: Sequence[Term], basis: np.ndarray, models: list[_Model], tolerance: float, limit: int) -> None:
+    p = basis.shape[1]
     packed = p * (p + 1) // 2
-    models = [_Model(np.zeros(p)) for _ in range(m)]
     for step in range(limit + 1):
         betas = np.array([model.beta for model in models])
-        sums = _scan(table, terms, betas, packed + p + 3, _newton_sums)
-        for model, row in zip(models, sums):
+        sums = _scan(table, terms, basis, betas, packed + p + 4, _newton_sums)
+        sure = set()
+        for k, (model, row) in enumerate(zip(models, sums)):
             if model.status != "running":
                 continue
-            model.loglik, model.n, model.ones = row[-3], round(row[-2]), round(row[-1])
+            model.loglik, model.n, model.ones = row[-4], round(row[-3]), round(row[-2])
+            if model.total is None:
+                model.total = row[packed: packed + p]  # at zero, the score is a multiple of the sum of the rows' vectors
             if model.n == 0:
                 model.status = "empty"
             elif model.ones in (0, model.n):
@@ -308,31 +375,42 @@ def _fit(table: DataFrame, terms: Sequence[Term], m: int, tolerance: float, limi
                 _advance(model, _square(row[:packed], p), row[packed: packed + p], tolerance)
                 if model.status == "running" and step == limit:
                     model.status = "not converged"
+            if row[-1] and model.status in ("ok", "not converged") and not model.proven:
+                sure.add(k)
+        doubtful = [k for k, model in enumerate(models) if model.status == "suspected" or k in sure]
+        if doubtful:
+            for k, found in _separations(table, terms, basis, models, doubtful).items():
+                models[k].proven = found == "overlap"
+                if found != "overlap":
+                    models[k].status = found
+                elif models[k].status == "suspected":
+                    models[k].status = "running" if step < limit else "not converged"
         if all(model.status != "running" for model in models):
             break
-    return models
 
 
-def _measure(table: DataFrame, models: list[_Model], terms: Sequence[Term]) -> None:
-    p = len(terms) + 1
+def _measure(table: DataFrame, terms: Sequence[Term], basis: np.ndarray, models: list[_Model]) -> None:
+    p = basis.shape[1]
     packed = p * (p + 1) // 2
     discrete = [k for k, t in enumerate(terms, start=1) if t.discrete]
     betas = np.array([model.beta for model in models])
-    sums = _scan(table, terms, betas, 2 + 2 * packed + p + len(discrete) * (1 + p),
-                 lambda x, y, seen, b: _final_sums(x, y, seen, b, discrete))
+    slopes = np.array([model.slopes(len(terms) + 1) for model in models])
+    sums = _scan(table, terms, basis, betas, 2 + 2 * packed + p + len(discrete) * (2 + p),
+                 lambda x, raw, y, seen, b: _final_sums(x, raw, y, seen, b, discrete, slopes))
     for model, row in zip(models, sums):
-        parts = iter(np.split(row, np.cumsum([1, packed, packed, 1, p, *[1, p] * len(discrete)])[:-1]))
+        parts = iter(np.split(row, np.cumsum([1, packed, packed, 1, p, *[1, 1, p] * len(discrete)])[:-1]))
         model.loglik = float(next(parts)[0])
         model.sums = {"information": _square(next(parts), p), "meat": _square(next(parts), p),
                       "pdf": next(parts), "pdf_eta_x": next(parts)}
         for d in discrete:
-            model.sums |= {f"change {d}": next(parts), f"gradient {d}": next(parts)}
+            model.sums |= {f"change {d}": next(parts), f"own {d}": next(parts), f"gradient {d}": next(parts)}
 
 
 def _covariances(model: _Model) -> tuple[np.ndarray, np.ndarray]:
-    u = model.used
-    bread = np.linalg.pinv(model.sums["information"][np.ix_(u, u)], hermitian=True)
-    return bread, bread @ model.sums["meat"][np.ix_(u, u)] @ bread
+    """Model-based and robust, of the coordinates in the model's frame."""
+    frame = model.frame
+    bread = np.linalg.pinv(frame.T @ model.sums["information"] @ frame, hermitian=True)
+    return bread, bread @ (frame.T @ model.sums["meat"] @ frame) @ bread
 
 
 def _tables(spark: SparkSession, models, terms, families, centre: np.ndarray, scale: np.ndarray) -> ProbitBatch:
@@ -344,9 +422,11 @@ def _tables(spark: SparkSession, models, terms, families, centre: np.ndarray, sc
     coefficients, effects, fits = [], [], []
     owners = [(family, d) for family, deps in families.items() for d in deps]
     for order, ((family, dep), model) in enumerate(zip(owners, models)):
-        estimated = model.status in ("ok", "separated", "not converged")
+        estimated = model.status in ("ok", "separated", "quasi-separated", "not converged")
         bread, robust = _covariances(model) if estimated else (None, None)
-        own = back[np.ix_(model.used, model.used)] if estimated else None
+        turn = np.linalg.inv(model.triangle) if estimated else None  # from the frame to the scaled terms
+        slopes = model.slopes(len(names))
+        own = back[np.ix_(model.used, model.used)] @ turn if estimated else None
         own_bread, own_robust = (own @ v @ own.T for v in (bread, robust)) if estimated else (None, None)
         at = {k: i for i, k in enumerate(model.used)} if estimated else {}
         n = max(model.n, 1)
@@ -359,21 +439,19 @@ def _tables(spark: SparkSession, models, terms, families, centre: np.ndarray, sc
                 if k:
                     effects.append((*key, _kind(k, discrete), None, None, None, None, state))
                 continue
-            i, b = at[k], float(model.beta[k])
-            estimate = float(own[i] @ model.beta[model.used])
+            i, b = at[k], float(slopes[k])
+            estimate = float(own[i] @ (model.frame.T @ model.beta))
             se, se_robust = math.sqrt(max(own_bread[i, i], 0.0)), math.sqrt(max(own_robust[i, i], 0.0))
             z = estimate / se if se else math.nan
             coefficients.append((*key, estimate, se, se_robust, z, _p_value(z), model.status))
             if not k:
                 continue
-            u = model.used
             if k in discrete:
                 dydx = float(model.sums[f"change {k}"][0]) / n
-                g = model.sums[f"gradient {k}"][u] / n
+                g = (model.frame.T @ model.sums[f"gradient {k}"] + turn[i] * model.sums[f"own {k}"][0]) / n
             else:
                 dydx = mean_pdf * b
-                g = -b * model.sums["pdf_eta_x"][u] / n
-                g[i] += mean_pdf
+                g = -b * (model.frame.T @ model.sums["pdf_eta_x"]) / n + turn[i] * mean_pdf
             error = math.sqrt(max(float(g @ robust @ g), 0.0)) / scale[k]
             dydx /= scale[k]
             ratio = dydx / error if error else None
