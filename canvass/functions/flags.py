@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.functions.numbers import strict_number
+
 
 def quoted(value: str) -> str:
     """A SQL text literal."""
@@ -46,7 +48,7 @@ def any_positive(*es: str) -> Column:
 
 def text_positive(e: str) -> Column:
     """Amount kept as text: not a number counts as no amount. Never NULL."""
-    return any_positive(f"try_cast({e} as double)")
+    return any_positive(strict_number(e))
 
 
 def share(part: str, total: str) -> Column:

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from canvass.functions.numbers import strict_number
 from canvass.sources import schema
+from canvass.sources.infer import inferred_types, typed
+from canvass.sources.records import read_cells
 
 MISSING_TEXT = "NA"
 
@@ -19,7 +22,11 @@ def text_cell(name: str) -> str:
 
 def number_cell(name: str) -> str:
     """A number, missing when the text is none; an undefined number (NaN) counts as missing too."""
-    return f"nanvl(try_cast(`{name}` as double), cast(null as double))"
+    return strict_number(f"`{name}`")
+
+
+def _name(column: str) -> str:
+    return column.replace(".", "_").lower()
 
 
 def conform(raw: DataFrame, numeric: Sequence[str] = schema.NUMERIC) -> DataFrame:
@@ -29,7 +36,7 @@ def conform(raw: DataFrame, numeric: Sequence[str] = schema.NUMERIC) -> DataFram
     """
     out = []
     for f in raw.schema.fields:
-        name = f.name.replace(".", "_").lower()
+        name = _name(f.name)
         cell = f"`{f.name}`"
         if isinstance(f.dataType, T.StringType):
             cell = number_cell(f.name) if name in numeric else text_cell(f.name)
@@ -38,18 +45,23 @@ def conform(raw: DataFrame, numeric: Sequence[str] = schema.NUMERIC) -> DataFram
 
 
 def read_survey(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = False, infer: bool = False
 ) -> DataFrame:
     """A survey CSV with a header, every cell read as text, conformed.
 
     ``columns`` declares the header in file order (dots or underscores), and a
     file whose header differs is an error; without it the header line is looked at. ``multi_line`` allows line breaks
-    inside quoted cells, at the price of one task per file.
+    inside quoted cells, at the price of a pass that counts quotes; a large file is still read by many tasks. ``infer``
+    finds logical, whole, real and text columns in the cells by one more pass, instead of the questionnaire's kinds.
     """
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return conform(reader.csv(path))
+    if multi_line:
+        cells = read_cells(spark, path, columns)
+    else:
+        reader = spark.read.options(header=True, quote='"', escape='"', enforceSchema=False)
+        if columns is not None:
+            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+        cells = reader.csv(path)
+    return typed(cells, inferred_types(cells), [_name(c) for c in cells.columns]) if infer else conform(cells)
 
 
 def read_region_map(spark: SparkSession, path: str) -> DataFrame:
