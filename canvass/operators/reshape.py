@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.flags import row_sum
+from canvass.functions.names import unused
 
 MISSING = "NA"
 OTHER = "other"
@@ -25,22 +26,33 @@ def select_first(df: DataFrame, *first: str) -> DataFrame:
     return df.select(*first, *[c for c in df.columns if c not in first])
 
 
+def only(value: Column) -> Column:
+    """The value of a cell that has one row; a second row, a missing value included, is an error."""
+    twice = F.raise_error(F.lit("several rows fall into one cell; say how to merge them"))
+    return F.when(F.count(F.lit(1)) > 1, twice.cast("void")).otherwise(F.first(value))
+
+
 def spread(
     df: DataFrame, ids: Sequence[str], key: str, values: Sequence[str],
-    value: str, fill: Column | None = None,
+    value: str, fill: Column | None = None, merge: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One column per listed key; a missing key goes to the column ``NA`` if that is listed.
 
     A key that is not listed, a text spelled like a column that stands for
     something else included, is an error when the query runs: leaving it out would lose rows.
+    So are two rows of the same cell, unless ``merge`` (an aggregate such as ``F.sum`` or ``F.max``) makes one of them.
     ``fill`` replaces combinations that have no row. NaN marks a row whose value
     is undefined (a mean over nothing) and is kept apart from those.
     """
     unlisted = F.raise_error(F.concat(F.lit(f"{key} has a value without a column: "), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("NULL"))))
     slots = slot_of(F.col(f"`{key}`"), values, unlisted.cast("int"))
-    wide = df.withColumn("_slot", slots).groupBy(*ids).pivot("_slot", list(range(len(values)))).agg(F.first(value))
-    cells = [F.col(f"`{i}`") for i in range(len(values))]
-    return wide.select(*ids, *[(c if fill is None else F.coalesce(c, fill)).alias(v) for c, v in zip(cells, values)])
+    slot, cell = unused(df.columns, "slot"), unused(df.columns, "cell")
+    cells = df.withColumn(slot, slots).groupBy(*ids, slot).agg((merge or only)(F.col(f"`{value}`")).alias(cell))
+    wide = cells.groupBy(*ids).pivot(slot, list(range(len(values)))).agg(F.first(cell))
+    # by position: an id may be called like a pivoted column
+    wide = wide.toDF(*[f"i{k}" for k in range(len(ids))], *[f"v{k}" for k in range(len(values))])
+    out = [F.col(f"v{k}") if fill is None else F.coalesce(F.col(f"v{k}"), fill) for k in range(len(values))]
+    return wide.select(*[F.col(f"i{k}").alias(i) for k, i in enumerate(ids)], *[c.alias(v) for c, v in zip(out, values)])
 
 
 def slot_of(key: Column, values: Sequence[str], unlisted: Column) -> Column:
@@ -60,7 +72,8 @@ def gather(df: DataFrame, ids: Sequence[str], values: Sequence[str],
 
 
 def spread_pairs(
-    df: DataFrame, ids: Sequence[str], pair: tuple[str, str], names: Sequence[str], value: str
+    df: DataFrame, ids: Sequence[str], pair: tuple[str, str], names: Sequence[str], value: str,
+    merge: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One column per listed ``first_second`` name made from two key columns; an unlisted pair is an error.
 
@@ -68,7 +81,7 @@ def spread_pairs(
     """
     taken = F.raise_error(F.lit(f"a key is spelled {MISSING}, like a missing one"))
     parts = [F.when(F.col(c) == MISSING, taken.cast("string")).otherwise(F.coalesce(F.col(c), F.lit(MISSING))) for c in pair]
-    return spread(df.withColumn("pair", F.concat_ws("_", *parts)), ids, "pair", names, value)
+    return spread(df.withColumn("pair", F.concat_ws("_", *parts)), ids, "pair", names, value, merge=merge)
 
 
 def transpose(df: DataFrame, measures: Sequence[str], names: Sequence[str]) -> DataFrame:

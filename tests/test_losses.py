@@ -1,6 +1,7 @@
 """Inputs that used to lose rows, mix up columns or change a result silently."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from canvass.domain import Domain, sorted_levels
 from canvass.operators import probit, reshape
@@ -33,6 +34,28 @@ def test_spread_pairs_and_transpose_refuse_unlisted_pairs(make):
         reshape.transpose(df.fillna("NA", ["level"]), ["m"], ["a_b", "a_c", "a_NA"]).collect()
 
 
+def test_two_rows_of_a_cell_are_an_error_or_merged(make):
+    rows = make([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", "x", None), ("b", "x", None)], "i string, k string, v int")
+    with pytest.raises(Exception, match="several rows"):
+        reshape.spread(rows.filter("i = 'a'"), ["i"], "k", ["x", "y"], "v").collect()
+    with pytest.raises(Exception, match="several rows"):
+        reshape.spread(rows.filter("i = 'b'"), ["i"], "k", ["x", "y"], "v").collect()
+    for merge, want in ((F.sum, 3), (F.min, 1), (F.count, 2)):
+        got = {r.i: (r.x, r.y) for r in reshape.spread(rows, ["i"], "k", ["x", "y"], "v", merge=merge).collect()}
+        assert got["a"] == (want, 1 if merge is F.count else 3) and got["b"][1] is None
+    assert reshape.spread(rows.filter("k = 'y'"), ["i"], "k", ["x", "y"], "v").first().asDict() == {"i": "a", "x": None, "y": 3}
+
+
+def test_pivots_of_duplicates_refuse(make):
+    with pytest.raises(Exception, match="several rows"):
+        reshape.transpose(make([("t", "l", 1.0), ("t", "l", 2.0)], "type string, level string, m double"), ["m"], ["t_l"]).collect()
+
+
+def test_spread_leaves_columns_of_its_own_names_alone(make):
+    rows = make([(1, "x", 5, 7, 9)], "slot int, k string, v int, cell int, `0` int")
+    assert reshape.spread(rows, ["slot", "cell", "0"], "k", ["x"], "v").first().asDict() == {"slot": 1, "cell": 7, "0": 9, "x": 5}
+
+
 def test_values_outside_the_domain_leave_the_fit(make):
     terms = probit.factor_terms("lang", Domain(("de", "en", "fr")))
     rows = probit.design_matrix(make([("de",), ("en",), ("it",), (None,)], "lang string"), terms).collect()

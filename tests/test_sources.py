@@ -89,6 +89,24 @@ def test_quoted_csv_sink(spark, make, folder):
     assert [tuple(r) for r in sinks.read_table(spark, f"{folder}/q", df).collect()] == TABLE
 
 
+ODD = [("NA", "NA", 1.0), (None, "", None), ("", "\x01NA", 0.0), ("\x01\x01NA", '"NA"', -1.5), ('a,"NA",b', "x,NA", 1e300), ("two\nlines", " NA ", 2.0), ('","', '"', None), ("NAN", "na", 3.0)]
+
+
+@pytest.mark.parametrize("write", [sinks.write_table, sinks.write_quoted_table])
+def test_missing_blank_and_text_na_stay_apart(spark, make, folder, write):
+    df = make(ODD, "t string, `odd, name` string, m double").repartition(3)
+    write(df, f"{folder}/t")
+    assert sorted(map(tuple, sinks.read_table(spark, f"{folder}/t", df).collect()), key=repr) == sorted(ODD, key=repr)
+
+
+@pytest.mark.parametrize("write", [sinks.write_table, sinks.write_quoted_table])
+def test_empty_table_keeps_its_header(spark, make, folder, write):
+    df = make([], "t string, n bigint")
+    write(df, f"{folder}/t")
+    assert text_of(f"{folder}/t").replace('"', "") == "t,n\n"
+    assert sinks.read_table(spark, f"{folder}/t", df).collect() == []
+
+
 def test_bundle(spark, make, folder):
     one, two = make([(1,), (2,)], "a int"), make([("x", 1.0)], "b string, c double")
     sinks.write_bundle({"one": one, "two": two}, folder + "/b")
