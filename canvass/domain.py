@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.flags import quoted
@@ -70,31 +68,37 @@ def pick(levels: Sequence[str], positions: Mapping[int, str]) -> dict[str, str]:
     return {levels[i - 1]: label for i, label in positions.items() if i <= len(levels)}
 
 
-def sorted_levels(df: DataFrame, first: Mapping[str, int]) -> dict[str, list[str]]:
+def sorted_levels(df: DataFrame, first: Mapping[str, int], collation: str | None = None) -> dict[str, list[str]]:
     """Per column, its first distinct values in sorted order, as many as asked for.
 
-    One pass serves all columns. Picking by position never needs more than the
-    largest position, so each task hands on its own smallest values only: even a
-    free-text column sends a handful a task into the shuffle.
+    The order is that of code points, or of one of Spark's collations (``UNICODE``,
+    ``de``, ...), with code points between texts that a collation calls equal.
+    Picking by position never needs more than the largest position, so each pass
+    takes the least value above the one before, of all columns at once: one
+    aggregate a level, of which each task hands on a row. Store ``df`` first where computing it is dear.
     """
-    wanted = dict(first)
-
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[str]] = {c: [] for c in wanted}
-        for batch in batches:
-            for c, n in wanted.items():
-                kept[c] = sorted({*kept[c], *pc.unique(batch.column(c)).drop_null().to_pylist()})[:n]
-        names = [c for c, values in kept.items() for _ in values]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sum(kept.values(), []), pa.string())], names=["name", "v"])
-
-    cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in first])
-    rows = cells.mapInArrow(smallest, "name string, v string").distinct()
-    order = F.row_number().over(Window.partitionBy("name").orderBy("v"))
-    rows = rows.withColumn("k", order).where(F.col("k") <= max(first.values())).collect()
-    levels = {c: [r.v for r in sorted(rows, key=lambda r: r.k) if r.name == c] for c in first}
-    return {c: values[: first[c]] for c, values in levels.items()}
-
-
-def sorted_position(df: DataFrame, column: str, positions: Mapping[int, str]) -> dict[str, str]:
+    found: dict[str, list[str]] = {c: [] for c in first}
+    todo = [c for c, n in first.items() if n > 0]
+    while todo:
+        row = df.agg(*[_least_above(F.col(f"`{c}`").cast("string"), found[c][-1:], collation).alias(f"v{i}") for i, c in enumerate(todo)]).first()
+        for c, v in zip(todo, row):
+            found[c] += [] if v is None else [v if collation is None else v["own"]]
+        todo = [c for c, v in zip(todo, row) if v is not None and len(found[c]) < first[c]]
+    return found
+
+
+def _least_above(c: Column, last: Sequence[str], collation: str | None) -> Column:
+    if collation is None:
+        return F.min(F.when(c > last[0], c) if last else c)
+    rank = F.collate(c, collation)
+    value = F.struct(rank.alias("rank"), c.alias("own"))
+    above = c.isNotNull()
+    if last:
+        before = F.collate(F.lit(last[0]), collation)
+        above = (rank > before) | ((rank == before) & (c > last[0]))
+    return F.min(F.when(above, value))
+
+
+def sorted_position(df: DataFrame, column: str, positions: Mapping[int, str], collation: str | None = None) -> dict[str, str]:
     """``pick`` on the levels found in the data."""
-    return pick(sorted_levels(df, {column: max(positions)})[column], positions)
+    return pick(sorted_levels(df, {column: max(positions)}, collation)[column], positions)

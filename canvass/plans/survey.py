@@ -23,7 +23,7 @@ from canvass.operators.profile import (
     Cut, Measure, in_order, joint_groups_bounded, profile, roll_up, set_id, sums, tagged)
 from canvass.operators.relate import complete_cases, lookup, natural_left_join, pairs, region_frequency
 from canvass.operators.reshape import MISSING, gather, spread_pairs, stack_by_name
-from canvass.session import local_table
+from canvass.session import local_table, materialized
 
 # ---------------------------------------------------------------------------
 # Category domains, bin edges, and which answer feeds which flag.
@@ -204,9 +204,10 @@ class Dictionary:
         return Dictionary({c: pick(levels[c], POSITIONS[c]) for c in POSITIONS}, regions)
 
     @staticmethod
-    def from_data(df: DataFrame, regions: Domain = REGIONS) -> "Dictionary":
-        """Look the levels up in a conformed table, in one pass."""
-        return Dictionary.from_levels(sorted_levels(df, {c: max(p) for c, p in POSITIONS.items()}), regions)
+    def from_data(df: DataFrame, regions: Domain = REGIONS, collation: str | None = None) -> "Dictionary":
+        """Look the levels up in a conformed table, sorted by code point or by a collation."""
+        with materialized(df.select(*POSITIONS), "levels") as cells:
+            return Dictionary.from_levels(sorted_levels(cells, {c: max(p) for c, p in POSITIONS.items()}, collation), regions)
 
 
 # ---------------------------------------------------------------------------

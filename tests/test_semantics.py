@@ -121,3 +121,25 @@ def test_stars_are_strict(make, values):
 
 def test_quoting():
     assert flags.quoted("it's") == "'it\\'s'"
+
+
+def test_collated_levels_mix_cases_and_accents(make):
+    words = ["Zebra", "apple", "Éclair", "eclair", "éclair", "Apple", "zebra", "Eclair", "", "10", "e"]
+    df = make([(w, w.lower()) for w in words * 3] + [(None, None)], "v string, w string")
+    got = sorted_levels(df, {"v": 20, "w": 4}, "UNICODE")
+    assert got["v"] == ["", "10", "apple", "Apple", "e", "eclair", "Eclair", "éclair", "Éclair", "zebra", "Zebra"]
+    assert got["w"] == ["", "10", "apple", "e"]
+    assert sorted_levels(df, {"v": 4})["v"] == ["", "10", "Apple", "Eclair"]
+    assert sorted_position(df, "v", {3: "first", 5: "third"}, "UNICODE") == {"apple": "first", "e": "third"}
+
+
+def test_levels_that_a_collation_calls_equal_all_count(make):
+    df = make([("b",), ("B",), ("a",), ("A",), ("A",)], "v string")
+    assert sorted_levels(df, {"v": 9}, "UTF8_LCASE") == {"v": ["A", "a", "B", "b"]}
+
+
+def test_levels_need_no_python_worker(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", None)
+    assert sorted_levels(spark.range(50).selectExpr("cast(id % 7 as string) as v"), {"v": 3}) == {"v": ["0", "1", "2"]}
