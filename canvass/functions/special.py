@@ -108,15 +108,39 @@ def chi2_upper_tail(x: Column, df: Column) -> Column:
     a multiple of sqrt(a) terms, so tables of any size are in reach, and no
     intermediate leaves the range of doubles: the factor h^a exp(-h) / gamma(a)
     is formed from its logarithm, around h = a without cancelling. Results below
-    the smallest double are 0.
+    the smallest double are 0; ``chi2_log_upper_tail`` tells those apart too.
     """
     a, h = df.cast("double") / 2.0, x.cast("double") / 2.0
+    factor = F.exp(_log_factor(a, h))
+    tail = F.when(h < a + 1.0, 1.0 - factor * _series(a, h)).otherwise(factor * _fraction(a, h))
+    tail = F.when(h <= 0.0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(tail, F.lit(1.0))))
+    return F.when(x.isNotNull() & (df >= 1), tail)
+
+
+def chi2_log_upper_tail(x: Column, df: Column) -> Column:
+    """Natural logarithm of the upper tail, however small the tail is."""
+    a, h = df.cast("double") / 2.0, x.cast("double") / 2.0
+    log = _log_factor(a, h)
+    below = F.log1p(-F.least(F.exp(log) * _series(a, h), F.lit(1.0)))
+    tail = F.when(h < a + 1.0, below).otherwise(log + F.ln(_fraction(a, h)))
+    tail = F.when(h <= 0.0, F.lit(0.0)).otherwise(F.least(tail, F.lit(0.0)))
+    return F.when(x.isNotNull() & (df >= 1), tail)
+
+
+def _log_factor(a: Column, h: Column) -> Column:
+    """ln of h^a exp(-h) / gamma(a)."""
     off = (h - a) / a
     near = -a * (off - F.log1p(off)) + 0.5 * F.ln(a) - math.log(_SQRT_2PI) - _stirling(a)
-    factor = F.exp(F.when(a >= 10.0, near).otherwise(a * F.ln(h) - h - _log_gamma(a)))
-    terms = F.sequence(F.lit(1), (60 + 30 * F.sqrt(a)).cast("int"))
-    series = F.aggregate(
-        terms,
+    return F.when(a >= 10.0, near).otherwise(a * F.ln(h) - h - _log_gamma(a))
+
+
+def _steps(a: Column) -> Column:
+    return F.sequence(F.lit(1), (60 + 30 * F.sqrt(a)).cast("int"))
+
+
+def _series(a: Column, h: Column) -> Column:
+    return F.aggregate(
+        _steps(a),
         F.struct((1.0 / a).alias("term"), (1.0 / a).alias("total")),
         lambda acc, k: F.struct(
             (acc["term"] * h / (a + k)).alias("term"),
@@ -124,6 +148,9 @@ def chi2_upper_tail(x: Column, df: Column) -> Column:
         ),
         lambda acc: acc["total"],
     )
+
+
+def _fraction(a: Column, h: Column) -> Column:
     tiny = 1e-300
     b = lambda k: h + 2.0 * k + 1.0 - a
     n = lambda k: -k * (k - a)
@@ -135,15 +162,12 @@ def chi2_upper_tail(x: Column, df: Column) -> Column:
         return F.struct((1.0 / d).alias("d"), c.alias("c"), (acc["f"] * c / d).alias("f"))
 
     first = 1.0 / b(F.lit(0))
-    fraction = F.aggregate(
-        terms,
+    return F.aggregate(
+        _steps(a),
         F.struct(first.alias("d"), F.lit(1.0 / tiny).alias("c"), first.alias("f")),
         step,
         lambda acc: acc["f"],
     )
-    tail = F.when(h < a + 1.0, 1.0 - factor * series).otherwise(factor * fraction)
-    tail = F.when(h <= 0.0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(tail, F.lit(1.0))))
-    return F.when(x.isNotNull() & (df >= 1), tail)
 
 
 def _t_cdf(t: float, nu: int) -> float:

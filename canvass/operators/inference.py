@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.flags import significance_mark
-from canvass.functions.special import chi2_upper_tail, t_quantile
-from canvass.operators.profile import Cut, joint_groups_bounded, roll_up, set_id, tagged
+from canvass.functions.special import chi2_log_upper_tail, chi2_upper_tail, t_quantile
+from canvass.operators.profile import Cut, enforced, joint_groups_bounded, roll_up, set_id, tagged
 
 
-def chi2_from_counts(counts: DataFrame, tests: Sequence[str], many_cells: bool = False) -> DataFrame:
+def chi2_from_counts(counts: DataFrame, tests: Sequence[str], many_cells: bool = False, with_log: bool = False) -> DataFrame:
     """Pearson tests from long counts ``(tests..., row, col, o)``, one row per table cell.
 
     Cells nobody falls into may be absent. Levels without observations do not
@@ -23,7 +24,8 @@ def chi2_from_counts(counts: DataFrame, tests: Sequence[str], many_cells: bool =
     them: a test's cells then share a partition and one shuffle serves all
     margins. With ``many_cells`` a table of any size is spread over partitions:
     its margins are grouped, combined inside the tasks, and joined back, so no
-    task holds a level or a test.
+    task holds a level or a test. ``with_log`` adds ``log_p``, the decimal
+    logarithm of the p-value, which still ranks tests whose p-value is 0 as a double.
     """
     found = counts.where(F.col("o") > 0)
     margins = {"total": [], "r": ["row"], "c": ["col"]}
@@ -60,16 +62,19 @@ def chi2_from_counts(counts: DataFrame, tests: Sequence[str], many_cells: bool =
         F.when(usable, F.when((nr == 2) & (nc == 2), yates).otherwise(plain)).alias("stat"),
         F.when(usable, ((nr - 1) * (nc - 1)).cast("int")).alias("df"),
     ).withColumn("pval", chi2_upper_tail(F.col("stat"), F.col("df")))
+    if with_log:
+        out = out.withColumn("log_p", chi2_log_upper_tail(F.col("stat"), F.col("df")) / math.log(10.0))
     return out.withColumn("sig", significance_mark(F.col("pval")))
 
 
 def flag_counts(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str]) -> DataFrame:
     """Long counts of every 0/1 response by every cut, from one pass over the rows.
 
-    Rows missing the cut or the response do not count.
+    Rows missing the cut or the response do not count. Values outside a domain that bounds the tables are one level.
     """
     keys = [c.column for c in cuts]
-    rolled = roll_up(df, [[k] for k in keys], keys, list(responses), joint_groups_bounded(cuts))
+    bounded = joint_groups_bounded(cuts)
+    rolled = roll_up(enforced(df, cuts) if bounded else df, [[k] for k in keys], keys, list(responses), bounded)
     ids = {set_id(keys, [k]): k for k in keys}
     cut = tagged(F.col("gid"), ids).alias("cut")
     row = tagged(F.col("gid"), {i: F.col(k).cast("string") for i, k in ids.items()}).alias("row")
@@ -84,15 +89,15 @@ def flag_counts(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str]) ->
     )
 
 
-def chi2_flags(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str]) -> DataFrame:
+def chi2_flags(df: DataFrame, cuts: Sequence[Cut], responses: Sequence[str], with_log: bool = False) -> DataFrame:
     """``(cut, resp, stat, df, pval, sig)`` for every cut against every 0/1 response.
 
     Cuts without a known domain may have any number of levels, and their tables are spread.
     """
-    return chi2_from_counts(flag_counts(df, cuts, responses), ["cut", "resp"], many_cells=not joint_groups_bounded(cuts))
+    return chi2_from_counts(flag_counts(df, cuts, responses), ["cut", "resp"], not joint_groups_bounded(cuts), with_log)
 
 
-def chi2_test(df: DataFrame, x: str, y: str) -> DataFrame:
+def chi2_test(df: DataFrame, x: str, y: str, with_log: bool = False) -> DataFrame:
     """One test between two category columns of any size."""
     counts = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -100,7 +105,7 @@ def chi2_test(df: DataFrame, x: str, y: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("o"))
         .withColumns({"cut": F.lit(x), "resp": F.lit(y)})
     )
-    return chi2_from_counts(counts, ["cut", "resp"], many_cells=True)
+    return chi2_from_counts(counts, ["cut", "resp"], True, with_log)
 
 
 def mean_interval(df: DataFrame, column: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.domain import Domain
+from canvass.functions.names import unused
 
 # Grouping first by all cuts together reads every row once and leaves at most
 # this many groups per task; above it the rows are expanded per cut instead.
@@ -51,10 +52,27 @@ def sums(*columns: str) -> list[Measure]:
 
 
 def joint_groups_bounded(cuts: Sequence[Cut]) -> bool:
-    """Whether the known domains prove the joint grouping small (one more group each for NULL)."""
+    """Whether the domains, once ``enforced``, bound the joint grouping (one more group each for NULL and ``other``)."""
     if any(c.domain is None for c in cuts):
         return False
-    return reduce(mul, [len(c.domain.levels) + 1 for c in cuts], 1) <= JOINT_GROUP_LIMIT
+    return reduce(mul, [len(c.domain.levels) + 2 for c in cuts], 1) <= JOINT_GROUP_LIMIT
+
+
+def outside(domain: Domain) -> str:
+    """The level that counts the values outside a domain."""
+    return unused(domain.levels, "other")
+
+
+def enforced(df: DataFrame, cuts: Sequence[Cut]) -> DataFrame:
+    """Values outside a cut's domain become one level, which makes the domain's bound on groups a fact.
+
+    Nothing is left out: that level counts them all. Missing values stay missing.
+    """
+    def folded(c: Cut) -> Column:
+        value = F.col(f"`{c.column}`").cast("string")
+        return F.when(value.isNull() | value.isin(*c.domain.levels), value).otherwise(outside(c.domain))
+
+    return df.withColumns({c.column: folded(c) for c in cuts if c.domain is not None})
 
 
 def partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -120,13 +138,15 @@ def profile(
 ) -> DataFrame:
     """Rows ``(type, level, N, measures...)``: one overall, then one per level of each cut.
 
-    A missing level is a group of its own; a table without rows gives no rows. ``with_order`` adds ``block_ord`` and
+    A missing level is a group of its own; a table without rows gives no rows. Where the cuts' domains are to bound the
+    groups, values outside a domain share the level ``other``, after the others. ``with_order`` adds ``block_ord`` and
     ``level_ord`` so that a sink can write blocks in order and levels in domain
     order with the missing level last.
     """
     keys = [c.column for c in cuts]
     columns = list(dict.fromkeys(m.column for m in measures))
-    rolled = roll_up(df, [[], *[[k] for k in keys]], keys, columns, joint_groups_bounded(cuts))
+    bounded = joint_groups_bounded(cuts)
+    rolled = roll_up(enforced(df, cuts) if bounded else df, [[], *[[k] for k in keys]], keys, columns, bounded)
     gid = F.col("gid")
     ids = [set_id(keys, [])] + [set_id(keys, [k]) for k in keys]
     block = dict(zip(ids, [overall, *[c.label for c in cuts]]))
@@ -144,7 +164,7 @@ def profile(
     if with_order:
         order = {i: F.lit(n) for n, i in enumerate(ids)}
         place = {ids[0]: F.lit(1)} | {
-            i: c.domain.ordinal(F.col(c.column)) if c.domain else F.lit(None).cast("int")
+            i: Domain((*c.domain.levels, outside(c.domain))).ordinal(F.col(c.column)) if c.domain else F.lit(None).cast("int")
             for i, c in zip(ids[1:], cuts)
         }
         out += [tagged(gid, order).alias("block_ord"), tagged(gid, place).alias("level_ord")]

@@ -150,3 +150,28 @@ def test_flagship_on_small_tables(spark):
     got = QUERIES["profile_segments"](spark, SMALL)
     assert got.columns == ["type", "level", "N", "balance_cents", "spend_cents", "in_credit", "wealthy", "orders"]
     assert got.count() > 10
+
+
+def test_a_false_domain_bounds_the_groups_and_loses_nothing(spark):
+    """Five thousand values that a domain does not list meet in one level."""
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'a', cast(id % 10000 as string)) as k", "if(id % 5 = 0, null, 'x') as g", "cast(id % 4 as int) as f")
+    cuts = [P.Cut("k", "K", Domain(("a", "b"))), P.Cut("g", "G", Domain(("x",)))]
+    got = {(r.type, r.level): (r.N, r.f, r.level_ord) for r in P.profile(df, cuts, P.means("f"), with_order=True).collect()}
+    assert got["K", "a"] == (10_000, 1.0, 1) and got["K", "other"] == (10_000, 2.0, 3)
+    assert {k for k in got if k[0] == "K"} == {("K", "a"), ("K", "other")} and got["G", None][0] == 4000
+    joint = P.partials(P.enforced(df, cuts), ["k", "g"], ["f"])
+    assert joint.count() == 4
+
+
+def test_the_level_for_the_rest_has_a_name_of_its_own(make):
+    df = make([("other", 1), ("other", 1), ("strange", 0), (None, 1)], "k string, f int")
+    got = {r.level: r.N for r in P.profile(df, [P.Cut("k", "K", Domain(("other",)))], P.means("f")).collect() if r.type == "K"}
+    assert got == {"other": 2, "other_": 1, None: 1}
+
+
+def test_tests_under_a_false_domain(make):
+    from canvass.operators.inference import chi2_flags
+
+    rows = [(f"s{k}" if k % 3 else "a", int(k % 3 == 0 or k % 7 == 0)) for k in range(900)]
+    got = chi2_flags(make(rows, "k string, y int"), [P.Cut("k", "K", Domain(("a",)))], ["y"], with_log=True).first()
+    assert got.df == 1 and got.pval < 1e-100 and math.log10(got.pval) == pytest.approx(got.log_p)

@@ -76,3 +76,28 @@ def test_chi2_tail_of_odd_degrees(make):
         h = x / 2
         want = math.erfc(math.sqrt(h)) + sum(math.exp((k - 0.5) * math.log(h) - h - math.lgamma(k + 0.5)) for k in range(1, (df + 1) // 2))
         assert p == pytest.approx(want, rel=1e-9, abs=1e-300), (x, df)
+
+
+def _log_tail(x, df):
+    """Even degrees only: the Poisson sum, in logarithms."""
+    h, m = x / 2, df // 2
+    logs = [k * math.log(h) - h - math.lgamma(k + 1) for k in range(m)]
+    top = max(logs)
+    return top + math.log(math.fsum(math.exp(v - top) for v in logs))
+
+
+def test_logarithm_of_the_tail(make):
+    pairs = [(1.0, 2), (3.0, 2), (0.1, 4), (40.0, 4), (2000.0, 4), (9000.0, 20), (6.6e6, 9800), (1e5, 90_000), (9e4, 100_000), (1e8, 2)]
+    df = make([(float(x), d) for x, d in pairs], "x double, d int")
+    got = {(r.x, r.d): r.v for r in df.select("x", "d", special.chi2_log_upper_tail(F.col("x"), F.col("d")).alias("v")).collect()}
+    for x, d in pairs:
+        assert got[x, d] == pytest.approx(_log_tail(x, d), rel=1e-10, abs=1e-10), (x, d)
+    odd = make([(6.6e6, 9801), (0.0, 3), (None, 3), (5.0, 0)], "x double, d int").select(special.chi2_log_upper_tail(F.col("x"), F.col("d")).alias("v")).collect()
+    assert _log_tail(6.6e6, 9800) < odd[0].v < _log_tail(6.6e6, 9802)
+    assert [r.v for r in odd[1:]] == [0.0, None, None]
+
+
+def test_logarithm_agrees_with_the_tail(make):
+    df = make([(x / 3, d) for x in range(1, 200, 7) for d in (1, 2, 3, 7, 30)], "x double, d int")
+    for r in df.select(special.chi2_log_upper_tail(F.col("x"), F.col("d")).alias("v"), special.chi2_upper_tail(F.col("x"), F.col("d")).alias("p")).collect():
+        assert math.exp(r.v) == pytest.approx(r.p, rel=1e-11)
