@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.functions import exact
 from canvass.functions.flags import significance_mark
 from canvass.functions.special import chi2_log_upper_tail, chi2_upper_tail, t_quantile
 from canvass.operators.profile import Cut, enforced, joint_groups_bounded, roll_up, set_id, tagged
@@ -109,16 +110,24 @@ def chi2_test(df: DataFrame, x: str, y: str, with_log: bool = False) -> DataFram
 
 
 def mean_interval(df: DataFrame, column: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
-    """``n, mu, sigma, se, ciMult, ci, upper, lower`` of the non-missing values."""
-    stats = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg(column).alias("mu"),
-            F.stddev_samp(column).alias("sigma"),
-        )
-    )
+    """``n, mu, sigma, se, ciMult, ci, upper, lower`` of the non-missing values.
+
+    Sums and sums of squares are exact before their last rounding, so neither the dealing out of rows nor values far
+    from zero show in the deviation.
+    """
+    keys = [f"by{k}" for k in range(len(by))]
+    rows = df.where(F.col(column).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(column).cast("double").alias("x"))
+    square, error = exact.squares("x")
+    rows = rows.select(*keys, "x", F.expr(f"{square} as xx"), F.expr(f"{error} as error"))
+    rows = rows.select(*keys, "x", "xx", "error", F.expr(f"{exact.inside('x')} as held"), F.expr(f"{exact.inside('xx', exact.SQUARE_UNITS)} as held2"))
+    parts = {"s": exact.sum_parts("x", "held"), "q": exact.square_parts("xx", "held2", "error")}
+    sums = rows.groupBy(*keys).agg(F.expr("count(1) as n"), *[F.expr(f"sum({p}) as {k}_{i}") for k, own in parts.items() for i, p in enumerate(own)])
+    of = lambda k: [F.col(f"{k}_{i}") for i in range(len(parts[k]))]
+    n = F.col("n")
+    stats = sums.select(*keys, "n", exact.total(of("s")).alias("s"), exact.pair(of("s")).alias("s2"), exact.pair(of("q"), exact.SQUARE_UNITS).alias("q2"))
+    stats = stats.select(
+        *[F.col(k).alias(b) for b, k in zip(by, keys)], "n",
+        F.try_divide(F.col("s"), n).alias("mu"), F.sqrt(exact.variance(n, F.col("s2"), F.col("q2"))).alias("sigma"))
     stats = stats.withColumns(
         {
             "se": F.try_divide(F.col("sigma"), F.sqrt("n")),

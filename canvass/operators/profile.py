@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.domain import Domain
+from canvass.functions import exact
 from canvass.functions.names import unused
 
 # Grouping first by all cuts together reads every row once and leaves at most
@@ -76,14 +77,15 @@ def enforced(df: DataFrame, cuts: Sequence[Cut]) -> DataFrame:
 
 
 def partials(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Row count plus, per column, the sum and the count of non-missing values.
+    """Row count plus, per column, the sums of its parts and the count of non-missing values.
 
-    These three add up, so any coarser grouping can be built from the result
+    These add up, so any coarser grouping can be built from the result
     without going back to the rows.
     """
-    return df.groupBy(*keys).agg(
+    wide, parts = exact.with_held(df, columns)
+    return wide.groupBy(*keys).agg(
         F.expr("count(1) as rows"),
-        *[F.expr(f"sum(`{c}`) as `sum__{c}`") for c in columns],
+        *[F.expr(f"sum({p}) as `sum__{c}__{i}`") for c, own in parts.items() for i, p in enumerate(own)],
         *[F.expr(f"count(`{c}`) as `cnt__{c}`") for c in columns],
     )
 
@@ -97,20 +99,28 @@ def roll_up(
     With ``pre_aggregate`` the raw rows meet a single hash aggregation on all
     keys and only its few groups are expanded per set. Without it the rows are
     expanded per set before partial aggregation, which is right when the joint
-    grouping has no useful bound.
+    grouping has no useful bound. Sums of doubles come out the same however the
+    rows are dealt out.
     """
+    wide, parts = exact.with_held(df.select(*dict.fromkeys([*keys, *columns])), columns)
     if pre_aggregate:
         source = partials(df, keys, columns)
-        rows, total, count = "sum(rows)", "sum(`sum__{0}`)", "sum(`cnt__{0}`)"
+        rows, count = "sum(rows)", "sum(`cnt__{0}`)"
+        parts = {c: [f"`sum__{c}__{i}`" for i in range(len(p))] for c, p in parts.items()}
     else:
-        source = df.select(*keys, *columns)
-        rows, total, count = "count(1)", "sum(`{0}`)", "count(`{0}`)"
-    return source.groupingSets([list(s) for s in sets], *keys).agg(
+        source = wide
+        rows, count = "count(1)", "count(`{0}`)"
+    rolled = source.groupingSets([list(s) for s in sets], *keys).agg(
         F.grouping_id().alias("gid"),
         F.expr(f"coalesce({rows}, 0) as rows"),
-        *[F.expr(f"{total.format(c)} as `sum__{c}`") for c in columns],
+        *[F.expr(f"sum({p}) as `sum__{c}__{i}`") for c, own in parts.items() for i, p in enumerate(own)],
         *[F.expr(f"coalesce({count.format(c)}, 0) as `cnt__{c}`") for c in columns],
     )
+    totals = {c: [F.col(f"`sum__{c}__{i}`") for i in range(len(own))] for c, own in parts.items()}
+    return rolled.select(
+        *keys, "gid", "rows",
+        *[(exact.total(own) if len(own) > 1 else own[0]).alias(f"sum__{c}") for c, own in totals.items()],
+        *[f"`cnt__{c}`" for c in columns])
 
 
 def set_id(keys: Sequence[str], used: Sequence[str]) -> int:
@@ -180,13 +190,13 @@ def in_order(df: DataFrame) -> DataFrame:
 
 def global_summary(df: DataFrame, measures: Sequence[Measure], count_as: str = "N") -> DataFrame:
     """The overall row alone."""
-    return df.agg(
-        F.count(F.lit(1)).alias(count_as),
-        *[
-            (F.avg(m.column) if m.kind == "mean" else F.coalesce(F.sum(m.column), F.lit(0))).alias(m.name)
-            for m in measures
-        ],
-    )
+    sums = exact.exact_sums(df, [], list(dict.fromkeys(m.column for m in measures)))
+
+    def value(m: Measure) -> Column:
+        whole = F.col(f"`sum__{m.column}`")
+        return F.try_divide(whole.cast("double"), F.col(f"`cnt__{m.column}`")) if m.kind == "mean" else F.coalesce(whole, F.lit(0))
+
+    return sums.select(F.col("rows").alias(count_as), *[value(m).alias(m.name) for m in measures])
 
 
 def conditional_count(df: DataFrame, column: str, value: str, name: str = "n") -> DataFrame:
