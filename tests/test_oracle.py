@@ -7,13 +7,11 @@ size and only a few of them here; ``check.py`` runs them all.
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
-from canvass.plans.catalog import QUERIES
-from canvass.plans.oracle import ORACLE
+from __spark_entry__ import ORACLE, QUERIES, entry, oracle_sql, queries
 from tests.conftest import MEDIUM, SMALL
 
 FITTED = {n for n in QUERIES if n.startswith(("probit", "tblA", "model", "report")) and n not in ("tblA1", "tblA2")}
-SLOW = FITTED - {"probit_coefficients", "probit_lines", "probit_far_from_zero", "probit_undeclared_level", "tblA4"}
+SLOW = FITTED - {"probit_coefficients", "probit_lines", "probit_far_from_zero", "probit_undeclared_level", "tblA4", "probit_near_dependence", "probit_separation"}
 
 
 @pytest.fixture(scope="module")
