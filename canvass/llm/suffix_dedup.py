@@ -12,7 +12,10 @@ Segments that occur once are done. Of equal segments all but the first are
 removed whole: those that meet in one batch settle it before the shuffle, so a
 passage that a third of all documents share sends one row a batch, and the
 others stream through the anchor's task in sorted order. Only different segments
-around a common anchor go on with their bytes.
+around a common anchor go on with their bytes. A window that two of them share
+holds one of a few strings of ``NEAR`` bytes at fixed distances from the anchor;
+segments none of whose strings has an equal among them share nothing and stay
+out of the merge.
 
 **Merging.** A task takes them in pieces of whole anchor groups, cuts a piece into shards, and
 builds each shard's transform. The transforms are merged by interleave
@@ -40,10 +43,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.batches import prefix_sums, range_hash
+from canvass.llm.batches import joined, mixed, prefix_sums, range_hash
 from canvass.llm.common import stored, text_of
 
 LENGTH, ANCHOR = 100, 32
@@ -53,18 +56,20 @@ MOST_SEGMENTS = 20_000
 SHARDS = 2
 END = 0xFF  #: a byte that UTF-8 never uses
 PIECE = 1_000_000  #: bytes that a merge takes at once, unless one anchor's segments are more
+STRIDE = 9  #: between the strings by which segments are told to share a window
+NEAR = LENGTH - STRIDE + 1
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, start, number of windows and content hash of each segment of one text.
+def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, start, number of windows, content hash and the anchor's distance from the start, of each segment of one text.
 
     The leftmost of equal anchors counts, so no segment holds a window twice.
     """
     windows = len(data) - LENGTH + 1
     if windows < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 5
     sums, span = prefix_sums(data), LENGTH - ANCHOR + 1
-    anchors, starts = [], []
+    anchors, starts, places = [], [], []
     for low in range(0, windows, TILE):
         at = np.arange(low, min(low + TILE, windows) + span - 1)
         key = range_hash(sums, at, at + ANCHOR) & ~np.uint64((1 << PLACE_BITS) - 1)
@@ -78,9 +83,10 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         anchors.append(key[start] >> np.uint64(PLACE_BITS))
         starts.append(start + low)
+        places.append((key[start] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + low)
     start = np.concatenate(starts)
     n = np.diff(np.append(start, windows))
-    return np.concatenate(anchors).astype(np.int64), start, n, range_hash(sums, start, start + n + LENGTH - 1).view(np.int64)
+    return np.concatenate(anchors).astype(np.int64), start, n, range_hash(sums, start, start + n + LENGTH - 1).view(np.int64), np.concatenate(places) - start
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int = 2, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -96,7 +102,8 @@ def _longs(values) -> pa.Array:
 
 
 FOUND = "anchor long, content long, id long, tag long, place long"
-WIDTH_BITS = 8  #: of a segment's number of windows, kept below its start in ``place``
+#: Of a segment's anchor's distance, and of its number of windows, both kept below its start in ``place``.
+SMALL_BITS = 7
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +112,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for part, texts in _texts(iter([batch])):
             for i, tag, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                anchor, start, n, content = segments(text)
-                out.append((anchor, content, np.full(len(n), i, np.int64), np.full(len(n), tag, np.int64), start << WIDTH_BITS | n))
+                anchor, start, n, content, ahead = segments(text)
+                out.append((anchor, content, np.full(len(n), i, np.int64), np.full(len(n), tag, np.int64), (start << SMALL_BITS | ahead) << SMALL_BITS | n))
         if not out:
             continue
         anchor, content, i, tag, place = (np.concatenate(c) for c in zip(*out))
@@ -165,13 +172,13 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of segments (lists of anchor, start, n) of each text."""
+    """Bytes of segments (lists of anchor, start, ahead, n) of each text."""
     for part, texts in _texts(batches):
         rows = []
         for i, tag, own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), texts):
-            rows += [(s["anchor"], i, tag, s["start"], text[s["start"] : s["start"] + s["n"] + LENGTH - 1].tobytes()) for s in own]
-        columns = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["anchor", "id", "tag", "start", "data"])
+            rows += [(s["anchor"], i, tag, s["start"], s["ahead"], text[s["start"] : s["start"] + s["n"] + LENGTH - 1].tobytes()) for s in own]
+        columns = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=["anchor", "id", "tag", "start", "ahead", "data"])
 
 
 class Shard:
@@ -256,18 +263,46 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + LENGTH
 
 
+def sharing(anchor: np.ndarray, ahead: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which strings may share a window with another one of their anchor; the others certainly do not.
+
+    A common window reaches l bytes to the left of the anchor in both. With g
+    the multiple of ``STRIDE`` just below l, the ``NEAR`` bytes from g to the
+    left of the anchor lie inside that window, and are equal.
+    """
+    data, first = joined(strings, b"")
+    sums = prefix_sums(data)
+    owner, keys = [], []
+    for g in range(0, LENGTH - ANCHOR + 1, STRIDE):
+        low = first[:-1] + ahead - g
+        fits = np.flatnonzero((low >= first[:-1]) & (low + NEAR <= first[1:]))
+        owner.append(fits)
+        keys.append(mixed(range_hash(sums, low[fits], low[fits] + NEAR) ^ mixed(anchor[fits].view(np.uint64) + np.uint64(g))))
+    owner, keys = np.concatenate(owner), np.concatenate(keys)
+    order = np.argsort(keys)
+    equal = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(strings), bool)
+    out[owner[order[1:][equal]]] = True
+    out[owner[order[:-1][equal]]] = True
+    return out
+
+
 RANGE = "id long, tag long, a long, b long"
 
 
 def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among segments (anchor, id, tag, start, data), sorted by anchor, every anchor whole in the partition."""
+    """Repeats among segments (anchor, id, tag, start, ahead, data), sorted by anchor, every anchor whole in the partition."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         rows = list({r[1:4]: r for r in rows}.values())  # one document may be listed twice
+        near = sharing(*(np.array([r[k] for r in rows], np.int64) for k in (0, 4)), [r[5] for r in rows])
+        rows = [r for r, some in zip(rows, near) if some]
+        if not rows:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["id", "tag", "a", "b"])
         docs = {d: k for k, d in enumerate(sorted({(r[1], r[2]) for r in rows}))}
         rank = np.array([docs[r[1], r[2]] for r in rows], np.int64)
         out = []
-        for r, found in zip(rows, repeats([r[4] for r in rows], rank, np.array([r[3] for r in rows], np.int64))):
+        for r, found in zip(rows, repeats([r[5] for r in rows], rank, np.array([r[3] for r in rows], np.int64))):
             if len(found):
                 out += [(r[1], r[2], a + r[3], b + r[3]) for a, b in zip(*(x.tolist() for x in runs(found)))]
         columns = list(zip(*out)) or [()] * 4
@@ -280,17 +315,17 @@ def _merge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield solve(rows)
                 rows, size = [], 0
             rows.append(r)
-            size += len(r[4])
+            size += len(r[5])
             last = r[0]
     if rows:
         yield solve(rows)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of segments (anchor, id, tag, start, data) with two hashes."""
+    """Every window of segments (anchor, id, tag, start, ahead, data) with two hashes."""
     for batch in batches:
         out = []
-        for _, i, tag, start, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for _, i, tag, start, _, data in zip(*(c.to_pylist() for c in batch.columns)):
             b = np.frombuffer(data, np.uint8)
             at = np.arange(len(b) - LENGTH + 1)
             one, two = (range_hash(prefix_sums(x), at, at + LENGTH).view(np.int64) for x in (b, b ^ np.uint8(0x55)))
@@ -320,8 +355,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ends(place: str = "place") -> list:
-    start = F.shiftright(place, WIDTH_BITS)
-    return [start.alias("a"), (start + F.col(place).bitwiseAND(F.lit((1 << WIDTH_BITS) - 1)) + (LENGTH - 1)).alias("b")]
+    start = F.shiftright(place, 2 * SMALL_BITS)
+    return [start.alias("a"), (start + _small(F.col(place)) + (LENGTH - 1)).alias("b")]
+
+
+def _small(c: Column) -> Column:
+    return c.bitwiseAND(F.lit((1 << SMALL_BITS) - 1))
 
 
 def removed_ranges(source: DataFrame) -> DataFrame:
@@ -332,9 +371,9 @@ def removed_ranges(source: DataFrame) -> DataFrame:
     whole = decided.filter("anchor is null").select("id", "tag", *_ends())
     edge = decided.filter("anchor is not null")
     contexts = edge.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    start, n = F.shiftright("place", WIDTH_BITS), F.col("place").bitwiseAND(F.lit((1 << WIDTH_BITS) - 1))
-    per_doc = edge.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", start.alias("start"), n.alias("n"))).alias("own"))
-    cut = source.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "own").mapInArrow(_cut, "anchor long, id long, tag long, start long, data binary")
+    start, ahead, n = F.shiftright("place", 2 * SMALL_BITS), _small(F.shiftright("place", SMALL_BITS)), _small(F.col("place"))
+    per_doc = edge.groupBy("id", "tag").agg(F.collect_list(F.struct("anchor", start.alias("start"), ahead.alias("ahead"), n.alias("n"))).alias("own"))
+    cut = source.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "own").mapInArrow(_cut, "anchor long, id long, tag long, start long, ahead long, data binary")
     cut = stored(cut, "edges")
     crowded = stored(contexts.filter(F.col("n") > MOST_SEGMENTS).select("anchor"), "crowded")
     if crowded.isEmpty():
