@@ -56,6 +56,7 @@ MOST_SEGMENTS = 20_000
 SHARDS = 2
 END = 0xFF  #: a byte that UTF-8 never uses
 PIECE = 1_000_000  #: bytes that a merge takes at once, unless one anchor's segments are more
+TOGETHER = 2500  #: texts whose segments a task holds at once
 STRIDE = 9  #: between the strings by which segments are told to share a window
 NEAR = LENGTH - STRIDE + 1
 
@@ -107,8 +108,8 @@ SMALL_BITS = 7
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of the texts. Of equal ones in a batch only the first goes on to be compared; the others, without anchor, are settled."""
-    for batch in batches:
+    """All segments of the texts. Of equal ones in some thousand texts only the first goes on to be compared; the others, without anchor, are settled."""
+    for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
         out = []
         for part, texts in _texts(iter([batch])):
             for i, tag, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
