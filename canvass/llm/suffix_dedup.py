@@ -20,7 +20,7 @@ out of the merge.
 **Merging.** A task takes them in pieces of whole anchor groups, cuts a piece into shards, and
 builds each shard's transform. The transforms are merged by interleave
 refinement: which shard each place of the merged order comes from is refined by
-two symbols a round, reading the shards' transforms in order, until the
+up to five symbols a round, reading the shards' transforms in order, until the
 interleave is right for ``LENGTH`` symbols. Suffixes are never sorted across
 shards. The round in which neighbours part gives their common prefix; places
 never parted share ``LENGTH`` bytes, and such an interval's first occurrence
@@ -55,7 +55,7 @@ PLACE_BITS = 14  #: of an anchor's place in its tile, kept below its hash so tha
 MOST_SEGMENTS = 20_000
 SHARDS = 2
 END = 0xFF  #: a byte that UTF-8 never uses
-PIECE = 1_000_000  #: bytes that a merge takes at once, unless one anchor's segments are more
+PIECE = 500_000  #: bytes that a merge takes at once, unless one anchor's segments are more
 TOGETHER = 2500  #: texts whose segments a task holds at once
 STRIDE = 9  #: between the strings by which segments are told to share a window
 NEAR = LENGTH - STRIDE + 1
@@ -182,8 +182,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=["anchor", "id", "tag", "start", "ahead", "data"])
 
 
+#: Symbols that a round of the merge puts in front, the most first; each divides ``LENGTH``.
+AT_ONCE = (5, 4, 2)
+
+
 class Shard:
-    """Rotations of some strings, each closed by ``END``, in order, and the two symbols before each: the shard's transform."""
+    """Rotations of some strings, each closed by ``END``, in order by ``LENGTH`` symbols at least, and the symbols before each: the shard's transform."""
 
     def __init__(self, data: np.ndarray, first: np.ndarray, size: np.ndarray):
         string = np.repeat(np.arange(len(size)), size)
@@ -193,32 +197,42 @@ class Shard:
         rank = np.zeros(len(data), np.uint64)
         for k in range(8):
             rank = (rank << np.uint64(8)) | data[ahead(k)]
-        width, distinct = 8, 0
+        width = 8
         while True:
             values, rank = np.unique(rank, return_inverse=True)
-            if len(values) == len(data) or width >= 2 * size.max(initial=1) or len(values) == distinct and width > size.max(initial=1):
+            # rotations that agree in more than LENGTH symbols are as good in one order as in another
+            if len(values) == len(data) or width >= LENGTH:
                 break
-            distinct = len(values)
             rank = rank.astype(np.uint64) * np.uint64(len(values)) + rank[ahead(width)].astype(np.uint64)
             width *= 2
         self.order = np.argsort(rank, kind="stable")
-        back = ahead(size_of - 2)
-        self.pair = (data[back].astype(np.uint16) << np.uint16(8) | data[ahead(size_of - 1)])[self.order]
+        before = np.zeros(len(data), np.uint64)
+        for k in range(AT_ONCE[0], 0, -1):
+            before = (before << np.uint64(8)) | data[ahead(-k)]
+        self.before = before[self.order]
 
 
 def merged(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' rotations that is right for ``LENGTH`` symbols, and the number of each place's interval of equal ones.
 
-    A round puts two symbols in front of every rotation: a stable deal by those
+    A round puts some symbols in front of every rotation: a stable deal by those
     symbols, which every shard hands out in its transform's order, turns an
-    interleave right for k symbols into one right for k + 2.
+    interleave right for k symbols into one right for that many more. As many
+    go at once as have few enough combinations for a deal by 16 bits.
     """
     of = np.concatenate([np.full(len(s.order), k, np.uint8) for k, s in enumerate(shards)])
     interval = np.zeros(len(of), np.int32)
+    whole = np.concatenate([s.before for s in shards])
+    for once in AT_ONCE:
+        values, symbols = np.unique(whole & np.uint64((1 << 8 * once) - 1), return_inverse=True)
+        if len(values) <= 1 << 16:
+            break
+    symbols = symbols.astype(np.uint16)
+    bounds = np.cumsum([0, *(len(s.order) for s in shards)])
     symbol = np.empty(len(of), np.uint16)
-    for _ in range(LENGTH // 2):
-        for k, s in enumerate(shards):
-            symbol[of == k] = s.pair
+    for _ in range(LENGTH // once):
+        for k in range(len(shards)):
+            symbol[of == k] = symbols[bounds[k] : bounds[k + 1]]
         deal = np.argsort(symbol, kind="stable")
         of, last, drawn = of[deal], interval[deal], symbol[deal]
         parted = (last[1:] != last[:-1]) | (drawn[1:] != drawn[:-1])
