@@ -1,25 +1,30 @@
-"""Exact deduplication by grouping, with an extendible-hash index of the groups.
+"""Exact deduplication with an extendible-hash index on shared files.
 
 Texts are equal when identical after every run of ASCII white space became
 one space. The index maps the first bits of a text's hash through a directory
 to a bucket. A bucket that would hold more than ``capacity`` distinct hashes is
 split on the next bit, and the directory doubles when a bucket needs more bits
-than it has. Inside a bucket, texts that share a hash form a chain: entries are
-told apart by their bytes, so a collision of hashes merges nothing.
+than it has, however often that takes. Every bucket is a folder of the index,
+written by the task that owns its key range. Inside a bucket, texts that share a
+hash form a chain: entries are told apart by their bytes, so a collision of
+hashes merges nothing.
 
-The directory decides no result. A grouping by hash and text finds the copies,
-a join on hash and text_sha256 gives them to the rows, and bucket and chain
-only say where an entry belongs. The index is one stored table whose rows are
-dealt out by a hash of the bucket; buckets have no folders or files of their own.
+Rows find their group by looking it up: the directory tells a row's bucket, and
+the bucket's entries under the row's hash are followed to the one with its text;
+without the index no row finds anything. Texts are compared byte by byte where
+entries are made; entries and rows then carry the SHA-256 of the text instead.
 
 A group of copies costs one entry however large it is: copies are merged
 inside the tasks that read them before anything is shuffled, and the lookup is
-a plain join whose skewed partitions adaptive execution splits.
+a join whose skewed partitions adaptive execution splits. A directory of up to
+``FEW_SLOTS`` slots travels with the tasks, a larger one is a table to join.
 
 Nulls: a null text is empty; a null id is never the smallest one and such a row
 is kept only if its whole group has null ids. Rows that repeat an id, or have
 none, stay or go together where their texts are equal; each of their other
-texts is judged for itself. Empty table: empty result.
+texts is judged for itself. Very long texts are shuffled once, as they are.
+Empty table: empty result. Columns other than id and text, whatever their
+names, pass unseen and leave ``keep_first`` as they came.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canvass.llm.common import literal_longs, stored, text_of
+from canvass.llm.common import literal_longs, stored, text_of, without
+from canvass.session import local_table
 
-#: A directory has at most about four times this many slots; beyond, buckets grow with the input instead.
-DIRECTORY_BUCKETS = 4096
+#: Slots of a directory that travel with the tasks.
+FEW_SLOTS = 65_536
 SPARE_BITS = 3
 
 
@@ -66,15 +72,16 @@ def split_buckets(counts: dict[int, int], bits: int, capacity: int) -> tuple[lis
 
 
 def directory(hashes: DataFrame, capacity: int) -> tuple[int, list[int]]:
-    """Global depth and the bucket number of each slot, for a table of distinct hashes ``h``."""
+    """Global depth and the bucket number of each slot, for a table of distinct hashes ``h``.
+
+    The driver sees counts by the first bits: some ten for each bucket, which is one folder of the index.
+    """
     total = hashes.count()
-    capacity = max(capacity, math.ceil(total / DIRECTORY_BUCKETS))
     bits = max(0, math.ceil(math.log2(max(1, total / capacity)))) + SPARE_BITS
     while True:
-        # at most 2**bits rows: bounded by DIRECTORY_BUCKETS, not by the documents
         rows = hashes.groupBy(_prefix(F.col("h"), bits).alias("p")).count().collect()
         buckets, overfull = split_buckets({r["p"]: r["count"] for r in rows}, bits, capacity)
-        if not overfull or bits >= SPARE_BITS + 1 + math.log2(4 * DIRECTORY_BUCKETS):
+        if not overfull or bits >= 64:
             break
         bits += 1
     depth = max(d for _, d in buckets)
@@ -85,23 +92,28 @@ def directory(hashes: DataFrame, capacity: int) -> tuple[int, list[int]]:
     return depth, slots
 
 
-def build_index(texts: DataFrame, keys: DataFrame, capacity: int) -> DataFrame:
-    """Index entries (bucket, h, chain, sha, keep_id, group_size), dealt out by bucket.
+def with_bucket(rows: DataFrame, depth: int, slots: list[int]) -> DataFrame:
+    """``rows`` with the bucket that the directory names for their hash ``h``."""
+    slot = _prefix(F.col("h"), depth)
+    if len(slots) <= FEW_SLOTS:
+        return rows.withColumn("bucket", F.get(literal_longs(slots), slot.cast("int")))
+    table = local_table(rows.sparkSession, list(enumerate(slots)), "slot bigint, bucket bigint")
+    return rows.withColumn("slot", slot).join(table, "slot").drop("slot")
+
+
+def build_index(texts: DataFrame, depth: int, slots: list[int]) -> DataFrame:
+    """Index entries (bucket, h, chain, sha, keep_id, group_size), a folder for each bucket.
 
     ``texts`` has id, norm and h; grouping by the text itself compares bytes.
     """
-    depth, slots = directory(keys.select("h").distinct(), capacity)
-    bucket = F.get(literal_longs(slots), _prefix(F.col("h"), depth).cast("int"))
     entries = texts.groupBy("h", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    entries = with_bucket(entries.select("h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), depth, slots)
     chain = Window.partitionBy("bucket", "h").orderBy(F.col("keep_id").asc_nulls_last(), "sha")
-    return (
-        entries.select(bucket.alias("bucket"), "h", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-        .repartition("bucket")
-        .withColumn("chain", F.row_number().over(chain))
-    )
+    owned = entries.repartitionByRange("bucket").withColumn("chain", F.row_number().over(chain))
+    return stored(owned, "dedup-index", "bucket")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16384, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65_536, hash_bits: int = 64) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, bucket and chain position.
 
     ``hash_bits`` below 64 makes hashes collide, for tests of the chains.
@@ -110,8 +122,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     h = F.xxhash64("norm") if hash_bits >= 64 else F.shiftleft(F.shiftrightunsigned(F.xxhash64("norm"), 64 - hash_bits), 64 - hash_bits)
     texts = norm.withColumn("h", h)
     keys = stored(texts.select("id", "h", F.sha2("norm", 256).alias("sha")), "dedup-keys")
-    index = stored(build_index(texts, keys, capacity), "dedup-index")
-    return keys.join(index, ["h", "sha"]).select(
+    depth, slots = directory(keys.select("h").distinct(), capacity)
+    index = build_index(texts, depth, slots)
+    return with_bucket(keys, depth, slots).join(index, ["bucket", "h", "sha"]).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -122,15 +135,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16384) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65_536) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     marks = exact_dedup(docs, id_col, text_col, capacity)
-    gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
     # an id may stand for several texts, of which only copies go
-    rows = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    same = rows[id_col].eqNullSafe(gone["_gone"]) & (rows["_sha"] == gone["_gone_sha"])
-    # a share of all documents goes, so their ids are never a side to broadcast
-    return rows.join(gone.hint("merge"), same, "left_anti").drop("_sha")
+    gone = marks.filter(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    return without(docs, gone, id=F.col(id_col), sha=F.sha2(normalised(text_col), 256))
 
 
 ORACLE = r"""

@@ -29,8 +29,13 @@ Texts with the same words collapse to one node first. Node, bucket and link
 tables are cut in the shared folder.
 
 Nulls: a null text is empty; a text without words has no shingle and is alone in
-its class. A row without id is a class of its own, with a null class_id. Rows
-that repeat an id are one document. An empty table gives an empty result.
+its class. Rows without id are compared like all others; such rows with the same
+text are one document, and a class without any id has a null class_id and keeps
+one of its documents. Ids of any type will do. Rows that repeat an id are one
+document. Ties for the smallest id cannot arise; equal signatures are settled by
+the multisets themselves. Very long texts are read whole, one at a time where
+they are long. An empty table gives an empty result. Columns other than id and
+text, whatever their names, pass unseen and leave ``keep_one`` as they came.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.llm.batches import chunks, joined, mixed, prefix_sums, range_hash, word_spans
-from canvass.llm.common import stored
+from canvass.llm.common import keyed, stored, text_of, without
 from canvass.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -232,10 +237,11 @@ def _rest(pairs: DataFrame, comps: DataFrame, bag: DataFrame) -> DataFrame:
     return all_.unionAll(out).join(signed, "node").groupBy("around", "block", "chunk").applyInPandas(_bridges, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), class_size, kept (is it that one?)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(source.filter("id is not null").mapInArrow(_signed, "id long, one long, two long, keys array<long>"), "signatures")
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, bare (see ``keyed``), class_id (the smallest id of its class), class_size, kept."""
+    own = keyed(docs, id_col, text_col)
+    source = own.select(F.col("key").alias("id"), "text")
+    signed = stored(source.mapInArrow(_signed, "id long, one long, two long, keys array<long>"), "signatures")
     worded = signed.filter(F.size("keys") > 0)
     first = worded.groupBy("one", "two").agg(F.min("id").alias("node"))
     member = stored(worded.join(first, ["one", "two"]).select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")), "members")
@@ -256,14 +262,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bridges = components(across.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))).select(F.col("node").alias("c"), F.col("comp").alias("bridged"))
     whole = member.select("id", "node").distinct().join(comps, "node", "left").withColumn("c", F.coalesce("comp", "node"))
     placed = whole.join(bridges, "c", "left").select("id", F.coalesce("bridged", "c").alias("class_id")).groupBy("id").agg(F.min("class_id").alias("class_id"))
-    out = source.select("id").join(placed, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    out = stored(out, "classes")
-    sizes = out.groupBy(F.col("class_id").alias("c")).agg(F.count(F.lit(1)).alias("class_size"))
-    found = out.join(sizes, F.col("class_id") == F.col("c"), "left").withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
-    return found.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = own.select("key", "id", "bare").join(placed.withColumnRenamed("id", "placed"), F.col("key") == F.col("placed"), "left")
+    out = stored(out.select("key", "id", "bare", F.coalesce("class_id", "key").alias("class")), "classes")
+    first = [F.min("id").alias("class_id"), F.min(F.when(F.col("id").isNull(), F.col("key"))).alias("nameless"), F.count(F.lit(1)).alias("class_size")]
+    heads = out.groupBy(F.col("class").alias("c")).agg(*first)
+    found = out.join(heads, F.col("class") == F.col("c"))
+    kept = F.when(F.col("id").isNotNull(), F.col("id") == F.col("class_id")).otherwise(F.col("class_id").isNull() & (F.col("key") == F.col("nameless")))
+    return found.select("id", "bare", "class_id", "class_size", kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, class_id (the smallest id of its class), class_size, kept (is it that one?)."""
+    return _classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: the document with the smallest id of each class, with all its columns."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = _classes(docs, id_col, text_col).filter("not kept").select("id", "bare")
+    bare = F.when(F.col(id_col).isNull(), F.sha2(text_of(text_col), 256))
+    return without(docs, gone, id=F.col(id_col), bare=bare)

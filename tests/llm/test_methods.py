@@ -270,10 +270,12 @@ def test_masks_survive_any_two_substitutions():
     assert decontaminate.allowed(decontaminate.WINDOW) == 2
     for bad in itertools.combinations(range(decontaminate.WINDOW), 2):
         assert any(not p & set(bad) for p in places)
-    for n in range(decontaminate.LEAST_WORDS, decontaminate.WINDOW):
-        run = len(decontaminate.run_for(n))
+    for n in range(1, decontaminate.WINDOW):
+        masks = decontaminate.masks_for(n)
+        assert all(set(m) <= set(range(n)) and 2 * len(m) >= n - 2 for m in masks)
         for bad in itertools.combinations(range(n), decontaminate.allowed(n)):
-            assert any(not set(range(o, o + run)) & set(bad) for o in range(n - run + 1))
+            assert any(not set(m) & set(bad) for m in masks)
+    assert [decontaminate.masks_for(n) for n in (1, 4)] == [[(0,)], [(0, 1, 2, 3)]]
 
 
 def contaminated(docs, items):
@@ -284,7 +286,7 @@ def contaminated(docs, items):
         for item, said in items:
             b = words(said)
             n = min(13, len(b))
-            if n < 5:
+            if not n:
                 continue
             laid = np.array([[x == y for y in b] for x in d]).reshape(len(d), len(b)).astype(int)
             for shift in range(-len(b) + 1, len(d)):

@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from canvass.llm import decontaminate, exact_dedup, license_scan, packing
+from canvass.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing
 
 
 # 7
@@ -106,3 +107,88 @@ def test_documents_without_id_are_judged(spark):
     assert [(r.doc_id, r["items"], r.overlap, r.start) for r in got] == [(None, [1], 1.0, 1), (5, [1], 1.0, 1)]
     kept = decontaminate.keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == [3, 4, 6]
+
+
+def test_short_items_and_items_without_id_protect(spark):
+    docs = spark.createDataFrame([(1, "so alpha beta gamma it is"), (2, "alpha gamma beta"), (3, "one Word, only"), (4, "p q r s t"), (5, "p q x s t"), (6, "p q r s")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "Alpha, beta: gamma"), (7, "only"), (8, "p q r s t"), (8, "zz zz"), (None, "nowhere"), (9, "p q r s")], "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.overlap) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: ([], 1.0), 3: ([7], 1.0), 4: ([8, 9], 1.0), 5: ([8], 0.8), 6: ([9], 1.0)}
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == [2]
+
+
+@pytest.mark.parametrize("length", range(1, 13))
+def test_items_of_every_length_at_every_border(spark, length):
+    words = [f"k{i}" for i in range(length)]
+    rows, want = [], set()
+    for bad in range(decontaminate.allowed(length) + 2):
+        said = [w if k >= bad else f"x{k}" for k, w in enumerate(words)]
+        for side, text in enumerate((said, ["a", "b", *said], [*said, "c"])):
+            rows.append((10 * bad + side, " ".join(text)))
+            if bad <= decontaminate.allowed(length):
+                want.add(10 * bad + side)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contamination(docs, items).collect()} == want
+
+
+# 4
+
+PLAIN = " ".join(f"word{k}" for k in range(60))
+NEAR = PLAIN + " more"
+
+
+def test_rows_without_id_are_near_duplicates_too(spark):
+    rows = [(None, PLAIN), (None, PLAIN), (None, NEAR), (None, "quite another text of several words and more"), (None, None), (None, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {None} and sorted((r.class_size, r.kept) for r in got).count((3, True)) in (1, 2)
+    kept = [r.text for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t in (PLAIN, NEAR) for t in kept) == (2 if PLAIN in kept else 1) and len(set(kept) & {PLAIN, NEAR}) == 1
+    assert "quite another text of several words and more" in kept and {None, ""} <= set(kept)
+    mixed = spark.createDataFrame([*rows, (5, NEAR + " still"), (3, PLAIN)], "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.kept) for r in near_dedup.near_duplicates(mixed).collect() if r.doc_id} == {5: (3, False), 3: (3, True)}
+    left = [(r.doc_id, r.text) for r in near_dedup.keep_one(mixed).collect() if r.text and "word" in r.text and "another" not in r.text]
+    assert left == [(3, PLAIN)]
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("b", PLAIN), ("a", NEAR), ("c", "x y z"), (None, "x  y z")], "name string, body string")
+    assert {(r.name, r.class_id, r.kept) for r in near_dedup.near_duplicates(docs, "name", "body").collect()} == {("b", "a", False), ("a", "a", True), ("c", "c", True), (None, "c", False)}
+    assert {r.name for r in near_dedup.keep_one(docs, "name", "body").collect()} == {"a", "c"}
+    assert {r.name for r in exact_dedup.keep_first(docs, "name", "body").collect()} == {"a", "b", "c"}
+    items = spark.createDataFrame([("q", "x y z")], "item_id string, text string")
+    assert {r.name for r in decontaminate.keep_clean(docs, items, "name", "body").collect()} == {"a", "b"}
+
+
+# columns of any name
+
+CLASHING = "_sha string, _gone long, _bad string, _key long, own_id string, gone_id int, own_sha string, gone_sha string, sha string, h long, norm string, key long, bare string, class long, bucket int, item string, name string, words int"
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    texts = [(1, PLAIN), (2, PLAIN), (3, NEAR), (4, "an item of five words here"), (None, PLAIN), (None, "an item of five words"), (None, "clean text"), (8, None)]
+    width = CLASHING.count(",") + 1
+    docs = spark.createDataFrame([(i, t, *[str(i) if "string" in c else 7 for c in CLASHING.split(", ")]) for i, t in texts], f"doc_id long, text string, {CLASHING}")
+    items = spark.createDataFrame([(1, "item of five words")], "item_id long, text string")
+    for left, want in (
+        (exact_dedup.keep_first(docs), [(1, PLAIN), (3, NEAR), (4, "an item of five words here"), (8, None), (None, "an item of five words"), (None, "clean text")]),
+        (near_dedup.keep_one(docs), [(1, PLAIN), (4, "an item of five words here"), (8, None), (None, "an item of five words"), (None, "clean text")]),
+        (decontaminate.keep_clean(docs, items), [(1, PLAIN), (2, PLAIN), (3, NEAR), (8, None), (None, "clean text"), (None, PLAIN)]),
+    ):
+        assert left.columns == docs.columns and len(left.columns) == width + 2
+        rows = left.collect()
+        assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == sorted(want, key=repr)
+        assert all(r["_sha"] == str(r.doc_id) and r["_gone"] == 7 for r in rows)
+
+
+# 7
+
+def test_the_index_decides(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k % 40}") for k in range(200)], "doc_id long, text string")
+    marks = exact_dedup.exact_dedup(docs, capacity=4)
+    assert marks.count() == 200 and marks.select("bucket").distinct().count() >= 10
+    few = {(r.doc_id, r.keep_id, r.group_size, r.bucket) for r in marks.collect()}
+    monkeypatch.setattr(exact_dedup, "FEW_SLOTS", 0)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.bucket) for r in exact_dedup.exact_dedup(docs, capacity=4).collect()} == few
+    monkeypatch.setattr(exact_dedup, "build_index", lambda texts, depth, slots: marks.limit(0).select("bucket", F.lit(0).cast("long").alias("h"), F.col("text_sha256").alias("sha"), "keep_id", "group_size", "chain"))
+    assert exact_dedup.exact_dedup(docs, capacity=4).count() == 0
