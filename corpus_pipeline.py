@@ -3,6 +3,15 @@
 Each stage takes the documents that its predecessor kept and returns, but for
 the last one, the columns of ``documents``. ``run`` writes every stage's result
 to the shared folder and reads it again for the next.
+
+Nulls: a null text counts as empty, is no copy of anything but other empty
+texts, and is packed as its closing token. Rows without id go through every
+stage like others: they are scored, compared by their texts, judged and packed.
+Rows that repeat an id are judged by their texts where texts decide (toxicity,
+exact copies) and together where documents do. Ties go to the smallest id. Very
+long texts are used whole and cut into pieces in packing only. A table without
+rows gives no sequences. Further columns of any name reach the last stage as
+they came.
 """
 
 from __future__ import annotations
