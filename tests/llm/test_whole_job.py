@@ -97,6 +97,45 @@ def test_lines_are_joined_within_a_sentence_only(spark):
     assert [r.sequence for r in scanned(spark, texts)] == ["mit_ref", "unknown", "unknown", "unknown,unknown", "unknown,mit_ref", "unknown"]
 
 
+LESSER = "GNU {} General Public License as published by the Free Software Foundation"
+EVERYDAY = [
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-Clause"),
+    ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1-only"),
+    (f"This library is free software; you can redistribute it and/or modify it under the terms of the {LESSER.format('Lesser')}; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    (f"Frobnicator is free software: you can redistribute it and/or modify it under the terms of the {LESSER.format('Affero')}, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0-or-later"),
+    (f"You can redistribute it and/or modify it under the terms of the {LESSER.format('Library')}; either version 2 of the License, or (at your option) any later version.", "LGPL-2.0-or-later"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "Unlicense"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", "BSL-1.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This document is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+    ("This file is licensed under the MIT License.", "MIT"),
+    ("The code is released under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("\n".join([*BSD, "3. Neither the name of Example Widgets, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]), "BSD-3-Clause"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Zlib"),
+]
+
+
+@pytest.mark.parametrize("width", [10**6, 72, 50])
+def test_everyday_notices(spark, width):
+    texts = ["\n".join("\n".join(textwrap.wrap(p, width)) for p in text.split("\n")) for text, _ in EVERYDAY]
+    assert [r.licences for r in scanned(spark, texts)] == [licence for _, licence in EVERYDAY]
+
+
+def test_plain_prose_names_no_licence(spark):
+    texts = ["The library is free of dust.", "You need a driving license to use this software.", "Neither the name of the rose nor anything else.", "Permission is granted to leave.", "Licensed under protest.", "She is free software testing tomorrow."]
+    assert [(r.licences, r.n_known) for r in scanned(spark, texts)] == [(None, 0)] * len(texts)
+
+
+def test_several_licences_in_one_text(spark):
+    got = scanned(spark, ["Licensed under the MIT License.\nsome words\nSPDX-License-Identifier: Apache-2.0\nReleased under the ISC License."])[0]
+    assert (got.licences, got.n_matches, got.n_known) == ("Apache-2.0,MIT,ISC", 3, 3)
+
+
 # 6
 
 def test_documents_without_id_are_judged(spark):
