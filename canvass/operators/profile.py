@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import mul
@@ -102,25 +102,30 @@ def roll_up(
     grouping has no useful bound. Sums of doubles come out the same however the
     rows are dealt out.
     """
-    wide, parts = exact.with_held(df.select(*dict.fromkeys([*keys, *columns])), columns)
     if pre_aggregate:
-        source = partials(df, keys, columns)
-        rows, count = "sum(rows)", "sum(`cnt__{0}`)"
-        parts = {c: [f"`sum__{c}__{i}`" for i in range(len(p))] for c, p in parts.items()}
-    else:
-        source = wide
-        rows, count = "count(1)", "count(`{0}`)"
+        return roll_up_partials(partials(df, keys, columns), sets, keys, columns)
+    wide, parts = exact.with_held(df.select(*dict.fromkeys([*keys, *columns])), columns)
+    return _expanded(wide, sets, keys, parts, "count(1)", "count(`{0}`)")
+
+
+def roll_up_partials(source: DataFrame, sets: Sequence[Sequence[str]], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The same from ``partials``, of one table or of several put together."""
+    parts = {c: [f"`{n}`" for n in source.columns if n.startswith(f"sum__{c}__") and n[len(f"sum__{c}__"):].isdigit()] for c in columns}
+    return _expanded(source, sets, keys, parts, "sum(rows)", "sum(`cnt__{0}`)")
+
+
+def _expanded(source: DataFrame, sets: Sequence[Sequence[str]], keys: Sequence[str], parts: Mapping[str, Sequence[str]], rows: str, count: str) -> DataFrame:
     rolled = source.groupingSets([list(s) for s in sets], *keys).agg(
         F.grouping_id().alias("gid"),
         F.expr(f"coalesce({rows}, 0) as rows"),
         *[F.expr(f"sum({p}) as `sum__{c}__{i}`") for c, own in parts.items() for i, p in enumerate(own)],
-        *[F.expr(f"coalesce({count.format(c)}, 0) as `cnt__{c}`") for c in columns],
+        *[F.expr(f"coalesce({count.format(c)}, 0) as `cnt__{c}`") for c in parts],
     )
     totals = {c: [F.col(f"`sum__{c}__{i}`") for i in range(len(own))] for c, own in parts.items()}
     return rolled.select(
         *keys, "gid", "rows",
         *[(exact.total(own) if len(own) > 1 else own[0]).alias(f"sum__{c}") for c, own in totals.items()],
-        *[f"`cnt__{c}`" for c in columns])
+        *[f"`cnt__{c}`" for c in parts])
 
 
 def set_id(keys: Sequence[str], used: Sequence[str]) -> int:
@@ -157,6 +162,15 @@ def profile(
     columns = list(dict.fromkeys(m.column for m in measures))
     bounded = joint_groups_bounded(cuts)
     rolled = roll_up(enforced(df, cuts) if bounded else df, [[], *[[k] for k in keys]], keys, columns, bounded)
+    return shown(rolled, cuts, measures, overall=overall, count_as=count_as, with_order=with_order)
+
+
+def shown(
+    rolled: DataFrame, cuts: Sequence[Cut], measures: Sequence[Measure], *,
+    overall: str = "All Farms", count_as: str | None = "N", with_order: bool = False,
+) -> DataFrame:
+    """The rows of a profile from its grouping sets: none, then one per cut."""
+    keys = [c.column for c in cuts]
     gid = F.col("gid")
     ids = [set_id(keys, [])] + [set_id(keys, [k]) for k in keys]
     block = dict(zip(ids, [overall, *[c.label for c in cuts]]))

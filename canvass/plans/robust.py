@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from canvass.domain import Domain, recode, sorted_position
 from canvass.functions import exact
 from canvass.operators import inference, probit, profile, relate, reshape
-from canvass.plans import oracle
+from canvass.plans import oracle, panel
 from canvass.plans.catalog import REGIONS, Query, customers, labelled_documents, lines, rounded
 from canvass.plans.oracle import r
 from canvass.session import scratch_path
 from canvass.sources import sinks
 from canvass.sources.conform import read_survey
 from canvass.sources.records import read_cells
-from canvass.sources.tables import table
+from canvass.sources.tables import SCHEMAS, table
+from canvass.streaming.increment import GrowingProfile
 
 # --- regressions -----------------------------------------------------------
 
@@ -126,6 +127,16 @@ def profile_beyond_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(customers(spark, sf_dir), cuts, profile.means("in_credit", "wealthy"), overall="All customers")
 
 
+def profile_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as a stream, their profile kept as sums that add up."""
+    cuts = [profile.Cut("o_orderstatus", "Status", Domain(("F", "O", "P"))), profile.Cut("o_orderpriority", "Priority", Domain(panel.PRIORITIES))]
+    path = scratch_path(spark, "growing")
+    growing = GrowingProfile(spark, f"{path}/sums", cuts, [*profile.means("o_totalprice"), profile.Measure("customers", "o_custkey", "sum")])
+    stream = spark.readStream.schema(SCHEMAS["orders"]).parquet(f"{sf_dir}/orders.parque[t]")  # a file or a folder of files
+    growing.follow(stream, f"{path}/seen", availableNow=True).awaitTermination()
+    return rounded(growing.profile(overall="All orders"), 4)
+
+
 def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charged amounts by return flag, summed without an order."""
     charged = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
@@ -158,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "spread_merged": spread_merged,
     "collated_levels": collated_levels,
     "profile_beyond_domain": profile_beyond_domain,
+    "profile_streamed": profile_streamed,
     "exact_totals": exact_totals,
     "chi2_log_tail": chi2_log_tail,
 }
@@ -182,6 +194,9 @@ ORACLE: dict[str, str] = {
     "profile_beyond_domain": f"with {oracle.CUSTOMERS}\n" + oracle.profile(
         "cus", [("case when c_mktsegment is null or c_mktsegment in ('BUILDING', 'MACHINERY') then c_mktsegment else 'other' end", "Segment"), ("r_name", "Region")],
         {"in_credit": oracle.avg("in_credit"), "wealthy": oracle.avg("wealthy")}, "All customers"),
+    "profile_streamed": oracle.profile(
+        "orders", [("o_orderstatus", "Status"), ("o_orderpriority", "Priority")],
+        {"o_totalprice": r("fsum(o_totalprice) / count(o_totalprice)", 4), "customers": oracle.total("o_custkey")}, "All orders"),
     "exact_totals": """
         select l_returnflag, count(*) as rows, round(fsum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as charged,
           sum(l_linenumber)::bigint as numbers from lineitem group by l_returnflag""",

@@ -80,6 +80,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern and hold a finished table."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 @contextmanager
 def materialized(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """Write ``df`` as parquet in the shared folder for work that reads it many times.
