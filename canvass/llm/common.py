@@ -54,15 +54,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.join(names.hint("merge"), same).select("key", "id", "bare", "text")
 
 
+#: Rows (an id, a hash) that a filter may broadcast, some 20 MB; their number is counted first.
+FEW_GONE = 100_000
+
+
 def without(docs: DataFrame, gone: DataFrame, **columns: Column) -> DataFrame:
     """The rows of ``docs`` whose ``columns`` (by the names that ``gone`` has for them) equal no row of ``gone``, NULLs included.
 
-    Columns for passing use get names that no column of ``docs`` has. A share of all documents may go, so neither
-    side is one to broadcast.
+    Columns for passing use get names that no column of ``docs`` has. Up to ``FEW_GONE`` rows go to the tasks that
+    read ``docs``, which then shuffle no text; more are joined by sorting both sides.
     """
     own = {k: unused([*docs.columns, *columns], f"own_{k}") for k in columns}
     theirs = {k: unused([*docs.columns, *own.values()], f"gone_{k}") for k in columns}
     rows = docs.withColumns({own[k]: c for k, c in columns.items()})
-    lost = gone.select(*[F.col(k).alias(theirs[k]) for k in columns]).hint("merge")
+    lost = stored(gone.select(*[F.col(k).alias(theirs[k]) for k in columns]).distinct(), "gone")
+    few = lost.limit(FEW_GONE + 1).count() <= FEW_GONE
     same = [F.col(own[k]).eqNullSafe(F.col(theirs[k])) for k in columns]
-    return rows.join(lost, reduce(lambda a, b: a & b, same), "left_anti").drop(*own.values())
+    return rows.join(F.broadcast(lost) if few else lost.hint("merge"), reduce(lambda a, b: a & b, same), "left_anti").drop(*own.values())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing
+from canvass.llm import common, decontaminate, exact_dedup, license_scan, near_dedup, packing
 
 
 # 7
@@ -204,7 +204,9 @@ def test_ids_of_any_type(spark):
 CLASHING = "_sha string, _gone long, _bad string, _key long, own_id string, gone_id int, own_sha string, gone_sha string, sha string, h long, norm string, key long, bare string, class long, bucket int, item string, name string, words int"
 
 
-def test_filters_keep_columns_of_any_name(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_filters_keep_columns_of_any_name(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_GONE", few)
     texts = [(1, PLAIN), (2, PLAIN), (3, NEAR), (4, "an item of five words here"), (None, PLAIN), (None, "an item of five words"), (None, "clean text"), (8, None)]
     width = CLASHING.count(",") + 1
     docs = spark.createDataFrame([(i, t, *[str(i) if "string" in c else 7 for c in CLASHING.split(", ")]) for i, t in texts], f"doc_id long, text string, {CLASHING}")
