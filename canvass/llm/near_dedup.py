@@ -59,6 +59,9 @@ AGREE = 0.62
 #: Members outside the main component, and all members, that a task compares at a time.
 BLOCK, CHUNK = 256, 1024
 
+#: Characters whose shingles a task holds at a time, or one longer text.
+PIECE = 700_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,7 +139,7 @@ def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) ->
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in chunks(batches):
+    for ids, texts in chunks(batches, PIECE):
         one, two, keys = [], [], []
         for a, b, shingle, weight in bags(texts):
             one.append(a)
@@ -147,7 +150,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in chunks(batches):
+    for ids, texts in chunks(batches, PIECE):
         found = list(bags(texts))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([f[2].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[3].astype(np.int32) for f in found], pa.list_(pa.int32()))],

@@ -397,15 +397,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows], y, weight)
 
 
+#: Characters that are scored at a time, or one longer text.
+PIECE = 400_000
+
+
 def scorer(model: Model | None):
     """Scores of a text column, piece by piece."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            table = pa.RecordBatch.from_arrays([pa.array(range(len(batch))), pa.array(batch, pa.string())], names=["i", "t"])
-            parts = [model.score(texts) if model else np.zeros(len(texts)) for _, texts in chunks(iter([table]), 1_000_000)]
-            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+            parts = [np.zeros(0)]
+            for at in range(0, len(batch), 1000):
+                some = batch.iloc[at : at + 1000]
+                table = pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array(some, pa.string())], names=["i", "t"])
+                parts += [model.score(texts) if model else np.zeros(len(texts)) for _, texts in chunks(iter([table]), PIECE)]
+            yield pd.Series(np.concatenate(parts))
 
     return score
 
