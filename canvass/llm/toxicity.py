@@ -10,7 +10,8 @@ document's score.
 
 The network is trained in numpy on the driver, on about ``per_class`` toxic
 and twice as many clean labelled documents (the documented bound of the sample, whose rows are chosen by
-a hash of the id). Only documents carry labels, so a training step takes whole
+a hash of the id; of a repeated id one text teaches), of at most ``most_characters`` characters a class and none
+longer than a piece that is scored at a time. Only documents carry labels, so a training step takes whole
 documents and follows the soft maximum of their windows' logits: a toxic
 document teaches by the windows that look toxic, a clean one by those that look
 least clean. A fifth of the sample chooses the best round and calibrates.
@@ -20,19 +21,25 @@ the piece advance together, one matrix product a step.
 
 Nulls: a null text, like any text without a word, scores 0. Labels that are
 null, or belong to held-out or missing documents, teach nothing; with no labels
-of both kinds every score is 0. Repeated rows are scored alike. An empty table
-gives an empty result.
+of both kinds every score is 0. Repeated rows are scored alike; among several
+texts of a labelled id, the least one in code point order teaches, and a
+document that has both labels is toxic. Very long texts are scored whole, a
+window at a time. Ids may be of any type. Further columns of any name are not
+read by ``toxicity`` and pass ``keep_clean`` as they are. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.llm.batches import chunks, mixed
@@ -45,6 +52,11 @@ GRAMS = 1 << 16  #: rows of the n-gram table
 LEAST_DOCUMENTS = 4  #: a word of fewer training documents is unknown: its spelling speaks for it
 SIZE, HIDDEN = 8, 8  #: width of each embedding and of each direction's state
 THRESHOLD = 0.3
+#: Characters that are scored at a time, or one longer text.
+PIECE = 400_000
+MOST_CHARACTERS = 16_000_000  #: characters of each class that teach
+#: Code points where letters (with the marks upon them) begin and end, in turn.
+LETTER_EDGES = np.flatnonzero(np.diff([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)], prepend=False, append=False))
 
 
 class Words(NamedTuple):
@@ -67,7 +79,8 @@ def words_of(texts: list[str]) -> Words:
     parts = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
     code = np.frombuffer(b"\0\0\0\0" + b"\0\0\0\0".join([*parts, b"\0\0\0\0"]), np.uint32)
     starts = np.concatenate(([0], np.cumsum([len(p) // 4 + 1 for p in parts]))).astype(np.int64)
-    letter = ((code >= 97) & (code <= 122)) | ((code >= 0xAA) & (code != 0xD7) & (code != 0xF7) & ~((code >= 0x2000) & (code < 0x2070)))
+    bounds = np.concatenate(([0], LETTER_EDGES, [sys.maxunicode + 1]))
+    letter = np.repeat(np.arange(len(bounds) - 1) % 2 == 1, np.diff(bounds))[code]
     code = np.where(letter, code, 0).astype(np.uint64)
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -381,7 +394,15 @@ def _calibrated(top: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tupl
     return float(max(b[0], 0.05)), float(b[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    per_class: int = PER_CLASS,
+    most_characters: int = MOST_CHARACTERS,
+) -> Model | None:
     """A model of labelled documents that are not held out; None without both classes."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
@@ -390,17 +411,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     share = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, CLEAN_TIMES * per_class / sizes[0]))
     chosen = F.broadcast(marks.filter(sampled("id", share)))  # about (1 + CLEAN_TIMES) * per_class rows, whatever the table
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(chosen, "id").collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    y = np.array([r["y"] for r in rows])
-    weight = np.array([max(1.0, sizes[k] / (per_class if k else CLEAN_TIMES * per_class)) for k in y])
+    text = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(F.length("text") <= PIECE)
+    one = text.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    in_turn = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(29)), "id")
+    rows = one.withColumn("so_far", F.sum(F.length("text")).over(in_turn)).filter(F.col("so_far") <= most_characters).collect()
+    rows.sort(key=lambda r: r["id"])
+    y = np.array([r["y"] for r in rows], np.int64)
+    drawn = np.bincount(y, minlength=2)
+    weight = np.array([max(1.0, sizes[k] / drawn[k]) for k in y])
     return fit([r["text"] for r in rows], y, weight)
 
 
-#: Characters that are scored at a time, or one longer text.
-PIECE = 400_000
-
-
 def scorer(model: Model | None):
     """Scores of a text column, piece by piece."""
 
@@ -420,7 +441,7 @@ def scorer(model: Model | None):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
     score = scorer(learn(docs, labels, id_col, text_col, label_col, per_class))
-    found = docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col).cast("string")).alias("score"))
+    found = docs.select(F.col(id_col).alias("id"), score(F.col(text_col).cast("string")).alias("score"))
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
