@@ -15,6 +15,7 @@ from canvass.session import scratch_path
 from canvass.sources import sinks
 from canvass.sources.conform import read_survey
 from canvass.sources.records import read_cells
+from canvass.sources.shapes import read_shapes, write_shapes
 from canvass.sources.tables import SCHEMAS, table
 from canvass.streaming.increment import GrowingProfile
 
@@ -160,12 +161,39 @@ select cut, resp, {r('stat', 4)} as stat, cast(df as int) as df,
        {r('-stat / 2 / ln(10) + log10(list_sum(list_transform(range(0, cast(df // 2 as bigint)), lambda k: pow(stat / 2, k) / gamma(k + 1))))', 4)} as log_p
 from ({CHI2_LOG})"""
 
+def shapefile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle for each customer, a third of them with a hole, some without geometry, through a folder of shapefiles."""
+    corners = lambda *points: "array(" + ", ".join(f"array(cast({x} as double), cast({y} as double))" for x, y in points) + ")"
+    place = table(spark, sf_dir, "customer").selectExpr(
+        "*", "c_custkey % 360 - 180 as x", "c_nationkey as y", "1 + c_custkey % 7 as w", "1 + c_custkey % 5 as h")
+    outer = corners(("x", "y"), ("x", "y + h"), ("x + w", "y + h"), ("x + w", "y"), ("x", "y"))
+    hole = corners(("x + 0.25", "y + 0.25"), ("x + 0.25", "y + 0.5"), ("x + 0.5", "y + 0.5"), ("x + 0.5", "y + 0.25"), ("x + 0.25", "y + 0.25"))
+    path = scratch_path(spark, "shapes")
+    write_shapes(place.selectExpr(
+        "cast(c_custkey as long) as custkey", "case when c_custkey % 4 <> 2 then c_mktsegment end as segment",
+        "cast(c_acctbal as double) as balance", "c_custkey % 2 = 0 as even",
+        f"case when c_custkey % 11 <> 0 then if(c_custkey % 3 = 0, array({outer}, {hole}), array({outer})) end as rings"), path)
+    return read_shapes(spark, path)
+
+
+SHAPES = """
+with p as (select *, c_custkey % 360 - 180 as x, c_nationkey as y, 1 + c_custkey % 7 as w, 1 + c_custkey % 5 as h from customer)
+select cast(c_custkey as bigint) as custkey, case when c_custkey % 4 <> 2 then c_mktsegment end as segment,
+       cast(c_acctbal as double) as balance, c_custkey % 2 = 0 as even,
+       case when c_custkey % 11 <> 0 then
+         format('POLYGON (({} {}, {} {}, {} {}, {} {}, {} {})', x, y, x, y + h, x + w, y + h, x + w, y, x, y)
+         || case when c_custkey % 3 = 0 then format(', ({} {}, {} {}, {} {}, {} {}, {} {})',
+              x + 0.25, y + 0.25, x + 0.5, y + 0.25, x + 0.5, y + 0.5, x + 0.25, y + 0.5, x + 0.25, y + 0.25) else '' end
+         || ')' end as geometry_wkt from p"""
+
+
 QUERIES: dict[str, Query] = {
     "probit_near_dependence": probit_near_dependence,
     "probit_separation": probit_separation,
     "csv_line_breaks": csv_line_breaks,
     "csv_inferred_types": csv_inferred_types,
     "csv_missing_texts": csv_missing_texts,
+    "shapefile_round_trip": shapefile_round_trip,
     "spread_merged": spread_merged,
     "collated_levels": collated_levels,
     "profile_beyond_domain": profile_beyond_domain,
@@ -184,6 +212,7 @@ ORACLE: dict[str, str] = {
     "csv_missing_texts": """
         select c_custkey, case c_custkey % 4 when 0 then 'NA' when 1 then '' when 2 then c_mktsegment end as cell,
           case when c_custkey % 4 <> 3 then c_acctbal end as balance from customer""",
+    "shapefile_round_trip": SHAPES,
     "spread_merged": """
         select l_returnflag, cast(l_quantity > 25 as int) as large, sum(l_linenumber) filter (l_linestatus = 'F')::bigint as "F",
           sum(l_linenumber) filter (l_linestatus = 'O')::bigint as "O" from lineitem group by all""",
